@@ -149,7 +149,7 @@ def _may_link(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return DENOMINATOR * np.minimum(na, nb) >= NUMERATOR * np.maximum(na, nb)
 
 
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
     """Within a fragment: candidate pairs (a, b), and (key, a) for the members of large groups."""
     cids = np.frombuffer(b"".join(pdf.cids), dtype="V16")
     ns = np.frombuffer(b"".join(pdf.ns), dtype="<i4").astype(np.int64)
@@ -170,15 +170,15 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     count = np.diff(np.append(begin, len(keys)))
     left, right, big_key, big_who = [], [], [], []
-    for size in range(2, SMALL + 1):
+    for size in range(2, small + 1):
         g = begin[count == size]
         for i in range(size):
             for j in range(i + 1, size):
                 left.append(who[g + i])
                 right.append(who[g + j])
-    for s, size in zip(begin[count > SMALL], count[count > SMALL], strict=True):
+    for s, size in zip(begin[count > small], count[count > small], strict=True):
         m = who[s : s + size]
-        hubs = m[np.argpartition(scatter[m], HUBS)[:HUBS]]
+        hubs = m[np.argsort(scatter[m])[:HUBS]]
         for h in hubs:
             left.append(np.full(size, h))
             right.append(m)
@@ -258,7 +258,7 @@ def _components(edges: DataFrame, classes: DataFrame) -> DataFrame:
     return ids.join(found.withColumnRenamed("id", "rep"), "rep").select("cid", "component")
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def joined(docs: DataFrame, id_col: str = "doc_id", small: int = SMALL) -> DataFrame:
     """id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
     profiles = saved(_profiles(docs, id_col), "profiles")
@@ -268,7 +268,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     classes = saved(rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fragments = max(32, int(total * 2 // FRAGMENT_BYTES) + 1)  # a quarter of 8 bytes a shingle
-    met = saved(_prefixes(docs, order, fragments).groupBy("f").applyInPandas(_meet, "key long, a binary, b binary, na long, nb long"), "met")
+    met = saved(_prefixes(docs, order, fragments).groupBy("f").applyInPandas(lambda pdf: _meet(pdf, small), "key long, a binary, b binary, na long, nb long"), "met")
     pairs = saved(met.where("key is null").select("a", "b", "na", "nb").distinct(), "pairs")
     large = met.where("key is not null").select("key", F.col("a").alias("cid"), F.col("na").alias("n"))
     need = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).unionAll(large.select("cid")).distinct()

@@ -408,7 +408,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", as_text: bool = False,
         at = np.lexsort((r["e"], r["s"], r["id"]))
         ids, s, e = (r[n][at] for n in ("id", "s", "e"))
         begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
-        place = {int(ids[b]): (b, x) for b, x in zip(begin, np.append(begin[1:], len(ids)), strict=True)}
+        place = {int(ids[b]): (b, x) for b, x in zip(begin, np.append(begin[1:], len(ids)), strict=True)} if len(ids) else {}
         out = []
         for i, t in _unpacked(text.blob):
             b, x = place.get(i, (0, 0))

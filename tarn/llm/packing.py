@@ -49,9 +49,14 @@ def json_codec(path: str) -> Codec:
     return Codec(tokens[: 256 + len(merged)], ARRAY_PATTERN)
 
 
+def id_type(path: str) -> str:
+    """Two bytes an id where the vocabulary allows it: ids are stored and moved that way."""
+    return "<u2" if len(json_codec(path).tokens) <= 1 << 16 else "<u4"
+
+
 def tokenised(docs: DataFrame, path: str, id_col: str) -> DataFrame:
-    """A row a document: id, ids (binary, 32-bit), n, rest, pid (input partition), k (number among the partition's rests of that length), w (whole windows before it in the partition)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """A row a document: id, ids (binary, as ``id_type`` has them), n, rest, pid (input partition), k (number among the partition's rests of that length), w (whole windows before it in the partition)."""
+    kind, stored = docs.schema[id_col].dataType.simpleString(), id_type(path)
     schema = f"id {kind}, ids binary, n long, rest int, pid long, k long, w long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +69,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str) -> DataFrame:
             for x in codec.encode_many(b.column(1).to_pylist()):
                 x = np.append(x, np.uint32(END)).astype("<u4")
                 r = len(x) % WINDOW
-                ids.append(x.tobytes())
+                ids.append(x.astype(stored).tobytes())
                 n.append(len(x))
                 rests.append(r)
                 ks.append(int(seen[r]))
@@ -183,7 +188,7 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", with_ids: bool =
     before = F.sum("c").over(Window.partitionBy("rest").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("pid", "rest", F.coalesce(before, F.lit(0)).alias("first"))
     plan = spark.sparkContext.broadcast(Plan(histogram))
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, stored = docs.schema[id_col].dataType.simpleString(), id_type(path)
     schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 8 if with_ids else 7]
 
@@ -197,8 +202,9 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", with_ids: bool =
                 pieces = [(j * WINDOW, WINDOW, WHOLE * (pid[i] + 1) + w[i] + j, 0) for j in range(whole)]
                 if rest[i]:
                     pieces += [(whole * WINDOW + at, size, s, o) for at, size, s, o in p.places(rest[i], first[i] + k[i])]
+                own = np.frombuffer(ids[i], dtype=stored).astype("<u4").tobytes()
                 for at, size, s, o in pieces:
-                    part = ids[i][4 * at : 4 * (at + size)]
+                    part = own[4 * at : 4 * (at + size)]
                     row.append(i)
                     out.append((at, size, zlib.crc32(part), n[i], s, o))
                     parts.append(part)

@@ -36,7 +36,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 SMALL, HUBS = 6, 3
 LOCAL, MAX_FREQUENT = 4, 1 << 18
 FRAGMENT_BYTES = 8 << 20
-VERTICAL, SHARDS = 3, 48
+VERTICAL, SHARDS = 3, 64
+PAIRS = 1000  # of one lead in a shard
 KEPT = 2_000_000  # shingles counted at once in a partition
 
 
@@ -161,7 +162,7 @@ def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
     number = np.empty(len(two), dtype=np.int64)
     number[order] = np.cumsum(new) - 1
     name, n = cids[order][new], ns[order][new]
-    scatter = mix(two[order][new][:, 0] ^ np.uint64(0xA5A5))
+    scatter = mix(two[order][new][:, 0] ^ np.uint64(0xA5A5))  # hubs have the smallest, as signed numbers
     who = np.repeat(number, sizes)
     at = np.lexsort((who, keys))
     keys, who = keys[at], who[at]
@@ -178,7 +179,7 @@ def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
                 right.append(who[g + j])
     for s, size in zip(begin[count > small], count[count > small], strict=True):
         m = who[s : s + size]
-        hubs = m[np.argsort(scatter[m])[:HUBS]]
+        hubs = m[np.argsort(scatter[m].view(np.int64))[:HUBS]]
         for h in hubs:
             left.append(np.full(size, h))
             right.append(m)
@@ -187,34 +188,38 @@ def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
     a, b = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for x in (left, right))
     ok = (a != b) & _may_link(n[a], n[b])
     a, b = a[ok], b[ok]
-    hub_first = scatter[a] <= scatter[b]
+    hub_first = scatter[a].view(np.int64) <= scatter[b].view(np.int64)
     a, b = np.where(hub_first, a, b), np.where(hub_first, b, a)
     pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
     k, w = np.concatenate([*big_key, np.zeros(0, dtype=np.uint64)]).astype(np.uint64), np.concatenate([*big_who, np.zeros(0, dtype=np.int64)]).astype(np.int64)
     ids = lambda x: [v.tobytes() for v in name[x]]
-    return pd.DataFrame({"key": [None] * len(pairs) + k.view(np.int64).tolist(), "a": ids(pairs[:, 0]) + ids(w), "b": ids(pairs[:, 1]) + [None] * len(w), "na": n[pairs[:, 0]].tolist() + n[w].tolist(), "nb": n[pairs[:, 1]].tolist() + [0] * len(w)}).astype({"key": "Int64"})
+    return pd.DataFrame({"key": [None] * len(pairs) + k.view(np.int64).tolist(), "a": ids(pairs[:, 0]) + ids(w), "b": ids(pairs[:, 1]) + [None] * len(w), "na": n[pairs[:, 0]].tolist() + n[w].tolist(), "nb": n[pairs[:, 1]].tolist() + [0] * len(w), "lead": scatter[pairs[:, 0]].view(np.int64).tolist() + [0] * len(w)}).astype({"key": "Int64"})
 
 
 def _segments(docs: DataFrame) -> DataFrame:
-    """cid, v, keys: the whole set of each document in VERTICAL fragments of the order of hashes."""
+    """w, v, cid, keys: the whole set of each document (text, shards) in VERTICAL fragments of the order of hashes, for each of its shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cid, v, out = [], [], []
-            for _, part in in_parts(_bytes(b.column(0)), 4_000_000):
+            shards = b.column(1).to_pylist()
+            for first, part in in_parts(_bytes(b.column(0)), 4_000_000):
+                w, v, cid, out = [], [], [], []
                 keys, of, n = shingle_sets(part)
                 cids = _digests(keys, of, n)
                 begins = np.cumsum(n) - n
                 for i in np.flatnonzero(n):
                     mine = keys[begins[i] : begins[i] + n[i]]
-                    cuts = np.searchsorted(mine, [np.uint64((k << 64) // VERTICAL) for k in range(1, VERTICAL)])
+                    cuts = np.searchsorted(mine, np.array([(k << 64) // VERTICAL for k in range(1, VERTICAL)], dtype=np.uint64))
                     for k, x in enumerate(np.split(mine, cuts)):
-                        cid.append(cids[i].tobytes())
-                        v.append(k)
-                        out.append(x.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.binary()), pa.array(v, pa.int32()), pa.array(out, pa.binary())], names=["cid", "v", "keys"])
+                        raw = x.astype("<u8").tobytes()
+                        for shard in shards[first + i]:
+                            w.append(shard)
+                            v.append(k)
+                            cid.append(cids[i].tobytes())
+                            out.append(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(v, pa.int32()), pa.array(cid, pa.binary()), pa.array(out, pa.binary())], names=["w", "v", "cid", "keys"])
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "cid binary, v int, keys binary")
+    return docs.select(text_or_empty().alias("text"), "shards").mapInArrow(run, "w int, v int, cid binary, keys binary")
 
 
 def _overlaps(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
@@ -238,15 +243,22 @@ def _overlaps(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": out_a, "b": out_b, "part": np.concatenate([*part, np.zeros(0, dtype=np.int64)]).astype(np.int64)})
 
 
-def _verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) that link: partial overlaps by fragment, summed per pair."""
-    w = F.pmod(F.xxhash64("b"), F.lit(SHARDS)).cast("int")
-    placed = pairs.withColumn("w", w)
-    need = placed.select("w", F.col("a").alias("cid")).unionAll(placed.select("w", "b")).distinct()
-    sets = segments.join(need, "cid").select("w", "v", "cid", "keys")
-    asked = pairs.select(w.alias("pw"), F.explode(F.sequence(F.lit(0), F.lit(VERTICAL - 1))).alias("pv"), F.col("a").alias("a"), F.col("b").alias("b"))
-    parts = sets.groupBy("w", "v").cogroup(asked.groupBy("pw", "pv")).applyInPandas(_overlaps, "a binary, b binary, part long")
-    total = parts.groupBy("a", "b").agg(F.sum("part").alias("both"))
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
+    """The pairs (a, b, na, nb, lead) that link: partial overlaps by fragment, summed per pair.
+
+    Pairs go to shards by the smallest lead of their second class, so what
+    belongs together meets and a set is sent once or a few times; a lead of
+    many pairs is split over shards by the second class.
+    """
+    leads = pairs.groupBy("b").agg(F.min("lead").alias("top"), F.count(F.lit(1)).alias("c"))
+    parts = leads.groupBy("top").agg(F.ceil(F.sum("c") / PAIRS).cast("int").alias("parts"))
+    home = leads.join(parts, "top").select(F.col("b").alias("hb"), F.pmod(F.xxhash64("top", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(shards)).cast("int").alias("w"))
+    placed = saved(pairs.join(home, F.col("b") == F.col("hb")).select("w", "a", "b"), "placed")
+    need = placed.select("w", F.col("a").alias("cid")).unionAll(placed.select("w", "b")).groupBy("cid").agg(F.collect_set("w").alias("shards"))  # as many as it has hubs
+    wanted = classes.join(need, "cid").groupBy(F.col("rep").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("shards"))).alias("shards"))
+    sets = _segments(docs.join(wanted, "id"))
+    asked = placed.select(F.col("w").alias("pw"), F.explode(F.sequence(F.lit(0), F.lit(VERTICAL - 1))).alias("pv"), "a", "b")
+    total = sets.groupBy("w", "v").cogroup(asked.groupBy("pw", "pv")).applyInPandas(_overlaps, "a binary, b binary, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
     return pairs.join(total, ["a", "b"]).where(DENOMINATOR * F.col("both") >= NUMERATOR * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
@@ -268,14 +280,12 @@ def joined(docs: DataFrame, id_col: str = "doc_id", small: int = SMALL) -> DataF
     classes = saved(rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fragments = max(32, int(total * 2 // FRAGMENT_BYTES) + 1)  # a quarter of 8 bytes a shingle
-    met = saved(_prefixes(docs, order, fragments).groupBy("f").applyInPandas(lambda pdf: _meet(pdf, small), "key long, a binary, b binary, na long, nb long"), "met")
-    pairs = saved(met.where("key is null").select("a", "b", "na", "nb").distinct(), "pairs")
+    shards = max(SHARDS, int(total * 8 // (VERTICAL * FRAGMENT_BYTES)) + 1)  # so that a shard's fragment stays small
+    met = saved(_prefixes(docs, order, fragments).groupBy("f").applyInPandas(lambda pdf: _meet(pdf, small), "key long, a binary, b binary, na long, nb long, lead long"), "met")
+    pairs = saved(met.where("key is null").select("a", "b", "na", "nb", "lead").distinct(), "pairs")
     large = met.where("key is not null").select("key", F.col("a").alias("cid"), F.col("na").alias("n"))
-    need = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).unionAll(large.select("cid")).distinct()
-    wanted = classes.join(need, "cid", "left_semi").select(F.col("rep").alias("id"))
-    mine = docs.select(F.col(id_col).alias("id"), "text").join(wanted, "id", "left_semi")
-    segments = saved(_segments(mine), "segments")
-    links = saved(_verified(pairs, segments), "ngram-links")
+    texts = docs.select(F.col(id_col).alias("id"), "text")
+    links = saved(_verified(pairs, classes, texts, shards), "ngram-links")
     first = saved(_components(links, classes), "first-round")
     # Second round: large groups that still hold several components.
     held = large.join(first, "cid", "left").select("key", "cid", "n", F.coalesce(F.col("component").cast("string"), F.hex("cid")).alias("component"))
@@ -285,12 +295,12 @@ def joined(docs: DataFrame, id_col: str = "doc_id", small: int = SMALL) -> DataF
     cross = minor.join(rest.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")), "key")
     cross = cross.where((F.col("ca") != F.col("cb")) & (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")))
     swap = F.col("a") > F.col("b")
-    cross = cross.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
+    cross = cross.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct().withColumn("lead", F.xxhash64("a"))
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = saved(cross.join(known, ["a", "b"], "left_anti"), "second-round")
     found = first
     if more.limit(1).count():
-        found = _components(links.unionAll(_verified(more, segments)), classes)
+        found = _components(links.unionAll(_verified(more, classes, texts, shards)), classes)
     out = rows.join(classes.select("cid", "rep"), "cid", "left").join(found, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
 

@@ -34,10 +34,11 @@ from tarn.llm.shared import components, dropped, saved, text_or_empty
 
 NUMERATOR, DENOMINATOR = 75, 100
 SMALL, HUBS = 6, 3
-LOCAL, MAX_FREQUENT = 4, 1 << 18
+LOCAL, MAX_FREQUENT = 3, 1 << 20
 FRAGMENT_BYTES = 8 << 20
 VERTICAL, SHARDS = 3, 64
 PAIRS = 1000  # of one lead in a shard
+SURE = 1 << 40  # stands for enough shared shingles: the pair is tested in any case
 KEPT = 2_000_000  # shingles counted at once in a partition
 
 
@@ -63,6 +64,7 @@ def _profiles(docs: DataFrame, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, counts, fresh, size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [], 0
+        sets: set[bytes] = set()
 
         def merged():
             every, w = np.concatenate([held, *fresh]), np.concatenate([counts, *[np.ones(len(x), dtype=np.int64) for x in fresh]])
@@ -77,9 +79,11 @@ def _profiles(docs: DataFrame, id_col: str) -> DataFrame:
             for _, part in in_parts(texts):
                 keys, of, n = shingle_sets(part)
                 n_all.append(n)
-                cid_all += [r.tobytes() for r in _digests(keys, of, n)]
-                fresh.append(keys)
-                size += len(keys)
+                mine = [r.tobytes() for r in _digests(keys, of, n)]
+                cid_all += mine
+                first = np.array([not (c in sets or sets.add(c)) for c in mine], dtype=bool)  # equal sets count once
+                fresh.append(keys[first[of]])
+                size += len(fresh[-1])
                 if size > KEPT:
                     held, counts = merged()
                     fresh, size = [], 0
@@ -150,6 +154,17 @@ def _may_link(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     return DENOMINATOR * np.minimum(na, nb) >= NUMERATOR * np.maximum(na, nb)
 
 
+def _required():
+    """Shared prefix shingles that a linked pair has at least.
+
+    Common shingles outside the shared prefix lie outside the prefix of the
+    class whose prefix ends first, of which there are ceil(t n) - 1.
+    """
+    t, n = NUMERATOR, DENOMINATOR
+    overlap = F.ceil(t * (F.col("na") + F.col("nb")) / (t + n))
+    return F.greatest(F.lit(1), overlap - F.ceil(t * F.greatest("na", "nb") / n) + 1)
+
+
 def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
     """Within a fragment: candidate pairs (a, b), and (key, a) for the members of large groups."""
     cids = np.frombuffer(b"".join(pdf.cids), dtype="V16")
@@ -177,23 +192,25 @@ def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
             for j in range(i + 1, size):
                 left.append(who[g + i])
                 right.append(who[g + j])
+    seen = sum(map(len, left))
     for s, size in zip(begin[count > small], count[count > small], strict=True):
         m = who[s : s + size]
-        hubs = m[np.argsort(scatter[m].view(np.int64))[:HUBS]]
-        for h in hubs:
+        for h in m[np.argsort(scatter[m].view(np.int64))[:HUBS]]:
             left.append(np.full(size, h))
             right.append(m)
         big_key.append(np.full(size, keys[s]))
         big_who.append(m)
     a, b = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for x in (left, right))
+    met = np.where(np.arange(len(a)) < seen, 1, SURE)
     ok = (a != b) & _may_link(n[a], n[b])
-    a, b = a[ok], b[ok]
+    a, b, met = a[ok], b[ok], met[ok]
     hub_first = scatter[a].view(np.int64) <= scatter[b].view(np.int64)
     a, b = np.where(hub_first, a, b), np.where(hub_first, b, a)
-    pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+    pairs, place = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True) if len(a) else (np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64))
+    shared = np.bincount(place.ravel(), weights=met, minlength=len(pairs)).astype(np.int64)
     k, w = np.concatenate([*big_key, np.zeros(0, dtype=np.uint64)]).astype(np.uint64), np.concatenate([*big_who, np.zeros(0, dtype=np.int64)]).astype(np.int64)
     ids = lambda x: [v.tobytes() for v in name[x]]
-    return pd.DataFrame({"key": [None] * len(pairs) + k.view(np.int64).tolist(), "a": ids(pairs[:, 0]) + ids(w), "b": ids(pairs[:, 1]) + [None] * len(w), "na": n[pairs[:, 0]].tolist() + n[w].tolist(), "nb": n[pairs[:, 1]].tolist() + [0] * len(w), "lead": scatter[pairs[:, 0]].view(np.int64).tolist() + [0] * len(w)}).astype({"key": "Int64"})
+    return pd.DataFrame({"key": [None] * len(pairs) + k.view(np.int64).tolist(), "a": ids(pairs[:, 0]) + ids(w), "b": ids(pairs[:, 1]) + [None] * len(w), "na": n[pairs[:, 0]].tolist() + n[w].tolist(), "nb": n[pairs[:, 1]].tolist() + [0] * len(w), "lead": scatter[pairs[:, 0]].view(np.int64).tolist() + [0] * len(w), "c": shared.tolist() + [0] * len(w)}).astype({"key": "Int64"})
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -281,8 +298,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id", small: int = SMALL) -> DataF
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fragments = max(32, int(total * 2 // FRAGMENT_BYTES) + 1)  # a quarter of 8 bytes a shingle
     shards = max(SHARDS, int(total * 8 // (VERTICAL * FRAGMENT_BYTES)) + 1)  # so that a shard's fragment stays small
-    met = saved(_prefixes(docs, order, fragments).groupBy("f").applyInPandas(lambda pdf: _meet(pdf, small), "key long, a binary, b binary, na long, nb long, lead long"), "met")
-    pairs = saved(met.where("key is null").select("a", "b", "na", "nb", "lead").distinct(), "pairs")
+    met = saved(_prefixes(docs, order, fragments).groupBy("f").applyInPandas(lambda pdf: _meet(pdf, small), "key long, a binary, b binary, na long, nb long, lead long, c long"), "met")
+    counted = saved(met.where("key is null").groupBy("a", "b", "na", "nb", "lead").agg(F.sum("c").alias("c")), "counted")
+    pairs = counted.where(F.col("c") >= _required()).drop("c")
     large = met.where("key is not null").select("key", F.col("a").alias("cid"), F.col("na").alias("n"))
     texts = docs.select(F.col(id_col).alias("id"), "text")
     links = saved(_verified(pairs, classes, texts, shards), "ngram-links")
@@ -295,9 +313,11 @@ def joined(docs: DataFrame, id_col: str = "doc_id", small: int = SMALL) -> DataF
     cross = minor.join(rest.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")), "key")
     cross = cross.where((F.col("ca") != F.col("cb")) & (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")))
     swap = F.col("a") > F.col("b")
-    cross = cross.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct().withColumn("lead", F.xxhash64("a"))
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = saved(cross.join(known, ["a", "b"], "left_anti"), "second-round")
+    cross = cross.select("key", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
+    cross = cross.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("keys"))
+    before = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", (F.col("c") >= _required()).alias("tested"))
+    more = cross.join(before, ["a", "b"], "left").where(~F.coalesce("tested", F.lit(False)) & (F.col("keys") + F.coalesce("c", F.lit(0)) >= _required()))
+    more = saved(more.select("a", "b", "na", "nb", F.xxhash64("a").alias("lead")), "second-round")
     found = first
     if more.limit(1).count():
         found = _components(links.unionAll(_verified(more, classes, texts, shards)), classes)

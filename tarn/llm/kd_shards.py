@@ -22,86 +22,97 @@ from tarn.llm.shared import dropped, saved, text_or_empty
 
 BINS = 4096
 OVERHEAD = 16
-TIE_SPACE = 1 << 40
+TIE_SPACE = BINS * BINS  # two passes; a shard holds many of its values at any size
+SPACE = 1 << 61
 #: A cut is exact enough once the bin it lies in holds this part of a shard.
 TOLERANCE = 0.0002
 
 
 def _coordinate(df: DataFrame, name: str) -> Column:
-    """A long: numbers as they are, other values as a hash."""
+    """A long whose differences are longs too: numbers as they are, other values as a hash."""
     if isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType)):
-        return F.coalesce(F.col(name).cast("long"), F.lit(0))
+        number = F.col(name).try_cast("long")
+        return F.coalesce(F.least(F.greatest(number, F.lit(-SPACE)), F.lit(SPACE)), F.lit(0))
     return F.coalesce(F.pmod(F.xxhash64(F.col(name)), F.lit(1 << 20)), F.lit(0).cast("long"))
 
 
-class _Node:
-    def __init__(self, leaves: int, first: int):
-        self.leaves, self.first = leaves, first  # its shards are first .. first + leaves - 1
-        self.cut: tuple | None = None  # (dimension, value, tie): left if below
+def _by_node(values: dict[int, int]) -> Column:
+    """The value of the node that a group is in now, null where it has none."""
+    known = [f"{values[i]}L" if i in values else "null" for i in range(max(values) + 1)]
+    return F.get(F.expr(f"array({', '.join(known)})"), F.col("node"))
 
 
-def _walk(nodes: dict[int, _Node], at, i: int = 0) -> Column:
-    """``at(i)`` for the node that a group is in now; 0 is the root, i has the children 2i+1 and 2i+2."""
-    if nodes[i].cut is None:
-        return at(i)
-    dim, value, tie = nodes[i].cut
-    left = (F.col(dim) < value) | ((F.col(dim) == value) & (F.col("tie") <= tie))
-    return F.when(left, _walk(nodes, at, 2 * i + 1)).otherwise(_walk(nodes, at, 2 * i + 2))
+def _on_axis(dims: list[str], axis: dict[int, int]) -> Column:
+    """The coordinate along the axis of the group's node."""
+    here = _by_node(axis)
+    return F.coalesce(*[F.when(here == k, F.col(d)) for k, d in enumerate(dims)])
 
 
-def _narrow(groups: DataFrame, nodes: dict[int, _Node], state: dict[int, dict], key: str) -> None:
-    """Narrows [lo, hi] of each node in state until one value holds the quantile, by the column that ``key`` names in state."""
+def _narrow(frame: DataFrame, value: Column, state: dict[int, dict]) -> None:
+    """Narrows [lo, hi] of each node in state until one value, or a range that is light enough, holds the quantile."""
     while open_ := {i: s for i, s in state.items() if s["hi"] > s["lo"] and s["mass"] > s["tolerance"]}:
-
-        def bin_at(i: int) -> Column:
-            if (s := open_.get(i)) is None:
-                return F.lit(None).cast("long")
+        for s in open_.values():
             s["width"] = -(-(s["hi"] - s["lo"] + 1) // BINS)
-            here = s["where"] & F.col(s[key]).between(s["lo"], s["hi"])
-            return F.when(here, F.expr(f"({s[key]} - {s['lo']}L) div {s['width']}L"))
-
-        bins = groups.select(_walk(nodes, F.lit).alias("node"), _walk(nodes, bin_at).alias("bin"), "w").groupBy("node", "bin").agg(F.sum("w").alias("w")).collect()  # at most BINS a node
+        lo, hi, width = (_by_node({i: s[k] for i, s in open_.items()}) for k in ("lo", "hi", "width"))
+        # No filter: pushed below the projections, it would hold their expressions many times over.
+        near = frame.select("node", "w", value.alias("value"), lo.alias("lo"), hi.alias("hi"), width.alias("width"))
+        bin_ = F.when(F.col("value").between(F.col("lo"), F.col("hi")), F.expr("(value - lo) div width"))
+        bins = near.select("node", "w", bin_.alias("bin")).groupBy("node", "bin").agg(F.sum("w").alias("w"))
+        found: dict[int, list[tuple[int, int]]] = {i: [] for i in open_}
+        for node, k, w in bins.collect():  # at most BINS a node
+            if k is not None:
+                found[node].append((k, w))
         for i, s in open_.items():
             below = s["below"]
-            for r in sorted((r for r in bins if r.node == i and r.bin is not None), key=lambda r: r.bin):
-                if below + r.w >= s["target"]:
-                    lo = s["lo"] + r.bin * s["width"]
-                    s |= {"lo": lo, "hi": min(s["hi"], lo + s["width"] - 1), "below": below, "mass": r.w}
+            for k, w in sorted(found[i]):
+                if below + w >= s["target"]:
+                    lo_k = s["lo"] + k * s["width"]
+                    s |= {"lo": lo_k, "hi": min(s["hi"], lo_k + s["width"] - 1), "below": below, "mass": w}
                     break
-                below += r.w
+                below += w
             else:
                 s |= {"lo": s["hi"], "below": below, "mass": 0}
 
 
-def kd_tree(groups: DataFrame, dims: list[str], n_shards: int) -> Column:
-    """The shard column over ``groups`` (w, tie and the dimensions, all long)."""
-    nodes = {0: _Node(n_shards, 0)}
-    span: dict[str, float] = {}
-    while active := [i for i, n in nodes.items() if n.leaves > 1 and n.cut is None]:
-        stats = groups.select(_walk(nodes, F.lit).alias("node"), "w", *dims).groupBy("node").agg(F.sum("w").alias("w"), *[f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
-        stats = {r.node: r for r in stats}
+def kd_tree(groups: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
+    """The groups (w, tie and the dimensions, all long) with their ``shard``.
+
+    Nodes are numbered as in a heap: i has the children 2i + 1 and 2i + 2.  A
+    level adds one projection, which looks the cut up by node, so the plan
+    grows with the depth of the tree and not with its size.
+    """
+    leaves, first = {0: n_shards}, {0: 0}
+    frame = groups.withColumn("node", F.lit(0))
+    span: list[int] = []
+    while active := [i for i, n in leaves.items() if n > 1]:
+        cols = [f(d) for d in dims for f in (F.min, F.max)]
+        stats = {r[0]: r[1:] for r in frame.groupBy("node").agg(F.sum("w"), *cols).collect()}  # a row a node
         state: dict[int, dict] = {}
-        cuts = {}
+        for i in (i for i in active if i in stats):
+            w, bounds = stats[i][0], stats[i][1:]
+            wide = [bounds[2 * k + 1] - bounds[2 * k] for k in range(len(dims))]
+            span = span or [max(1, x) for x in wide]
+            axis = max(range(len(dims)), key=lambda k: wide[k] / span[k])
+            state[i] = {"axis": axis, "lo": bounds[2 * axis], "hi": bounds[2 * axis + 1], "below": 0, "mass": w, "target": w * (leaves[i] // 2) / leaves[i], "tolerance": w / leaves[i] * TOLERANCE}
+        if state:
+            along = _on_axis(dims, {i: s["axis"] for i, s in state.items()})
+            _narrow(frame, along, state)
+            cut, tie = {i: s["hi"] for i, s in state.items()}, dict.fromkeys(state, TIE_SPACE)
+            if one := {i: s for i, s in state.items() if s["hi"] == s["lo"]}:  # one value holds the quantile: split it by hash
+                for s in one.values():
+                    s |= {"lo": 0, "hi": TIE_SPACE - 1}
+                _narrow(frame, F.when(along == _by_node({i: cut[i] for i in one}), F.col("tie")), one)
+                tie |= {i: s["hi"] for i, s in one.items()}
+            at = _by_node(cut)
+            left = (along < at) | ((along == at) & (F.col("tie") <= _by_node(tie)))
+            child = F.when(left, F.col("node") * 2 + 1).otherwise(F.col("node") * 2 + 2)
+            frame = frame.withColumn("node", F.when(at.isNull(), F.col("node")).otherwise(child))
         for i in active:
-            n, r = nodes[i], stats.get(i)
-            half = n.leaves // 2
-            nodes[2 * i + 1], nodes[2 * i + 2] = _Node(half, n.first), _Node(n.leaves - half, n.first + half)
-            if r is None:  # no group comes here
-                cuts[i] = (dims[0], 0, 0)
-                continue
-            if i == 0:
-                span = {d: max(1, r[f"hi_{d}"] - r[f"lo_{d}"]) for d in dims}
-            dim = max(dims, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / span[d])
-            state[i] = {"dim": dim, "lo": r[f"lo_{dim}"], "hi": r[f"hi_{dim}"], "below": 0, "mass": r.w, "target": r.w * half / n.leaves, "tolerance": r.w / n.leaves * TOLERANCE, "where": F.lit(True)}
-        _narrow(groups, nodes, state, "dim")
-        for s in state.values():  # either one value holds the quantile, or the range is too light to matter
-            s |= {"value": s["hi"], "exact": s["hi"] == s["lo"], "tie": "tie", "where": F.col(s["dim"]) == s["lo"], "lo": 0, "hi": TIE_SPACE - 1}
-        _narrow(groups, nodes, {i: s for i, s in state.items() if s["exact"]}, "tie")
-        for i, s in state.items():
-            cuts[i] = (s["dim"], s["value"], s["hi"] if s["exact"] else TIE_SPACE)
-        for i, cut in cuts.items():
-            nodes[i].cut = cut
-    return _walk(nodes, lambda i: F.lit(nodes[i].first)).cast("int")
+            half, n, start = leaves[i] // 2, leaves.pop(i), first.pop(i)
+            if i in stats:  # else no group comes here
+                leaves |= {2 * i + 1: half, 2 * i + 2: n - half}
+                first |= {2 * i + 1: start, 2 * i + 2: start + half}
+    return frame.withColumn("shard", _by_node(first or {0: 0}).cast("int")).drop("node")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", metadata: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
@@ -118,11 +129,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     groups = thin.groupBy("g1", "g2").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"), F.min("id").alias("m_first"), *[F.min(f"m_{m}").alias(f"m_{m}") for m in dims])
     numeric_id = isinstance(thin.schema["id"].dataType, T.IntegralType)
     groups = saved(groups.withColumn("m_first", F.coalesce(F.col("m_first") if numeric_id else F.lit(0), F.lit(0)).cast("long")).withColumn("tie", F.pmod("g1", F.lit(TIE_SPACE))), "groups")
-    shard = kd_tree(groups, [f"m_{m}" for m in dims] + ["m_first"], n_shards)
+    located = kd_tree(groups, [f"m_{m}" for m in dims] + ["m_first"], n_shards).select("g1", "g2", "shard")
     rows = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     subs = max(64, rows // (n_shards * 5000))
     sub = F.pmod(F.xxhash64("id", "crc"), F.lit(subs)).cast("int")
-    placed = saved(thin.join(groups.select("g1", "g2", shard.alias("shard")), ["g1", "g2"]).select("id", "size", F.col("crc").alias("text_crc32"), "shard", sub.alias("sub")), "placed")
+    placed = saved(thin.join(located, ["g1", "g2"]).select("id", "size", F.col("crc").alias("text_crc32"), "shard", sub.alias("sub")), "placed")
     dropped(thin, groups)
     # Slots: a count for each part of a shard, its running sum, and a number within the part.
     counts = placed.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,9 @@ against the threshold.
 Candidate pairs stay few without losing a link: of the classes that share a
 shingle, up to SMALL pair with each other, and more of them pair with HUBS of
 them first.  When those links are known, pairs whose classes are already in
-one component need no test; the others are tested in a second round.
+one component need no test; the others are tested in a second round.  There a
+shared shingle proposes a pair only if it is early for the smaller class: among
+its first n - ceil(2t/(1+t) n) + 1, one of which the larger class has in its prefix.
 
 Frequent shingles are those that a partition finds in LOCAL documents or more,
 at most MAX_FREQUENT of them: they only set the order, never the result.
@@ -125,7 +127,7 @@ def _prefixes(docs: DataFrame, order, fragments: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = {"f": [], "cids": [], "ns": [], "sizes": [], "keys": []}
+            rows = {"f": [], "cids": [], "ns": [], "sizes": [], "keys": [], "early": []}
             for _, part in in_parts(_bytes(b.column(0)), 4_000_000):
                 keys, of, n = shingle_sets(part)
                 cids = _digests(keys, of, n)
@@ -136,18 +138,19 @@ def _prefixes(docs: DataFrame, order, fragments: int) -> DataFrame:
                 first = np.zeros(len(n), dtype=bool)
                 first[np.unique(cids, axis=0, return_index=True)[1]] = True  # one of equal documents here
                 keep = (place < (n - (n * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1)[of]) & first[of]
-                value, of = value[keep], of[keep]
+                early = place < (n - (2 * n * NUMERATOR + NUMERATOR + DENOMINATOR - 1) // (NUMERATOR + DENOMINATOR) + 1)[of]
+                value, of, early = value[keep], of[keep], early[keep]
                 f = fragment_of(value, fragments)
                 at = np.lexsort((value, of, f))
-                value, of, f = value[at], of[at], f[at]
+                value, of, f, early = value[at], of[at], f[at], early[at]
                 cut = np.flatnonzero(np.diff(f)) + 1 if len(f) else []
-                for v, d, ff in zip(np.split(value, cut), np.split(of, cut), np.split(f, cut), strict=True) if len(f) else ():
+                for v, d, ff, e in zip(np.split(value, cut), np.split(of, cut), np.split(f, cut), np.split(early, cut), strict=True) if len(f) else ():
                     who, size = np.unique(d, return_counts=True)
-                    for c, x in zip(rows, (int(ff[0]), cids[who].tobytes(), n[who].astype("<i4").tobytes(), size.astype("<i4").tobytes(), v.astype("<u8").tobytes()), strict=True):
+                    for c, x in zip(rows, (int(ff[0]), cids[who].tobytes(), n[who].astype("<i4").tobytes(), size.astype("<i4").tobytes(), v.astype("<u8").tobytes(), e.tobytes()), strict=True):
                         rows[c].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["f"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in ("cids", "ns", "sizes", "keys")]], names=list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(rows["f"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in ("cids", "ns", "sizes", "keys", "early")]], names=list(rows))
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "f int, cids binary, ns binary, sizes binary, keys binary")
+    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "f int, cids binary, ns binary, sizes binary, keys binary, early binary")
 
 
 def _may_link(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -166,11 +169,12 @@ def _required():
 
 
 def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
-    """Within a fragment: candidate pairs (a, b), and (key, a) for the members of large groups."""
+    """Within a fragment: candidate pairs (a, b), and (key, a, early) for the members of large groups."""
     cids = np.frombuffer(b"".join(pdf.cids), dtype="V16")
     ns = np.frombuffer(b"".join(pdf.ns), dtype="<i4").astype(np.int64)
     sizes = np.frombuffer(b"".join(pdf.sizes), dtype="<i4")
     keys = np.frombuffer(b"".join(pdf["keys"]), dtype="<u8")
+    early = np.frombuffer(b"".join(pdf.early), dtype=bool)
     two = cids.view(np.uint64).reshape(-1, 2)
     order = np.lexsort((two[:, 1], two[:, 0]))
     new = np.concatenate([[True], (two[order][1:] != two[order][:-1]).any(axis=1)])
@@ -180,12 +184,12 @@ def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
     scatter = mix(two[order][new][:, 0] ^ np.uint64(0xA5A5))  # hubs have the smallest, as signed numbers
     who = np.repeat(number, sizes)
     at = np.lexsort((who, keys))
-    keys, who = keys[at], who[at]
+    keys, who, early = keys[at], who[at], early[at]
     new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (who[1:] != who[:-1])])  # equal classes from several parts
-    keys, who = keys[new], who[new]
+    keys, who, early = keys[new], who[new], early[new]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     count = np.diff(np.append(begin, len(keys)))
-    left, right, big_key, big_who = [], [], [], []
+    left, right, big_key, big_who, big_early = [], [], [], [], []
     for size in range(2, small + 1):
         g = begin[count == size]
         for i in range(size):
@@ -200,6 +204,7 @@ def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
             right.append(m)
         big_key.append(np.full(size, keys[s]))
         big_who.append(m)
+        big_early.append(early[s : s + size])
     a, b = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for x in (left, right))
     met = np.where(np.arange(len(a)) < seen, 1, SURE)
     ok = (a != b) & _may_link(n[a], n[b])
@@ -210,7 +215,7 @@ def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
     shared = np.bincount(place.ravel(), weights=met, minlength=len(pairs)).astype(np.int64)
     k, w = np.concatenate([*big_key, np.zeros(0, dtype=np.uint64)]).astype(np.uint64), np.concatenate([*big_who, np.zeros(0, dtype=np.int64)]).astype(np.int64)
     ids = lambda x: [v.tobytes() for v in name[x]]
-    return pd.DataFrame({"key": [None] * len(pairs) + k.view(np.int64).tolist(), "a": ids(pairs[:, 0]) + ids(w), "b": ids(pairs[:, 1]) + [None] * len(w), "na": n[pairs[:, 0]].tolist() + n[w].tolist(), "nb": n[pairs[:, 1]].tolist() + [0] * len(w), "lead": scatter[pairs[:, 0]].view(np.int64).tolist() + [0] * len(w), "c": shared.tolist() + [0] * len(w)}).astype({"key": "Int64"})
+    return pd.DataFrame({"key": [None] * len(pairs) + k.view(np.int64).tolist(), "a": ids(pairs[:, 0]) + ids(w), "b": ids(pairs[:, 1]) + [None] * len(w), "na": n[pairs[:, 0]].tolist() + n[w].tolist(), "nb": n[pairs[:, 1]].tolist() + [0] * len(w), "lead": scatter[pairs[:, 0]].view(np.int64).tolist() + [0] * len(w), "c": shared.tolist() + [0] * len(w), "early": np.concatenate([np.zeros(len(pairs), dtype=bool), *big_early])}).astype({"key": "Int64"})
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -298,25 +303,34 @@ def joined(docs: DataFrame, id_col: str = "doc_id", small: int = SMALL) -> DataF
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fragments = max(32, int(total * 2 // FRAGMENT_BYTES) + 1)  # a quarter of 8 bytes a shingle
     shards = max(SHARDS, int(total * 8 // (VERTICAL * FRAGMENT_BYTES)) + 1)  # so that a shard's fragment stays small
-    met = saved(_prefixes(docs, order, fragments).groupBy("f").applyInPandas(lambda pdf: _meet(pdf, small), "key long, a binary, b binary, na long, nb long, lead long, c long"), "met")
+    met = saved(_prefixes(docs, order, fragments).groupBy("f").applyInPandas(lambda pdf: _meet(pdf, small), "key long, a binary, b binary, na long, nb long, lead long, c long, early boolean"), "met")
     counted = saved(met.where("key is null").groupBy("a", "b", "na", "nb", "lead").agg(F.sum("c").alias("c")), "counted")
     pairs = counted.where(F.col("c") >= _required()).drop("c")
-    large = met.where("key is not null").select("key", F.col("a").alias("cid"), F.col("na").alias("n"))
+    large = met.where("key is not null").select("key", F.col("a").alias("cid"), F.col("na").alias("n"), "early")
     texts = docs.select(F.col(id_col).alias("id"), "text")
     links = saved(_verified(pairs, classes, texts, shards), "ngram-links")
     first = saved(_components(links, classes), "first-round")
     # Second round: large groups that still hold several components.
-    held = large.join(first, "cid", "left").select("key", "cid", "n", F.coalesce(F.col("component").cast("string"), F.hex("cid")).alias("component"))
-    open_ = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main")
+    held = large.join(first, "cid", "left").select("key", "cid", "n", "early", F.coalesce(F.col("component").cast("string"), F.hex("cid")).alias("component"))
+    open_ = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.max("early").alias("early")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k"), F.max("early").alias("led")).where("k > 1").select("key", "main", "led")
     rest = saved(held.join(open_, "key"), "rest")
-    minor = rest.where("component <> main").select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    cross = minor.join(rest.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")), "key")
-    cross = cross.where((F.col("ca") != F.col("cb")) & (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")))
-    swap = F.col("a") > F.col("b")
-    cross = cross.select("key", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
-    cross = cross.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("keys"))
-    before = counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "c", (F.col("c") >= _required()).alias("tested"))
-    more = cross.join(before, ["a", "b"], "left").where(~F.coalesce("tested", F.lit(False)) & (F.col("keys") + F.coalesce("c", F.lit(0)) >= _required()))
+    led = rest.where("led")
+    minor = led.where("component <> main").select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("early").alias("ea"))
+    cross = minor.join(led.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("early").alias("eb")), "key")
+    # The early shingles of the smaller class hold one that the larger class has in its prefix; of equal ones, both are early.
+    leads = (F.col("ea") | (F.col("na") > F.col("nb"))) & (F.col("eb") | (F.col("nb") > F.col("na")))
+    cross = cross.where((F.col("ca") != F.col("cb")) & (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")) & leads)
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb")]
+    # Each pair with its count in small groups; those with enough of it are tested already.
+    likely = cross.select(*pair, F.lit(0).cast("long").alias("c")).unionAll(counted.select(*pair, "c")).groupBy("a", "b", "na", "nb").agg(F.max("c").alias("c")).where(F.col("c") < _required())
+    own = rest.groupBy("cid").agg(F.count(F.lit(1)).alias("k"), F.first("component").alias("component"))
+    for side in "ab":
+        likely = likely.join(own.select(F.col("cid").alias(side), F.col("k").alias(f"k{side}"), F.col("component").alias(f"c{side}")), side)
+    likely = likely.where((F.col("ca") != F.col("cb")) & (F.col("c") + F.least("ka", "kb") >= _required())).select("a", "b", "na", "nb", "c")
+    lists = rest.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # at most the prefix of a class
+    for side in "ab":
+        likely = likely.join(lists.select(F.col("cid").alias(side), F.col("keys").alias(f"keys_{side}")), side)
+    more = likely.where(F.col("c") + F.size(F.array_intersect("keys_a", "keys_b")) >= _required())
     more = saved(more.select("a", "b", "na", "nb", F.xxhash64("a").alias("lead")), "second-round")
     found = first
     if more.limit(1).count():

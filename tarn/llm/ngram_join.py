@@ -15,6 +15,8 @@ them first.  When those links are known, pairs whose classes are already in
 one component need no test; the others are tested in a second round.  There a
 shared shingle proposes a pair only if it is early for the smaller class: among
 its first n - ceil(2t/(1+t) n) + 1, one of which the larger class has in its prefix.
+Only texts of classes in a pair move: a Bloom filter of their ids sorts out
+most others at the scan.
 
 Frequent shingles are those that a partition finds in LOCAL documents or more,
 at most MAX_FREQUENT of them: they only set the order, never the result.
@@ -42,6 +44,7 @@ VERTICAL, SHARDS = 3, 64
 PAIRS = 1000  # of one lead in a shard
 SURE = 1 << 40  # stands for enough shared shingles: the pair is tested in any case
 KEPT = 2_000_000  # shingles counted at once in a partition
+ID_BITS, MAX_BITS = 16, 1 << 27  # of the filter of wanted ids: for each id, and at most
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -265,6 +268,36 @@ def _overlaps(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": out_a, "b": out_b, "part": np.concatenate([*part, np.zeros(0, dtype=np.int64)]).astype(np.int64)})
 
 
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    u = h.astype(np.int64).view(np.uint64)
+    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (u, u >> np.uint64(32))]
+
+
+def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose id may be among the wanted ones, by a Bloom filter of at most MAX_BITS.
+
+    A full filter lets more rows pass to the join that follows, never fewer.
+    """
+    bits = 64
+    while bits < min(ID_BITS * wanted.count(), MAX_BITS):
+        bits *= 2
+    h = F.xxhash64("id")
+    place = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at")
+    words = wanted.select(place).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("set")).toArrow()
+    table = np.zeros(bits // 32, dtype=np.uint32)
+    table[words.column("word").to_numpy()] = words.column("set").to_numpy().astype(np.uint32)
+    table = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        out = np.ones(len(h), dtype=bool)
+        for at in _places(h.to_numpy(), bits):
+            out &= (table.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+        return pd.Series(out)
+
+    return docs.where(may(h))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
     """The pairs (a, b, na, nb, lead) that link: partial overlaps by fragment, summed per pair.
 
@@ -277,8 +310,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shards: int
     home = leads.join(parts, "top").select(F.col("b").alias("hb"), F.pmod(F.xxhash64("top", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(shards)).cast("int").alias("w"))
     placed = saved(pairs.join(home, F.col("b") == F.col("hb")).select("w", "a", "b"), "placed")
     need = placed.select("w", F.col("a").alias("cid")).unionAll(placed.select("w", "b")).groupBy("cid").agg(F.collect_set("w").alias("shards"))  # as many as it has hubs
-    wanted = classes.join(need, "cid").groupBy(F.col("rep").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("shards"))).alias("shards"))
-    sets = _segments(docs.join(wanted, "id"))
+    wanted = saved(classes.join(need, "cid").groupBy(F.col("rep").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("shards"))).alias("shards")), "wanted")
+    sets = _segments(_only(docs, wanted).join(wanted, "id"))
     asked = placed.select(F.col("w").alias("pw"), F.explode(F.sequence(F.lit(0), F.lit(VERTICAL - 1))).alias("pv"), "a", "b")
     total = sets.groupBy("w", "v").cogroup(asked.groupBy("pw", "pv")).applyInPandas(_overlaps, "a binary, b binary, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
     return pairs.join(total, ["a", "b"]).where(DENOMINATOR * F.col("both") >= NUMERATOR * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")

@@ -170,3 +170,15 @@ def test_components(spark):
     touched = {x for e in edges if e[0] != e[1] for x in e}
     want = {(i, c) for i, c in enumerate(u.least()) if i in touched}
     assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_wanted_filter(spark, monkeypatch):
+    """Ids that are wanted always pass, of a full filter too; most others do not, if it has room."""
+    docs = spark.createDataFrame([(i, "x") for i in [-5, *range(3000)]] + [(None, "x")], "id long, text string")
+    wanted = docs.where("id % 10 = 0 or id = -5").select("id")
+    keep = {-5, *range(0, 3000, 10)}
+    got = {r.id for r in ngram_join._only(docs, wanted).collect()}
+    assert keep <= got and len(got) < 450
+    assert ngram_join._only(docs, wanted.where("false")).count() == 0
+    monkeypatch.setattr(ngram_join, "MAX_BITS", 64)
+    assert keep <= {r.id for r in ngram_join._only(docs, wanted).collect()}

@@ -43,7 +43,7 @@ FRAGMENT_BYTES = 8 << 20
 VERTICAL, SHARDS = 3, 64
 PAIRS = 1000  # of one lead in a shard
 SURE = 1 << 40  # stands for enough shared shingles: the pair is tested in any case
-KEPT = 2_000_000  # shingles counted at once in a partition
+KEPT = 1_000_000  # shingles counted at once in a partition
 ID_BITS, MAX_BITS = 16, 1 << 27  # of the filter of wanted ids: for each id, and at most
 
 
@@ -131,7 +131,7 @@ def _prefixes(docs: DataFrame, order, fragments: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = {"f": [], "cids": [], "ns": [], "sizes": [], "keys": [], "early": []}
-            for _, part in in_parts(_bytes(b.column(0)), 4_000_000):
+            for _, part in in_parts(_bytes(b.column(0))):
                 keys, of, n = shingle_sets(part)
                 cids = _digests(keys, of, n)
                 value = order.value(keys)
@@ -227,7 +227,7 @@ def _segments(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shards = b.column(1).to_pylist()
-            for first, part in in_parts(_bytes(b.column(0)), 4_000_000):
+            for first, part in in_parts(_bytes(b.column(0))):
                 w, v, cid, out = [], [], [], []
                 keys, of, n = shingle_sets(part)
                 cids = _digests(keys, of, n)

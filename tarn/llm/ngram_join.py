@@ -29,12 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tarn.llm.hashing import in_parts, mix, shingle_sets
-from tarn.llm.shared import components, dropped, saved, text_or_empty
+from tarn.llm.hashing import mix, shingle_sets
+from tarn.llm.shared import components, give_back, saved, text_or_empty
 
 NUMERATOR, DENOMINATOR = 75, 100
 SMALL, HUBS = 6, 3
@@ -47,8 +48,15 @@ KEPT = 1_000_000  # shingles counted at once in a partition
 ID_BITS, MAX_BITS = 16, 1 << 27  # of the filter of wanted ids: for each id, and at most
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
+def _parts(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of slices of about ``size`` bytes; a batch is never a list as a whole."""
+    data = column.cast(pa.binary())
+    ends = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(data):
+        last = min(len(data), int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size)) + 1)
+        yield first, data.slice(first, last - first).to_pylist()
+        first = last
 
 
 def _digests(keys: np.ndarray, docs: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -79,9 +87,8 @@ def _profiles(docs: DataFrame, id_col: str) -> DataFrame:
             return got[keep], total[keep]
 
         for b in batches:
-            texts = _bytes(b.column(1))
             n_all, cid_all = [], []
-            for _, part in in_parts(texts):
+            for _, part in _parts(b.column(1)):
                 keys, of, n = shingle_sets(part)
                 n_all.append(n)
                 mine = [r.tobytes() for r in _digests(keys, of, n)]
@@ -96,6 +103,8 @@ def _profiles(docs: DataFrame, id_col: str) -> DataFrame:
             none = pa.nulls(b.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(cid_all, pa.binary()), none, none], names=["id", "n", "cid", "key", "c"])
         held, counts = merged()
+        fresh.clear()
+        give_back()
         top = counts >= LOCAL
         k = int(top.sum())
         yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(held[top].view(np.int64)), pa.array(counts[top])], names=["id", "n", "cid", "key", "c"])
@@ -131,7 +140,7 @@ def _prefixes(docs: DataFrame, order, fragments: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = {"f": [], "cids": [], "ns": [], "sizes": [], "keys": [], "early": []}
-            for _, part in in_parts(_bytes(b.column(0))):
+            for _, part in _parts(b.column(0)):
                 keys, of, n = shingle_sets(part)
                 cids = _digests(keys, of, n)
                 value = order.value(keys)
@@ -152,6 +161,7 @@ def _prefixes(docs: DataFrame, order, fragments: int) -> DataFrame:
                     for c, x in zip(rows, (int(ff[0]), cids[who].tobytes(), n[who].astype("<i4").tobytes(), size.astype("<i4").tobytes(), v.astype("<u8").tobytes(), e.tobytes()), strict=True):
                         rows[c].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(rows["f"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in ("cids", "ns", "sizes", "keys", "early")]], names=list(rows))
+        give_back()
 
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, "f int, cids binary, ns binary, sizes binary, keys binary, early binary")
 
@@ -173,6 +183,7 @@ def _required():
 
 def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
     """Within a fragment: candidate pairs (a, b), and (key, a, early) for the members of large groups."""
+    give_back()
     cids = np.frombuffer(b"".join(pdf.cids), dtype="V16")
     ns = np.frombuffer(b"".join(pdf.ns), dtype="<i4").astype(np.int64)
     sizes = np.frombuffer(b"".join(pdf.sizes), dtype="<i4")
@@ -227,7 +238,7 @@ def _segments(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             shards = b.column(1).to_pylist()
-            for first, part in in_parts(_bytes(b.column(0))):
+            for first, part in _parts(b.column(0)):
                 w, v, cid, out = [], [], [], []
                 keys, of, n = shingle_sets(part)
                 cids = _digests(keys, of, n)
@@ -243,12 +254,14 @@ def _segments(docs: DataFrame) -> DataFrame:
                             cid.append(cids[i].tobytes())
                             out.append(raw)
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(v, pa.int32()), pa.array(cid, pa.binary()), pa.array(out, pa.binary())], names=["w", "v", "cid", "keys"])
+        give_back()
 
     return docs.select(text_or_empty().alias("text"), "shards").mapInArrow(run, "w int, v int, cid binary, keys binary")
 
 
 def _overlaps(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """Partial overlaps of the pairs in one fragment."""
+    give_back()
     at = {c: i for i, c in enumerate(sets.cid)}
     keys = [np.frombuffer(k, dtype="<u8") for k in sets["keys"]]
     out_a, out_b, part = [], [], []

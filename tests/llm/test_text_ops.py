@@ -116,3 +116,11 @@ def test_html_template(spark):
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"T{i}\nText é {i} bold more\none {i}\ntwo {i}" for i in range(12))
     assert got[50] == got[51] == "" and got[52] == "a\nb < c d" and got[53] == "deep" and got[54].startswith("ok\n1 < 2")
+
+
+def test_html_copies(spark):
+    """Copies of one article, of equal or of unlike pages, do not make a template of it."""
+    page = "<html><head><meta name='n' content='{0}'></head><body><article><h1>Title</h1><p>All of the text.</p></article></body></html>"
+    rows = [(i, "http://copies.example/a", page.format(0)) for i in range(10)] + [(20 + i, None, page.format(0)) for i in range(10)] + [(40 + i, "http://nonce.example/a", page.format(i)) for i in range(10)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 30 and set(got.values()) == {"Title\nAll of the text."}

@@ -4,11 +4,14 @@ Base: regular expressions for email, ip, card and phone, with code-point spans.
 Method: every identifier-like token (eight or more of letters, digits, _ and -,
 with a digit) is an instance; its pattern is the lexical context on its left
 plus its shape (kind of characters and length).  Seeds are instances that a
-base pattern matches, and values assigned to one of SEED_WORDS.  Spark scores
+base pattern matches, and values assigned to one of SEED_WORDS; those are
+instances whatever they look like: all of a quoted value, an unquoted one after
+``=``, and after ``:`` if it has a digit (without, it may be prose).  Spark scores
 the graph of patterns and instances in rounds: a pattern scores the smoothed
 mean of its instances, an instance that is no seed the best of its patterns of
 enough support.  Patterns over THRESHOLD give the kind ``id``: all their
-instances that no base span touches, everywhere.
+instances that no base span touches, everywhere.  Values assigned to a seed
+word have it too, however rare their pattern is: support is for spreading only.
 
 Null or empty text has no spans; repeated rows have equal spans; an empty
 table gives an empty result.  Patterns possessive throughout, so long runs
@@ -30,6 +33,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: An identifier: whole run of its characters, with a digit.
 TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{8,}+"
 SEED_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "passport", "ssn", "iban")
+#: A seed word and what assigns to it; values assigned to one, then identifiers.
+_WORD = rf"(?<![A-Za-z])(?i:{'|'.join(SEED_WORDS)})[\"']?\s{{0,4}}"
+ASSIGNED = rf"{_WORD}[=:]"
+VALUE = rf"(?<=[\s=:\"'])(?:(?<={_WORD}[=:]\s{{0,4}}[\"'])[^\"'\r\n]++(?=[\"'])|(?<={_WORD}=\s{{0,4}})[^\s\"',;()\[\]{{}}<>=]++(?![(\[{{=])|(?<={_WORD}:\s{{0,4}})(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]++)|{TOKEN}"
 ROUNDS, THRESHOLD, SUPPORT, SMOOTH = 3, 0.6, 5, 1.0
 CONTEXT = 40
 BLOCK = 256
@@ -104,9 +111,9 @@ def _struct_of(kind: int):
 
 
 def _candidates(text: Column) -> Column:
-    """array<struct<s, e, v, left>> of identifier-like tokens."""
+    """array<struct<s, e, v, left>> of identifier-like tokens and values assigned to a seed word."""
     none = F.array().cast("array<struct<s:int,e:int,v:string,left:string>>")
-    return F.when(F.rlike(text, F.lit(TOKEN)), _matches(text, TOKEN)).otherwise(none)
+    return F.when(F.rlike(text, F.lit(ASSIGNED)), _matches(text, VALUE)).when(F.rlike(text, F.lit(TOKEN)), _matches(text, TOKEN)).otherwise(none)
 
 
 def _shape(v: Column) -> Column:
@@ -131,7 +138,7 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFr
     flat = rows.where(F.size("cand") > 0).select("id", "th", F.explode(F.transform("cand", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["v"].alias("v"), c["left"].alias("left"), touch(c).alias("known")))).alias("c")).select("id", "th", "c.*")
     context = _context(F.col("left"))
     named = F.rlike(context, F.lit(rf"(?:\A|[^a-z])(?:{'|'.join(SEED_WORDS)})\W*[=:]\W*\z"))
-    inst = flat.select("id", "th", "s", "e", "known", F.xxhash64("v").alias("value"), F.concat(context, F.lit("\x01"), _shape(F.col("v"))).alias("pattern"), (F.col("known") | named).alias("seed"))
+    inst = flat.select("id", "th", "s", "e", "known", F.xxhash64("v").alias("value"), F.concat(context, F.lit("\x01"), _shape(F.col("v"))).alias("pattern"), named.alias("named"), (F.col("known") | named).alias("seed"))
     inst = saved(inst, "instances")
     edges = saved(inst.groupBy("pattern", "value").agg(F.max("seed").cast("int").alias("seed")), "graph")
     seeds = edges.groupBy("value").agg(F.max("seed").cast("double").alias("seed"))
@@ -144,7 +151,7 @@ def spans_of(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFr
         scores = new
     best = saved(edges.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + SMOOTH)).alias("p"), F.count(F.lit(1)).alias("n")).where((F.col("p") >= THRESHOLD) & (F.col("n") >= SUPPORT)).select("pattern"), "patterns")
     dropped(scores, edges)
-    found = inst.where("not known").join(best, "pattern").select("id", "th", F.struct("s", "e").alias("x")).groupBy("id", "th").agg(F.array_sort(F.collect_set("x")).alias("more"))  # a document's own spans
+    found = inst.where("not known").join(best.withColumn("good", F.lit(True)), "pattern", "left").where("named or good").select("id", "th", F.struct("s", "e").alias("x")).groupBy("id", "th").agg(F.array_sort(F.collect_set("x")).alias("more"))  # a document's own spans
     return rows, found
 
 

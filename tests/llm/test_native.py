@@ -111,6 +111,17 @@ def test_pii_bootstraps(spark):
     assert texts[0] == "pay by account: [CARD] today" and texts[50] == "pay by account: [ID] today" and texts[53] == "plain words only"
 
 
+def test_pii_named_values(spark):
+    """Values assigned to a seed word go however rare, short or plain they are; what only looks like it stays."""
+    values = {1: ('x TOKEN = "9233A8ECF7C5B09FE594" y', "9233A8ECF7C5B09FE594"), 2: ('password = "hunter"', "hunter"), 3: ("passwd=s3!x ok", "s3!x"), 4: ("ssn: 12-34", "12-34"), 5: ("'secret': 'two words é'", "two words é"), 6: ("api_key: ab12cd34ef56", "ab12cd34ef56")}
+    plain = {10: "the secret: patience", 11: "token = get(1)", 12: 'he said "hunter"', 13: "a password is a secret"}
+    rows = [(i, t) for i, (t, _) in values.items()] + [(1, values[1][0])] * 9 + list(plain.items())
+    got = [(r.id, [(x.kind, x.s, x.e) for x in r.spans]) for r in pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows)
+    for i, spans in got:
+        assert spans == ([(4, values[i][0].index(values[i][1]), values[i][0].index(values[i][1]) + len(values[i][1]))] if i in values else []), i
+
+
 def check_shards(rows, texts, n=40):
     per = {}
     for r in rows:

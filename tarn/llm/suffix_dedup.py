@@ -19,7 +19,9 @@ window by window.
 A part of the input sends each context once, so copies do not pile up.  If it
 has over MANY contexts for one first hash, it sends a mark instead; all
 anchors of that hash are then compared by windows, which are dealt out by
-their own hash.  Texts travel compressed, in buckets of bounded size.
+their own hash.  Texts travel compressed, in buckets of bounded size.  Anchors of a
+text of any length are looked for in pieces that overlap, so that each window
+lies in one whole; what lies in two is one place and no repetition.
 
 Rows of equal id count as one document.  Null text counts as empty; texts under LENGTH bytes keep
 all; an empty table gives an empty result.
@@ -41,6 +43,7 @@ LENGTH, KGRAM = 100, 32
 SPAN = LENGTH - KGRAM + 1  # anchors that a window can have
 GROUP_BYTES = 8 << 20
 CHUNK, BATCH, MANY = 1_000_000, 1 << 14, 64
+BITS = 24  # of a hash that hold a position: texts are looked at in parts of up to 2^BITS bytes
 #: Kinds of rows: anchors, removed spans, requests for contexts, contexts, windows.
 ANCHORS, SPANS, REQUESTS, CONTEXTS, WINDOWS = range(5)
 MARK = np.uint64(0)  # the context hash of "over MANY contexts"
@@ -82,10 +85,12 @@ def bucket_of(ids: np.ndarray, groups: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
-def anchors_of(texts: list[bytes], ids: np.ndarray) -> dict:
-    """The anchors of the texts, as columns of ANCHOR."""
+def anchors_of(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, bits: int = BITS) -> dict:
+    """The anchors of the texts, as columns of ANCHOR; ``starts`` are the texts' places in their documents."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n = len(data)
+    if n > 1 << bits:
+        raise ValueError("more bytes than positions")
     if n < LENGTH:
         return {name: np.zeros(0, dtype=t) for name, t in ANCHOR}
     sizes = np.array([len(t) for t in texts])
@@ -93,7 +98,7 @@ def anchors_of(texts: list[bytes], ids: np.ndarray) -> dict:
     sums = prefix_sums(data)
     at = np.arange(n - KGRAM + 1)
     grams = span_hashes(sums, at, at + KGRAM)
-    low = (grams & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)  # in parts of under 2^24 bytes
+    low = (grams & ~np.uint64((1 << bits) - 1)) | at.astype(np.uint64)
     width = 1
     while 2 * width <= SPAN:
         low = np.minimum(low[:-width], low[width:])
@@ -103,14 +108,14 @@ def anchors_of(texts: list[bytes], ids: np.ndarray) -> dict:
     p = np.flatnonzero(doc[: n - LENGTH + 1] == doc[LENGTH - 1 :])
     if not len(p):
         return {name: np.zeros(0, dtype=t) for name, t in ANCHOR}
-    x = (low[p] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    x = (low[p] & np.uint64((1 << bits) - 1)).astype(np.int64)
     of = doc[p]
     first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (of[1:] != of[:-1])]))
     lo, hi = p[first], p[np.append(first[1:], len(p)) - 1]
     x, of = x[first], of[first]
     with np.errstate(over="ignore"):
         c = mix(span_hashes(sums, lo, hi + LENGTH) + (x - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return {"h": grams[x], "c": np.where(c == MARK, np.uint64(1), c), "id": ids[of], "lo": lo - begins[of], "off": x - lo, "run": hi - lo}
+    return {"h": grams[x], "c": np.where(c == MARK, np.uint64(1), c), "id": ids[of], "lo": lo - begins[of] + starts[of], "off": x - lo, "run": hi - lo}
 
 
 def earliest(a: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +289,7 @@ def _unpacked(blobs) -> Iterator[tuple[int, bytes]]:
             at += size
 
 
-def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY, batch_size: int = BATCH, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, int]:
+def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY, batch_size: int = BATCH, chunk: int = CHUNK, bits: int = BITS) -> tuple[DataFrame, DataFrame, int]:
     """(texts by bucket, removed spans by bucket, number of buckets)."""
     whole = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty().alias("text"))
     total = whole.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -299,9 +304,9 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
 
         for b in batches:
             ids, texts = b.column(0).to_numpy().astype(np.int64), b.column(1).cast(pa.binary()).to_pylist()
-            for first, part in in_parts(texts, 1_000_000):
-                for i, piece in _fitting(part, ids[first : first + len(part)]):
-                    got = anchors_of(piece, i)
+            for first, part in in_parts(texts, min(1_000_000, 1 << bits - 1)):
+                for i, piece, starts in _fitting(part, ids[first : first + len(part)], 1 << bits - 1):
+                    got = anchors_of(piece, i, starts, bits)
                     held.append(got)
                     size += len(got["h"])
                     if size > chunk:
@@ -373,14 +378,15 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
     return texts, known.where(F.col("kind") == SPANS).select("key", "blob").unionAll(partial.select("key", "blob")), groups
 
 
-def _fitting(texts: list[bytes], ids: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """The texts as they are, or a text of over 8 MB by itself."""
-    small = [k for k, t in enumerate(texts) if len(t) <= 8 << 20]
+def _fitting(texts: list[bytes], ids: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """(ids, texts, their starts): the texts as they are, or pieces of at most ``most`` bytes of a longer one, each by itself."""
+    small = [k for k, t in enumerate(texts) if len(t) <= most]
     if small:
-        yield ids[small], [texts[k] for k in small]
+        yield ids[small], [texts[k] for k in small], np.zeros(len(small), dtype=np.int64)
     for k, t in enumerate(texts):
-        if len(t) > 8 << 20:
-            yield ids[k : k + 1], [t]
+        if len(t) > most:
+            for at in range(0, len(t) - 2 * LENGTH, most - 2 * LENGTH):
+                yield ids[k : k + 1], [t[at : at + most]], np.array([at])
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:

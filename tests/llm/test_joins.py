@@ -109,6 +109,30 @@ def test_suffixes(spark, sizes):
     assert sorted(map(tuple, got)) == want
 
 
+def test_suffixes_of_long_texts(spark):
+    """Passages behind and across the ends of pieces are found; overlaps are no repetition."""
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    passage, other = word(300), word(250)
+    size = 1 << 10
+    rows = [(1, passage + word(50)), (2, word(3 * size + 500) + passage + word(size) + other + word(700) + other + word(9)), (3, word(size - 150) + passage + word(20)), (4, word(2 * size - 550) + other + word(2 * size)), (5, word(size)), (6, word(size + 1)), (7, "ab" * 2 * size), (8, word(size - 200) + "q" * 3 * size)]
+    got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), bits=11).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == brute_bytes(rows)
+
+
+def test_suffix_positions():
+    """Places of anchors past 2^24 bytes are true ones."""
+    data = np.random.default_rng(1).integers(97, 123, (1 << 24) + 3000).astype(np.uint8)
+    data[-1000:-500] = data[100:600]
+    pieces = list(suffix_dedup._fitting([data.tobytes()], np.array([1]), 1 << 23))
+    assert all(data[s[0] : s[0] + len(t[0])].tobytes() == t[0] for _, t, s in pieces) and pieces[-1][2][0] + len(pieces[-1][1][0]) == len(data)
+    _, t, s = pieces[-1]
+    last, head = suffix_dedup.anchors_of(t, np.array([1]), s), suffix_dedup.anchors_of([data[:700].tobytes()], np.array([1]), np.array([0]))
+    place = {int(c): int(lo) for c, lo in zip(last["c"], last["lo"], strict=True)}
+    moved = [place[int(c)] - int(lo) for c, lo in zip(head["c"], head["lo"], strict=True) if int(c) in place]
+    assert len(moved) > 3 and set(moved) == {len(data) - 1100}
+
+
 def test_suffix_family():
     """Levels grow geometrically and find what a dictionary finds."""
     rng = np.random.default_rng(2)

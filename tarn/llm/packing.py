@@ -11,11 +11,15 @@ and cut at window ends; the last part is cut at powers of two, which need no
 padding.  Every piece finds its place from its length and its number among the
 pieces of that length, so no group of pieces meets in one task.
 
+Strings of the tokenizer file's added tokens have these tokens' ids wherever
+they are in a text; what lies between them is encoded by itself.
+
 Null or empty text is the one id END; repeated rows are documents of their own;
 an empty table gives an empty result.
 """
 
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -37,7 +41,7 @@ WHOLE = 1 << 36
 
 @lru_cache(maxsize=2)
 def json_codec(path: str) -> Codec:
-    """The codec of a byte-level BPE tokenizer file whose ids follow its merges; special tokens' strings are ordinary text."""
+    """The codec of a byte-level BPE tokenizer file whose ids follow its merges, for text without added tokens."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     back = {c: b for b, c in enumerate(byte_characters())}
@@ -49,9 +53,32 @@ def json_codec(path: str) -> Codec:
     return Codec(tokens[: 256 + len(merged)], ARRAY_PATTERN)
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings and ids of a tokenizer file's added tokens."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+        raise ValueError("not added tokens that match as they are written")
+    return {t["content"]: t["id"] for t in added if t["content"]}
+
+
+def encoded(texts: list[str], path: str) -> Iterator[np.ndarray]:
+    """The ids of each text, with added tokens."""
+    codec, added = json_codec(path), added_tokens(path)
+    if not added or not any(a in t for a in added for t in texts):
+        yield from codec.encode_many(texts)
+        return
+    pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    parts = [pattern.split(t) for t in texts]  # text and added tokens by turns
+    between = iter(codec.encode_many([p for x in parts for p in x[::2]]))
+    for x in parts:
+        yield np.concatenate([np.array([added[p]], dtype=np.uint32) if k % 2 else next(between).astype(np.uint32) for k, p in enumerate(x)])
+
+
 def id_type(path: str) -> str:
     """Two bytes an id where the vocabulary allows it: ids are stored and moved that way."""
-    return "<u2" if len(json_codec(path).tokens) <= 1 << 16 else "<u4"
+    return "<u2" if max(len(json_codec(path).tokens), *[i + 1 for i in added_tokens(path).values()], 0) <= 1 << 16 else "<u4"
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str) -> DataFrame:
@@ -62,11 +89,11 @@ def tokenised(docs: DataFrame, path: str, id_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codec, pid = json_codec(path), TaskContext.get().partitionId()
+        pid = TaskContext.get().partitionId()
         seen, whole = np.zeros(WINDOW, dtype=np.int64), 0
         for b in batches:
             ids, n, rests, ks, ws = [], [], [], [], []
-            for x in codec.encode_many(b.column(1).to_pylist()):
+            for x in encoded(b.column(1).to_pylist(), path):
                 x = np.append(x, np.uint32(END)).astype("<u4")
                 r = len(x) % WINDOW
                 ids.append(x.astype(stored).tobytes())

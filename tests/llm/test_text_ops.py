@@ -124,3 +124,16 @@ def test_html_copies(spark):
     rows = [(i, "http://copies.example/a", page.format(0)) for i in range(10)] + [(20 + i, None, page.format(0)) for i in range(10)] + [(40 + i, "http://nonce.example/a", page.format(i)) for i in range(10)]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(got) == 30 and set(got.values()) == {"Title\nAll of the text."}
+
+
+def test_packing_added_tokens(spark):
+    """Strings of added tokens have their ids, as in the tokenizer's own default."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"ab{mark}cd", mark, f"{mark}{mark} x  {mark}", f"a  {mark}\n\nb é", "plain  text", "<|endoftext|", "", f"{mark} word" * 3000]
+    rows = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json"), with_ids=True).collect()
+    for i, t in enumerate(texts):
+        got = b"".join(r.ids for r in sorted(rows, key=lambda r: r.start) if r.doc_id == i)
+        assert np.frombuffer(got, dtype="<u4").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t

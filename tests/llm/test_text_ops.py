@@ -137,3 +137,15 @@ def test_packing_added_tokens(spark):
     for i, t in enumerate(texts):
         got = b"".join(r.ids for r in sorted(rows, key=lambda r: r.start) if r.doc_id == i)
         assert np.frombuffer(got, dtype="<u4").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t
+
+
+def test_html_reference(spark):
+    """A notice is learnt whatever the page of smallest id is: missing, cut off, of another layout, or without the notice."""
+    page = "<html><body><article><h1>T{0}</h1><p>Text {0}</p>{1}</article></body></html>"
+    notice = "<div class='x'><p>Welcome to our site</p></div>"
+    odd = {"null": None, "cut": "<html><bo", "blank": "<html><body></body></html>", "layout": "<html><body><table><tr><td>Other</td></tr></table></body></html>", "lacks": page.format(0, "")}
+    rows = [(100 * k, f"http://{name}/", h) for k, (name, h) in enumerate(odd.items())]
+    rows += [(100 * k + i, f"http://{name}/{i}", page.format(i, notice)) for k, name in enumerate(odd) for i in range(1, 13)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[100 * k + i] == f"T{i}\nText {i}" for k in range(len(odd)) for i in range(1, 13))
+    assert got[0] == got[200] == "" and got[300] == "Other" and got[400] == "T0\nText 0"

@@ -20,7 +20,8 @@ most others at the scan.
 
 Frequent shingles are those that a partition finds in LOCAL documents or more,
 at most MAX_FREQUENT of them: they only set the order, never the result.
-Rows of equal doc_id count as one document.  Null text and text without words
+Rows of equal doc_id count as one document; so do rows without one of equal
+text, under a number from 2^62 on, which also names a component that has no id.  Null text and text without words
 have an empty set and link with nothing.  An empty table gives an empty result.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tarn.llm.hashing import mix, shingle_sets
-from tarn.llm.shared import components, give_back, saved, text_or_empty
+from tarn.llm.shared import components, give_back, row_key, saved, text_or_empty
 
 NUMERATOR, DENOMINATOR = 75, 100
 SMALL, HUBS = 6, 3
@@ -341,6 +342,10 @@ def _components(edges: DataFrame, classes: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, id_col: str = "doc_id", small: int = SMALL) -> DataFrame:
     """id, n_shingles and component_id of every row."""
     spark = docs.sparkSession
+    if docs.where(F.col(id_col).isNull()).limit(1).count():
+        unnamed = docs.where(F.col(id_col).isNull()).select(_key(docs, id_col).alias("_u")).distinct()
+        out = joined(docs.select(_key(docs, id_col).alias(id_col), "text"), id_col, small).join(unnamed, F.col(id_col) == F.col("_u"), "left")
+        return out.select(F.when(F.col("_u").isNull(), F.col(id_col)).alias(id_col), "n_shingles", "component_id")
     profiles = saved(_profiles(docs, id_col), "profiles")
     often = profiles.where("key is not null").groupBy("key").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "key").limit(MAX_FREQUENT).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column("key").to_numpy().view(np.uint64), often.column("c").to_numpy()))  # at most MAX_FREQUENT
@@ -385,10 +390,19 @@ def joined(docs: DataFrame, id_col: str = "doc_id", small: int = SMALL) -> DataF
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _key(docs: DataFrame, id_col: str):
+    """``row_key`` in a type that holds it: string ids stay strings, whole numbers become long."""
+    of = docs.schema[id_col].dataType.simpleString()
+    if of == "string":
+        return F.coalesce(F.col(id_col), row_key(F.lit(None).cast("long")).cast("string"))
+    return row_key(F.col(id_col).cast("long"))
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One document of each group stays: that of the smallest id. Repeated rows of it stay too."""
-    kept = joined(docs, id_col).where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn("_key", _key(docs, id_col))
+    kept = joined(keyed, "_key").where(F.col("component_id") == F.col("_key")).select("_key").distinct()
+    return keyed.join(kept, "_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

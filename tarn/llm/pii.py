@@ -13,7 +13,8 @@ enough support.  Patterns over THRESHOLD give the kind ``id``: all their
 instances that no base span touches, everywhere.  Values assigned to a seed
 word have it too, however rare their pattern is: support is for spreading only.
 
-Null or empty text has no spans; repeated rows have equal spans; an empty
+Null or empty text has no spans; repeated rows have equal spans; a row without
+an id has spans like any other; an empty
 table gives an empty result.  Patterns possessive throughout, so long runs
 cost linear time and no stack.
 """
@@ -159,7 +160,8 @@ def all_spans(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, th, base (spans) and spans (base, then those of kind 4, ``id``)."""
     rows, found = spans_of(docs, id_col)
     more = F.coalesce(F.transform("more", lambda x: F.struct(F.lit(4).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))), F.array().cast("array<struct<kind:int,s:int,e:int>>"))
-    return rows.drop("cand").join(found, ["id", "th"], "left").select("id", "th", "base", F.concat("base", more).alias("spans"))
+    found = found.select(F.col("id").alias("_i"), F.col("th").alias("_t"), "more")
+    return rows.drop("cand").join(found, F.col("id").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_t")), "left").select("id", "th", "base", F.concat("base", more).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:

@@ -50,6 +50,12 @@ def text_or_empty(c="text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def row_key(id_: Column, text="text") -> Column:
+    """The id; for a row without one, a number from 2^62 on that only rows of equal text share, so each such text is a document of its own."""
+    own = F.shiftrightunsigned(F.xxhash64(text_or_empty(text)), 2).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(id_, own)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in the edges (a, b); component is the smallest id reachable.
 

@@ -23,7 +23,7 @@ their own hash.  Texts travel compressed, in buckets of bounded size.  Anchors o
 text of any length are looked for in pieces that overlap, so that each window
 lies in one whole; what lies in two is one place and no repetition.
 
-Rows of equal id count as one document.  Null text counts as empty; texts under LENGTH bytes keep
+Rows of equal id count as one document; so do rows without an id of equal text, after all others.  Null text counts as empty; texts under LENGTH bytes keep
 all; an empty table gives an empty result.
 """
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.hashing import in_parts, mix, prefix_sums, span_hashes
-from tarn.llm.shared import dropped, saved, text_or_empty
+from tarn.llm.shared import dropped, row_key, saved, text_or_empty
 
 LENGTH, KGRAM = 100, 32
 SPAN = LENGTH - KGRAM + 1  # anchors that a window can have
@@ -260,17 +260,19 @@ ROWS = "kind int, key int, blob binary"
 
 
 def _texts(docs: DataFrame, groups: int) -> DataFrame:
-    """Texts by bucket: (key, blob), several texts in one compressed blob."""
+    """Texts by bucket: (key, blob), several texts in one compressed blob; the size of one without an id is stored as its complement."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy().astype(np.int64)
             texts = b.column(1).cast(pa.binary()).to_pylist()
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            sizes = np.where(b.column(2).to_numpy(zero_copy_only=False), ~sizes, sizes)
             keys, blobs = [], []
             bucket = bucket_of(ids, groups)
             for k in np.unique(bucket).tolist():
                 rows = np.flatnonzero(bucket == k)
-                raw = b"".join([np.int64(len(rows)).tobytes(), ids[rows].tobytes(), np.array([len(texts[i]) for i in rows], dtype=np.int64).tobytes(), *[texts[i] for i in rows]])
+                raw = b"".join([np.int64(len(rows)).tobytes(), ids[rows].tobytes(), sizes[rows].tobytes(), *[texts[i] for i in rows]])
                 keys.append(k)
                 blobs.append(zstandard.ZstdCompressor(level=3).compress(raw))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "blob"])
@@ -278,20 +280,22 @@ def _texts(docs: DataFrame, groups: int) -> DataFrame:
     return docs.mapInArrow(run, "key int, blob binary")
 
 
-def _unpacked(blobs) -> Iterator[tuple[int, bytes]]:
+def _unpacked(blobs) -> Iterator[tuple[int, bytes, bool]]:
+    """(key, text, whether the row has an id)"""
     for blob in blobs:
         raw = zstandard.ZstdDecompressor().decompress(blob)
         n = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
         ids, sizes = (np.frombuffer(raw, dtype=np.int64, count=n, offset=8 + 8 * n * k) for k in (0, 1))
         at = 8 + 16 * n
         for i, size in zip(ids.tolist(), sizes.tolist(), strict=True):
-            yield i, raw[at : at + size]
+            named, size = size >= 0, max(size, ~size)
+            yield i, raw[at : at + size], named
             at += size
 
 
 def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY, batch_size: int = BATCH, chunk: int = CHUNK, bits: int = BITS) -> tuple[DataFrame, DataFrame, int]:
     """(texts by bucket, removed spans by bucket, number of buckets)."""
-    whole = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty().alias("text"))
+    whole = docs.select(row_key(F.col(id_col).cast("long")).alias("id"), text_or_empty().alias("text"), F.col(id_col).isNull().alias("unnamed"))
     total = whole.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(48, int(total // GROUP_BYTES) + 1)
 
@@ -332,7 +336,7 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
         begin = np.flatnonzero(np.concatenate([[True], r["id"][1:] != r["id"][:-1]]))
         place = {int(r["id"][b]): (b, e) for b, e in zip(begin, np.append(begin[1:], len(at)), strict=True)}
         pieces = [b""] * len(at)
-        for i, t in _unpacked(text.blob):
+        for i, t, _ in _unpacked(text.blob):
             if i in place:
                 for j in range(*place[i]):
                     pieces[j] = t[r["lo"][j] : int(r["lo"][j]) + int(r["run"][j]) + LENGTH]
@@ -416,11 +420,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", as_text: bool = False,
         begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, dtype=np.int64)
         place = {int(ids[b]): (b, x) for b, x in zip(begin, np.append(begin[1:], len(ids)), strict=True)} if len(ids) else {}
         out = []
-        for i, t in _unpacked(text.blob):
+        for i, t, named in _unpacked(text.blob):
             b, x = place.get(i, (0, 0))
             kept, n, runs = cut(t, [(min(p, len(t)), min(q, len(t))) for p, q in zip(s[b:x].tolist(), e[b:x].tolist(), strict=True)])
-            out.append((i, len(t), n, runs, kept.decode("utf-8", "ignore") if as_text else kept))
-        return pd.DataFrame(out, columns=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+            out.append((i if named else None, len(t), n, runs, kept.decode("utf-8", "ignore") if as_text else kept))
+        ids = pd.Series([x[0] for x in out], dtype=object)  # whole numbers beside None
+        return pd.DataFrame(out, columns=[id_col, "n_bytes", "n_removed", "n_spans", "kept"]).assign(**{id_col: ids})
 
     schema = f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
     return texts.groupBy("key").cogroup(spans.groupBy("key")).applyInPandas(finish, schema)
@@ -431,8 +436,9 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     A character of which a byte is removed is removed. Other columns come by the id.
     """
-    left = deduplicated(docs, id_col, True).select(F.col(id_col).alias("_id"), F.col("kept").alias("_kept")).where("_kept <> ''").groupBy("_id").agg(F.first("_kept").alias("_kept"))
-    out = docs.drop("text").join(left, F.col(id_col) == F.col("_id")).withColumn("text", F.col("_kept"))
+    keyed = docs.withColumn("_key", row_key(F.col(id_col).cast("long")))
+    left = deduplicated(keyed, "_key", True).select(F.col("_key").alias("_id"), F.col("kept").alias("_kept")).where("_kept <> ''").groupBy("_id").agg(F.first("_kept").alias("_kept"))
+    out = keyed.drop("text").join(left, F.col("_key") == F.col("_id")).withColumn("text", F.col("_kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

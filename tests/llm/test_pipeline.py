@@ -5,8 +5,8 @@ import re
 import pytest
 
 import corpus_pipeline
-from tarn.llm import pii, quality_rules
-from tests.llm.test_joins import brute_bytes, brute_ngrams
+from tarn.llm import ngram_join, pii, quality_rules, suffix_dedup
+from tests.llm.test_joins import brute_bytes, brute_ngrams, shingles
 from tests.llm.test_native import base
 
 D = "/root/testdata/sf0.01"
@@ -41,3 +41,24 @@ def test_stages(spark):
             assert not [x for x in base(r.text) if x.startswith("email")]
     packed = stages["packing"](spark, private, D)
     assert packed.select("doc_id").distinct().count() == len(rows)
+
+
+def test_rows_without_id(spark):
+    """Rows without an id are documents of their own: whole in each operator, and cut, redacted or dropped only for what they hold."""
+    long = " ".join(f"word{i}" for i in range(60))
+    own = " ".join(f"own{i}" for i in range(60))
+    mail = 'write to a@b.org, password = "hunter"'
+    rows = [(1, long), (2**61 + 1, "x " + own[:150]), (None, long), (None, own), (None, own), (None, mail), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.joined(docs).collect()), key=str)
+    assert [(i, n) for i, n, _ in got if i] == [(1, 56), (2**61 + 1, len(shingles(rows[1][1])))] and len(got) == len(rows)
+    assert [c for i, n, c in got if n == 56 and i is None].count(1) == 1 and len({c for i, n, c in got if n == 56}) == 2
+    one = corpus_pipeline.near_duplicates(spark, docs, D)
+    assert sorted(((r.doc_id, r.text) for r in one.collect()), key=str) == sorted(rows[:2] + rows[3:], key=str)
+    cut = {(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.deduplicated(docs).collect()}
+    assert {(1, len(long), 0), (None, len(long), len(long)), (2**61 + 1, 152, 0), (None, len(own), 150), (None, len(mail), 0), (None, 0, 0)} == cut
+    clean = corpus_pipeline.repeated_passages(spark, docs, D)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([*rows[:2], (None, own[150:]), (None, own[150:]), (None, mail)], key=str)
+    spans = [[(x.kind, x.s) for x in r.spans] for r in pii.all_spans(docs).collect() if r.id is None and r.spans]
+    assert spans == [[(0, 9), (4, mail.index("hunter"))]]
+    assert [r.text for r in corpus_pipeline.personal_data(spark, docs, D).collect() if "[" in (r.text or "")] == ['write to [EMAIL], password = "[ID]"']

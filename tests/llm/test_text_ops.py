@@ -149,3 +149,10 @@ def test_html_reference(spark):
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[100 * k + i] == f"T{i}\nText {i}" for k in range(len(odd)) for i in range(1, 13))
     assert got[0] == got[200] == "" and got[300] == "Other" and got[400] == "T0\nText 0"
+
+
+def test_html_articles():
+    """All outermost articles count, in page order; an empty one does not hide the main text."""
+    read = lambda page: [t for part in html_extract.article(html_extract.parse(page)) for _, t in html_extract.blocks(part)]
+    assert read("<body><p>around</p><div><article>one<article><p>inner</p></article></article></div><article class='ad'>ad</article><article><p>two, the largest of them</p></article></body>") == ["one", "inner", "two, the largest of them"]
+    assert read("<body><article> </article><main><p>main</p></main><p>rest</p></body>") == ["main"]

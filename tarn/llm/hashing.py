@@ -44,6 +44,23 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def word_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word values[start:end].
+
+    A word's hash is the sum of a scattered 64-bit value for each (place in the word, value), and its
+    length.  No structure of words carries over to the sums, as it does with polynomials modulo 2^64.
+    """
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, dtype=np.uint64)
+    upto = np.cumsum(size)
+    place = np.arange(upto[-1]) - np.repeat(upto - size, size)
+    at = place + np.repeat(starts, size)
+    with np.errstate(over="ignore"):
+        x = mix((place.astype(np.uint64) << np.uint64(21) | values[at].astype(np.uint64)) + np.uint64(_MULTIPLIER))
+        return mix(np.add.reduceat(x, upto - size) + size.astype(np.uint64) * np.uint64(_MULTIPLIER))
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -58,7 +75,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edge[0::2], edge[1::2]
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, begins))
-    return span_hashes(prefix_sums(data), starts, ends), counts
+    return word_sums(data, starts, ends), counts
 
 
 def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,26 +1,29 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Documents with equal shingle sets form one class, which joins as one.  The
-global order of shingles puts frequent ones last and orders the rest by hash.
-It is cut into fragments.  Classes that can link share a shingle of their
-prefixes (the first n - ceil(t n) + 1 in that order), so each fragment, by
-itself, finds the classes that share one of its prefix shingles.  Then the
-whole sets are cut into fragments too; each fragment counts the partial
-overlaps of the candidate pairs by itself, and the counts are summed per pair and held
-against the threshold.
-
-Candidate pairs stay few without losing a link: of the classes that share a
-shingle, up to SMALL pair with each other, and more of them pair with HUBS of
-them first.  When those links are known, pairs whose classes are already in
-one component need no test; the others are tested in a second round.  There a
-shared shingle proposes a pair only if it is early for the smaller class: among
-its first n - ceil(2t/(1+t) n) + 1, one of which the larger class has in its prefix.
-Only texts of classes in a pair move: a Bloom filter of their ids sorts out
-most others at the scan.
-
-Frequent shingles are those that a partition finds in LOCAL documents or more,
-at most MAX_FREQUENT of them: they only set the order, never the result.
-Rows of equal doc_id count as one document; so do rows without one of equal
+order of shingles is cut into fragments, ranges of their hashes.
+
+1. Each part of the input sends its shingles to their fragments; a fragment
+   counts, for each document, those that some other document has too.  A
+   document of which too few are shared cannot link (a pair shares
+   ceil(t n) shingles of each), so its text goes no further.  A shingle that
+   several documents of a part have goes as one mark, so frequent ones stay few.
+2. The sets of the classes left are stored.  Shared shingles are ordered by how
+   many classes have them, rare ones first.  Classes that link meet at the first
+   shingle in that order which they have in common, and it lies in the prefix
+   of both (the first n - ceil(t n) + 1).  There the places of that shingle in both sets bound
+   the overlap: min(n - place) of both must reach what the threshold asks for.
+3. Of the classes at a shingle, the one where it comes first (it has the fewest
+   rare shingles) is the hub, and pairs with those whose bound allows it.
+   The sets of candidate pairs are cut into fragments; each fragment counts
+   partial overlaps by itself, and the counts are summed per pair and held against the threshold.
+4. What the hubs linked forms components.  Pairs that are in different ones
+   still, and that the bound allows, are all tested in a second round: at each shingle
+   the classes outside of its largest component against all of similar size.  So no link between
+   components is lost, and members of one component are never paired.
+
+Shingles are identified by 64-bit hashes without algebraic structure, classes by
+128 bits.  Rows of equal doc_id count as one document; so do rows without one of equal
 text, under a number from 2^62 on, which also names a component that has no id.  Null text and text without words
 have an empty set and link with nothing.  An empty table gives an empty result.
 """
@@ -31,21 +34,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from tarn.llm.hashing import mix, shingle_sets
-from tarn.llm.shared import components, give_back, row_key, saved, text_or_empty
+from tarn.llm.shared import components, dropped, give_back, row_key, saved, text_or_empty
 
 NUMERATOR, DENOMINATOR = 75, 100
-SMALL, HUBS = 6, 3
-LOCAL, MAX_FREQUENT = 3, 1 << 20
 FRAGMENT_BYTES = 8 << 20
 VERTICAL, SHARDS = 3, 64
 PAIRS = 1000  # of one lead in a shard
-SURE = 1 << 40  # stands for enough shared shingles: the pair is tested in any case
-KEPT = 1_000_000  # shingles counted at once in a partition
+HELD = 1_000_000  # shingles of one part of the input
+NONE = 0xFFFFFFFF  # in place of a document: several of the part have the shingle
 ID_BITS, MAX_BITS = 16, 1 << 27  # of the filter of wanted ids: for each id, and at most
 
 
@@ -71,199 +73,236 @@ def _digests(keys: np.ndarray, docs: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _profiles(docs: DataFrame, id_col: str) -> DataFrame:
-    """A row a document (id, n, cid); and rows without id that list a partition's frequent shingles."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    id_type = to_arrow_type(docs.schema[id_col].dataType)
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit values, byte planes apart, compressed."""
+    n = len(columns[0])
+    planes = [np.ascontiguousarray(c, dtype="<u4").view(np.uint8).reshape(n, 4).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpacked(blob: bytes, columns: int = 2) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    planes = raw.reshape(columns, 4, -1)
+    return [np.ascontiguousarray(x.T).view("<u4").ravel() for x in planes]
+
+
+def _cut(keys: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fragment, 32 bits of the place in it) of each hash, in the order of hashes."""
+    wide = (keys >> np.uint64(20)) * np.uint64(fragments)  # 44 bits and up to 2^20 fragments
+    return (wide >> np.uint64(44)).astype(np.int64), ((wide >> np.uint64(12)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
+def _header(ids: list, n: np.ndarray, cids: np.ndarray, shared: np.ndarray, kind: pa.DataType) -> bytes:
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(n), pa.array([c.tobytes() for c in cids], pa.binary()), pa.array(shared)], names=["id", "n", "cid", "shared"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+
+
+def _part_rows(chunk: int, ids: list, keys: np.ndarray, of: np.ndarray, n: np.ndarray, fragments: int, kind: pa.DataType) -> list[tuple[int, int, bytes]]:
+    """(fragment, chunk, blob) rows of one part of the input; its header has a negative number instead of a fragment."""
+    cids = _digests(keys, of, n)
+    first = np.zeros(len(n), dtype=bool)
+    first[np.unique(cids, axis=0, return_index=True)[1]] = True  # one of equal documents here
+    keep = first[of]
+    keys, of = keys[keep], of[keep]
+    at = np.argsort(keys, kind="stable")
+    keys, of = keys[at], of[at]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    size = np.diff(np.append(begin, len(keys)))
+    shared = np.bincount(of[np.repeat(size > 1, size)], minlength=len(n)).astype(np.int64)
+    who = np.where(size > 1, NONE, of[begin])
+    f, low = _cut(keys[begin], fragments)
+    cut = np.flatnonzero(np.diff(f)) + 1 if len(f) else []
+    out = [(-1 - chunk, chunk, _header(ids, n, cids, shared, kind))]
+    for x, w, k in zip(np.split(low, cut), np.split(who, cut), np.split(f, cut), strict=True) if len(f) else ():
+        out.append((int(k[0]), chunk, _packed(x, w)))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts, fresh, size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [], 0
-        sets: set[bytes] = set()
 
-        def merged():
-            every, w = np.concatenate([held, *fresh]), np.concatenate([counts, *[np.ones(len(x), dtype=np.int64) for x in fresh]])
-            got, place = np.unique(every, return_inverse=True)
-            total = np.bincount(place, weights=w, minlength=len(got)).astype(np.int64)
-            keep = total > 1
-            return got[keep], total[keep]
+def _requests(docs: DataFrame, id_col: str, fragments: int) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    kind = to_arrow_type(docs.schema[id_col].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 24
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            counts = [h[3] for h in held]
+            before = np.cumsum([0] + [len(c) for c in counts])
+            of = np.concatenate([h[2] + b for h, b in zip(held, before, strict=False)])
+            rows = _part_rows(chunk, [i for h in held for i in h[0]], np.concatenate([h[1] for h in held]), of, np.concatenate(counts).astype(np.int64), fragments, kind)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["f", "chunk", "blob"])
+
+        size = 0
         for b in batches:
-            n_all, cid_all = [], []
-            for _, part in _parts(b.column(1)):
+            for first, part in _parts(b.column(1)):
                 keys, of, n = shingle_sets(part)
-                n_all.append(n)
-                mine = [r.tobytes() for r in _digests(keys, of, n)]
-                cid_all += mine
-                first = np.array([not (c in sets or sets.add(c)) for c in mine], dtype=bool)  # equal sets count once
-                fresh.append(keys[first[of]])
-                size += len(fresh[-1])
-                if size > KEPT:
-                    held, counts = merged()
-                    fresh, size = [], 0
-            n = np.concatenate([*n_all, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-            none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(cid_all, pa.binary()), none, none], names=["id", "n", "cid", "key", "c"])
-        held, counts = merged()
-        fresh.clear()
+                held.append((b.column(0).slice(first, len(part)).to_pylist(), keys, of, n))
+                size += len(keys)
+                if size >= HELD:
+                    yield flush()
+                    chunk, size = chunk + 1, 0
+        if held:
+            yield flush()
         give_back()
-        top = counts >= LOCAL
-        k = int(top.sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(held[top].view(np.int64)), pa.array(counts[top])], names=["id", "n", "cid", "key", "c"])
 
-    return docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text")).mapInArrow(run, f"id {kind}, n long, cid binary, key long, c long")
-
-
-class Order:
-    """The global order as 64-bit values: frequent shingles behind, by the logarithm of their count; the rest by hash."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        at = np.argsort(keys)
-        self.keys, self.log = keys[at], np.minimum(1 + np.log2(np.maximum(counts[at], 1)).astype(np.int64), 63).astype(np.uint64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        out = keys >> np.uint64(6)
-        if len(self.keys) and len(keys):
-            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            out |= np.where(self.keys[place] == keys, self.log[place], np.uint64(0)) << np.uint64(58)
-        return out
+    return docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text")).mapInArrow(run, "f long, chunk long, blob binary")
+
+
+def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Within a fragment: for each part, how many of a document's shingles another one has too. Headers pass."""
+    if pdf.f.iloc[0] < 0:
+        return pdf
+    low, who = (list(x) for x in zip(*map(_unpacked, pdf.blob), strict=True))
+    sizes = [len(x) for x in low]
+    low, who = np.concatenate(low), np.concatenate(who)
+    at = np.argsort(low, kind="stable")
+    same = low[at][1:] == low[at][:-1]
+    many = np.zeros(len(low), dtype=bool)
+    many[at[1:][same]] = True
+    many[at[:-1][same]] = True
+    many &= who != NONE
+    blobs = []
+    for i, end in enumerate(np.cumsum(sizes)):
+        s = slice(end - sizes[i], end)
+        doc, count = np.unique(who[s][many[s]], return_counts=True)
+        blobs.append(_packed(doc, count))
+    give_back()
+    return pdf.assign(blob=blobs)
+
+
+def _told(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one part: id, n, cid and the number of shingles that no other document was found to have."""
+    head = pdf.f < 0
+    raw = zstandard.ZstdDecompressor().decompress(pdf.blob[head].iloc[0])
+    out = pa.ipc.open_stream(raw).read_pandas()
+    shared = out.shared.to_numpy().copy()
+    for blob in pdf.blob[~head]:
+        doc, count = _unpacked(blob)
+        shared[doc] += count  # each document once
+    # documents of equal sets have the counts of the first
+    _, place = np.unique(np.frombuffer(b"".join(out.cid), dtype=np.uint64).reshape(-1, 2), axis=0, return_inverse=True)
+    place = place.ravel()
+    most = np.zeros(len(shared), dtype=np.int64)
+    np.maximum.at(most, place, shared)
+    return out.assign(u=out.n - most[place])[["id", "n", "cid", "u"]]
+
+
+def _profiles(docs: DataFrame, id_col: str, fragments: int) -> DataFrame:
+    """A row a document: id, n, cid, u (shingles that it shares with no other set, at most)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    answers = saved(_requests(docs, id_col, fragments).groupBy("f").applyInPandas(_answers, "f long, chunk long, blob binary"), "answers")
+    out = saved(answers.groupBy("chunk").applyInPandas(_told, f"id {kind}, n long, cid binary, u long"), "profiles")
+    dropped(answers)
+    return out
 
 
-def fragment_of(values: np.ndarray, fragments: int) -> np.ndarray:
-    """Ranges of the order: ``fragments`` equal ones for rare shingles, eight for each class of frequent ones."""
-    rank = (values >> np.uint64(58)).astype(np.int64)
-    rare = ((values >> np.uint64(26)).astype(np.float64) * (fragments / 2.0**32)).astype(np.int64)
-    return np.where(rank == 0, np.minimum(rare, fragments - 1), fragments + (rank - 1) * 8 + ((values >> np.uint64(55)) & np.uint64(7)).astype(np.int64))
+def _spare(n: Column) -> Column:
+    """How many shingles a class can have that its partner lacks."""
+    return n - F.ceil(n * NUMERATOR / DENOMINATOR)
 
 
-def _prefixes(docs: DataFrame, order, fragments: int) -> DataFrame:
-    """Prefix segments: a row for each fragment and part of the input, with its classes and their shingles."""
+def _sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
+    """cls (its smallest document id), n and keys (array<long>) of each class in ``alive`` (cid, rep, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = {"f": [], "cids": [], "ns": [], "sizes": [], "keys": [], "early": []}
             for _, part in _parts(b.column(0)):
                 keys, of, n = shingle_sets(part)
-                cids = _digests(keys, of, n)
-                value = order.value(keys)
-                at = np.lexsort((value, of))
-                value, of = value[at], of[at]
-                place = np.arange(len(value)) - (np.cumsum(n) - n)[of]
-                first = np.zeros(len(n), dtype=bool)
-                first[np.unique(cids, axis=0, return_index=True)[1]] = True  # one of equal documents here
-                keep = (place < (n - (n * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1)[of]) & first[of]
-                early = place < (n - (2 * n * NUMERATOR + NUMERATOR + DENOMINATOR - 1) // (NUMERATOR + DENOMINATOR) + 1)[of]
-                value, of, early = value[keep], of[keep], early[keep]
-                f = fragment_of(value, fragments)
-                at = np.lexsort((value, of, f))
-                value, of, f, early = value[at], of[at], f[at], early[at]
-                cut = np.flatnonzero(np.diff(f)) + 1 if len(f) else []
-                for v, d, ff, e in zip(np.split(value, cut), np.split(of, cut), np.split(f, cut), np.split(early, cut), strict=True) if len(f) else ():
-                    who, size = np.unique(d, return_counts=True)
-                    for c, x in zip(rows, (int(ff[0]), cids[who].tobytes(), n[who].astype("<i4").tobytes(), size.astype("<i4").tobytes(), v.astype("<u8").tobytes(), e.tobytes()), strict=True):
-                        rows[c].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["f"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in ("cids", "ns", "sizes", "keys", "early")]], names=list(rows))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in _digests(keys, of, n)], pa.binary()), lists], names=["cid", "keys"])
         give_back()
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "f int, cids binary, ns binary, sizes binary, keys binary, early binary")
+    wanted = alive.select(F.col("rep").alias("id"))
+    texts = _only(docs, wanted).join(wanted, "id", "left_semi").select(text_or_empty().alias("text"))
+    one = texts.mapInArrow(run, "cid binary, keys array<bigint>").groupBy("cid").agg(F.first("keys").alias("keys"))
+    return saved(one.join(alive, "cid").select(F.col("rep").alias("cls"), "n", "keys"), "sets")
+
+
+def _members(sets: DataFrame) -> DataFrame:
+    """key, cls, n, pos: the shared shingles in the prefix of each class, and their places in its order."""
+    flat = sets.select("cls", "n", F.explode("keys").alias("key"))
+    often = saved(flat.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
+    order = F.struct(F.floor(F.log2("c")).cast("int").alias("o"), F.col("key").alias("key"))
+    shared = flat.join(often, "key").groupBy("cls", "n").agg(F.array_sort(F.collect_list(order)).alias("s"))  # a class's own shingles
+    own = F.col("n") - F.size("s")
+    prefix = shared.select("cls", "n", own.alias("own"), F.expr("slice(s, 1, greatest(0, cast({} as int)))".format(f"n - ceil(n * {NUMERATOR} / {DENOMINATOR}) + 1 - (n - size(s))")).alias("s"))
+    out = saved(prefix.select("cls", "n", "own", F.posexplode("s").alias("i", "x")).select(F.col("x.key").alias("key"), "cls", "n", (F.col("own") + F.col("i")).alias("pos")), "members")
+    dropped(often)
+    return out
+
+
+def _allowed() -> Column:
+    """The bound on the overlap of two classes (n, pos) and (m, at) at a shingle lets them link."""
+    left = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+    return (NUMERATOR + DENOMINATOR) * left >= NUMERATOR * (F.col("n") + F.col("m"))
 
 
-def _may_link(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    return DENOMINATOR * np.minimum(na, nb) >= NUMERATOR * np.maximum(na, nb)
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    u = h.astype(np.int64).view(np.uint64)
+    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (u, u >> np.uint64(32))]
 
 
-def _required():
-    """Shared prefix shingles that a linked pair has at least.
+def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose id may be among the wanted ones, by a Bloom filter of at most MAX_BITS.
 
-    Common shingles outside the shared prefix lie outside the prefix of the
-    class whose prefix ends first, of which there are ceil(t n) - 1.
+    A full filter lets more rows pass to the join that follows, never fewer.
     """
-    t, n = NUMERATOR, DENOMINATOR
-    overlap = F.ceil(t * (F.col("na") + F.col("nb")) / (t + n))
-    return F.greatest(F.lit(1), overlap - F.ceil(t * F.greatest("na", "nb") / n) + 1)
+    bits = 64
+    while bits < min(ID_BITS * wanted.count(), MAX_BITS):
+        bits *= 2
+    h = F.xxhash64("id")
+    place = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at")
+    words = wanted.select(place).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("set")).toArrow()
+    table = np.zeros(bits // 32, dtype=np.uint32)
+    table[words.column("word").to_numpy()] = words.column("set").to_numpy().astype(np.uint32)
+    table = docs.sparkSession.sparkContext.broadcast(table)
 
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        out = np.ones(len(h), dtype=bool)
+        for at in _places(h.to_numpy(), bits):
+            out &= (table.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+        return pd.Series(out)
+
+    return docs.where(may(h))
 
-def _meet(pdf: pd.DataFrame, small: int = SMALL) -> pd.DataFrame:
-    """Within a fragment: candidate pairs (a, b), and (key, a, early) for the members of large groups."""
-    give_back()
-    cids = np.frombuffer(b"".join(pdf.cids), dtype="V16")
-    ns = np.frombuffer(b"".join(pdf.ns), dtype="<i4").astype(np.int64)
-    sizes = np.frombuffer(b"".join(pdf.sizes), dtype="<i4")
-    keys = np.frombuffer(b"".join(pdf["keys"]), dtype="<u8")
-    early = np.frombuffer(b"".join(pdf.early), dtype=bool)
-    two = cids.view(np.uint64).reshape(-1, 2)
-    order = np.lexsort((two[:, 1], two[:, 0]))
-    new = np.concatenate([[True], (two[order][1:] != two[order][:-1]).any(axis=1)])
-    number = np.empty(len(two), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    name, n = cids[order][new], ns[order][new]
-    scatter = mix(two[order][new][:, 0] ^ np.uint64(0xA5A5))  # hubs have the smallest, as signed numbers
-    who = np.repeat(number, sizes)
-    at = np.lexsort((who, keys))
-    keys, who, early = keys[at], who[at], early[at]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (who[1:] != who[:-1])])  # equal classes from several parts
-    keys, who, early = keys[new], who[new], early[new]
-    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    count = np.diff(np.append(begin, len(keys)))
-    left, right, big_key, big_who, big_early = [], [], [], [], []
-    for size in range(2, small + 1):
-        g = begin[count == size]
-        for i in range(size):
-            for j in range(i + 1, size):
-                left.append(who[g + i])
-                right.append(who[g + j])
-    seen = sum(map(len, left))
-    for s, size in zip(begin[count > small], count[count > small], strict=True):
-        m = who[s : s + size]
-        for h in m[np.argsort(scatter[m].view(np.int64))[:HUBS]]:
-            left.append(np.full(size, h))
-            right.append(m)
-        big_key.append(np.full(size, keys[s]))
-        big_who.append(m)
-        big_early.append(early[s : s + size])
-    a, b = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for x in (left, right))
-    met = np.where(np.arange(len(a)) < seen, 1, SURE)
-    ok = (a != b) & _may_link(n[a], n[b])
-    a, b, met = a[ok], b[ok], met[ok]
-    hub_first = scatter[a].view(np.int64) <= scatter[b].view(np.int64)
-    a, b = np.where(hub_first, a, b), np.where(hub_first, b, a)
-    pairs, place = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True) if len(a) else (np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64))
-    shared = np.bincount(place.ravel(), weights=met, minlength=len(pairs)).astype(np.int64)
-    k, w = np.concatenate([*big_key, np.zeros(0, dtype=np.uint64)]).astype(np.uint64), np.concatenate([*big_who, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-    ids = lambda x: [v.tobytes() for v in name[x]]
-    return pd.DataFrame({"key": [None] * len(pairs) + k.view(np.int64).tolist(), "a": ids(pairs[:, 0]) + ids(w), "b": ids(pairs[:, 1]) + [None] * len(w), "na": n[pairs[:, 0]].tolist() + n[w].tolist(), "nb": n[pairs[:, 1]].tolist() + [0] * len(w), "lead": scatter[pairs[:, 0]].view(np.int64).tolist() + [0] * len(w), "c": shared.tolist() + [0] * len(w), "early": np.concatenate([np.zeros(len(pairs), dtype=bool), *big_early])}).astype({"key": "Int64"})
-
-
-def _segments(docs: DataFrame) -> DataFrame:
-    """w, v, cid, keys: the whole set of each document (text, shards) in VERTICAL fragments of the order of hashes, for each of its shards."""
+
+def _segments(sets: DataFrame) -> DataFrame:
+    """w, v, cls, keys: each set (cls, keys, shards) in VERTICAL fragments of the order of hashes, for each of its shards."""
+    cut = [((k << 64) // VERTICAL) for k in range(1, VERTICAL)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shards = b.column(1).to_pylist()
-            for first, part in _parts(b.column(0)):
-                w, v, cid, out = [], [], [], []
-                keys, of, n = shingle_sets(part)
-                cids = _digests(keys, of, n)
-                begins = np.cumsum(n) - n
-                for i in np.flatnonzero(n):
-                    mine = keys[begins[i] : begins[i] + n[i]]
-                    cuts = np.searchsorted(mine, np.array([(k << 64) // VERTICAL for k in range(1, VERTICAL)], dtype=np.uint64))
-                    for k, x in enumerate(np.split(mine, cuts)):
+            for first in range(0, b.num_rows, 256):
+                part = b.slice(first, 256)
+                w, v, row, out = [], [], [], []
+                lists = part.column(1)
+                keys, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                for i, shards in enumerate(part.column(2).to_pylist()):
+                    mine = np.sort(keys[ends[i - 1] if i else 0 : ends[i]])
+                    for k, x in enumerate(np.split(mine, np.searchsorted(mine, np.array(cut, dtype=np.uint64)))):
                         raw = x.astype("<u8").tobytes()
-                        for shard in shards[first + i]:
+                        for shard in shards:
                             w.append(shard)
                             v.append(k)
-                            cid.append(cids[i].tobytes())
+                            row.append(i)
                             out.append(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(v, pa.int32()), pa.array(cid, pa.binary()), pa.array(out, pa.binary())], names=["w", "v", "cid", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(v, pa.int32()), part.column(0).take(pa.array(row, pa.int64())), pa.array(out, pa.binary())], names=["w", "v", "cls", "keys"])
         give_back()
 
-    return docs.select(text_or_empty().alias("text"), "shards").mapInArrow(run, "w int, v int, cid binary, keys binary")
+    kind = sets.schema["cls"].dataType.simpleString()
+    return sets.select("cls", "keys", "shards").mapInArrow(run, f"w int, v int, cls {kind}, keys binary")
 
 
 def _overlaps(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """Partial overlaps of the pairs in one fragment."""
-    give_back()
-    at = {c: i for i, c in enumerate(sets.cid)}
+    at = {c: i for i, c in enumerate(sets.cls)}
     keys = [np.frombuffer(k, dtype="<u8") for k in sets["keys"]]
     out_a, out_b, part = [], [], []
     for a, own in pairs.groupby("a", sort=False):
@@ -279,40 +318,11 @@ def _overlaps(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         out_a += [a] * len(others)
         out_b += own.b.tolist()
         part.append(hit[ends] - hit[ends - sizes])
+    give_back()
     return pd.DataFrame({"a": out_a, "b": out_b, "part": np.concatenate([*part, np.zeros(0, dtype=np.int64)]).astype(np.int64)})
 
 
-def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    u = h.astype(np.int64).view(np.uint64)
-    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (u, u >> np.uint64(32))]
-
-
-def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose id may be among the wanted ones, by a Bloom filter of at most MAX_BITS.
-
-    A full filter lets more rows pass to the join that follows, never fewer.
-    """
-    bits = 64
-    while bits < min(ID_BITS * wanted.count(), MAX_BITS):
-        bits *= 2
-    h = F.xxhash64("id")
-    place = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at")
-    words = wanted.select(place).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("set")).toArrow()
-    table = np.zeros(bits // 32, dtype=np.uint32)
-    table[words.column("word").to_numpy()] = words.column("set").to_numpy().astype(np.uint32)
-    table = docs.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def may(h: pd.Series) -> pd.Series:
-        out = np.ones(len(h), dtype=bool)
-        for at in _places(h.to_numpy(), bits):
-            out &= (table.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
-        return pd.Series(out)
-
-    return docs.where(may(h))
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, shards: int) -> DataFrame:
     """The pairs (a, b, na, nb, lead) that link: partial overlaps by fragment, summed per pair.
 
     Pairs go to shards by the smallest lead of their second class, so what
@@ -321,72 +331,73 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shards: int
     """
     leads = pairs.groupBy("b").agg(F.min("lead").alias("top"), F.count(F.lit(1)).alias("c"))
     parts = leads.groupBy("top").agg(F.ceil(F.sum("c") / PAIRS).cast("int").alias("parts"))
-    home = leads.join(parts, "top").select(F.col("b").alias("hb"), F.pmod(F.xxhash64("top", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(shards)).cast("int").alias("w"))
+    home = saved(leads.join(parts, "top").select(F.col("b").alias("hb"), F.pmod(F.xxhash64("top", F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(shards)).cast("int").alias("w")), "homes")
     placed = saved(pairs.join(home, F.col("b") == F.col("hb")).select("w", "a", "b"), "placed")
-    need = placed.select("w", F.col("a").alias("cid")).unionAll(placed.select("w", "b")).groupBy("cid").agg(F.collect_set("w").alias("shards"))  # as many as it has hubs
-    wanted = saved(classes.join(need, "cid").groupBy(F.col("rep").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("shards"))).alias("shards")), "wanted")
-    sets = _segments(_only(docs, wanted).join(wanted, "id"))
+    need = placed.select("w", F.col("a").alias("cls")).unionAll(placed.select("w", "b")).groupBy("cls").agg(F.collect_set("w").alias("shards"))  # at most ``shards``
+    sent = _segments(sets.join(need, "cls"))
     asked = placed.select(F.col("w").alias("pw"), F.explode(F.sequence(F.lit(0), F.lit(VERTICAL - 1))).alias("pv"), "a", "b")
-    total = sets.groupBy("w", "v").cogroup(asked.groupBy("pw", "pv")).applyInPandas(_overlaps, "a binary, b binary, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
-    return pairs.join(total, ["a", "b"]).where(DENOMINATOR * F.col("both") >= NUMERATOR * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    kind = sets.schema["cls"].dataType.simpleString()
+    total = sent.groupBy("w", "v").cogroup(asked.groupBy("pw", "pv")).applyInPandas(_overlaps, f"a {kind}, b {kind}, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
+    out = saved(pairs.join(total, ["a", "b"]).where(DENOMINATOR * F.col("both") >= NUMERATOR * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "ngram-links")
+    dropped(home, placed)
+    return out
 
 
-def _components(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cid, component) of the classes in the edges, components by smallest document id."""
-    ids = classes.select("cid", "rep")
-    named = edges.join(ids.select(F.col("cid").alias("a"), F.col("rep").alias("ra")), "a").join(ids.select(F.col("cid").alias("b"), F.col("rep").alias("rb")), "b")
-    found = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    return ids.join(found.withColumnRenamed("id", "rep"), "rep").select("cid", "component")
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb, lead) of the hub of a shingle and another class that it may link with."""
+    first = F.min(F.struct(F.col("pos").alias("at"), F.col("n").alias("m"), F.xxhash64("cls").alias("h"), F.col("cls").alias("hub")))
+    hubs = saved(members.groupBy("key").agg(first.alias("x"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "x.*"), "hubs")
+    met = members.join(hubs, "key").where((F.col("cls") != F.col("hub")) & _allowed())
+    pairs = met.groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(F.first("m").alias("na"), F.first("n").alias("nb"), F.first("h").alias("lead"))
+    out = saved(pairs, "pairs")
+    dropped(hubs)
+    return out
+
+
+def _open_pairs(members: DataFrame, component: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb, lead) of classes in different components that may link and have not been tested."""
+    held = saved(members.join(component.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp")), "held")
+    sizes = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    open_ = saved(sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "main"), "open")
+    # Linked sizes differ by the factor of the threshold at most: their logarithms to that base are neighbours.
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int")
+    rest = saved(held.join(open_, "key").select("key", "cls", "n", "pos", "comp", "main", band.alias("band")), "rest")
+    minor = rest.where("comp <> main").select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("cls").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("theirs"))
+    near = rest.join(minor, ["key", "band"]).where((F.col("comp") != F.col("theirs")) & _allowed())
+    sides = F.col("cls") < F.col("other")
+    pick = lambda x, y: F.when(sides, F.col(x)).otherwise(F.col(y))
+    pairs = near.select(pick("cls", "other").alias("a"), pick("other", "cls").alias("b"), pick("n", "m").alias("na"), pick("m", "n").alias("nb")).distinct()
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    out = saved(pairs.join(done, ["a", "b"], "left_anti").withColumn("lead", F.xxhash64("a")), "open-pairs")
+    dropped(held, open_, rest)
+    return out
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id", small: int = SMALL) -> DataFrame:
+def joined(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, n_shingles and component_id of every row."""
-    spark = docs.sparkSession
     if docs.where(F.col(id_col).isNull()).limit(1).count():
         unnamed = docs.where(F.col(id_col).isNull()).select(_key(docs, id_col).alias("_u")).distinct()
-        out = joined(docs.select(_key(docs, id_col).alias(id_col), "text"), id_col, small).join(unnamed, F.col(id_col) == F.col("_u"), "left")
+        out = joined(docs.select(_key(docs, id_col).alias(id_col), "text"), id_col).join(unnamed, F.col(id_col) == F.col("_u"), "left")
         return out.select(F.when(F.col("_u").isNull(), F.col(id_col)).alias(id_col), "n_shingles", "component_id")
-    profiles = saved(_profiles(docs, id_col), "profiles")
-    often = profiles.where("key is not null").groupBy("key").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "key").limit(MAX_FREQUENT).toArrow()
-    order = spark.sparkContext.broadcast(Order(often.column("key").to_numpy().view(np.uint64), often.column("c").to_numpy()))  # at most MAX_FREQUENT
-    rows = profiles.where("key is null").select("id", "n", "cid")
-    classes = saved(rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    fragments = max(32, int(total * 2 // FRAGMENT_BYTES) + 1)  # a quarter of 8 bytes a shingle
-    shards = max(SHARDS, int(total * 8 // (VERTICAL * FRAGMENT_BYTES)) + 1)  # so that a shard's fragment stays small
-    met = saved(_prefixes(docs, order, fragments).groupBy("f").applyInPandas(lambda pdf: _meet(pdf, small), "key long, a binary, b binary, na long, nb long, lead long, c long, early boolean"), "met")
-    counted = saved(met.where("key is null").groupBy("a", "b", "na", "nb", "lead").agg(F.sum("c").alias("c")), "counted")
-    pairs = counted.where(F.col("c") >= _required()).drop("c")
-    large = met.where("key is not null").select("key", F.col("a").alias("cid"), F.col("na").alias("n"), "early")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    fragments = min(1 << 20, max(32, int(total * 4 // (6 * FRAGMENT_BYTES)) + 1))  # four bytes a shingle, one for six bytes of text
+    rows = _profiles(docs, id_col, fragments)
+    classes = saved(rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min("u").alias("u")), "classes")
+    alive = classes.where(F.col("u") <= _spare(F.col("n"))).select("cid", "rep", "n")
     texts = docs.select(F.col(id_col).alias("id"), "text")
-    links = saved(_verified(pairs, classes, texts, shards), "ngram-links")
-    first = saved(_components(links, classes), "first-round")
-    # Second round: large groups that still hold several components.
-    held = large.join(first, "cid", "left").select("key", "cid", "n", "early", F.coalesce(F.col("component").cast("string"), F.hex("cid")).alias("component"))
-    open_ = held.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.max("early").alias("early")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("k"), F.max("early").alias("led")).where("k > 1").select("key", "main", "led")
-    rest = saved(held.join(open_, "key"), "rest")
-    led = rest.where("led")
-    minor = led.where("component <> main").select("key", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("early").alias("ea"))
-    cross = minor.join(led.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("early").alias("eb")), "key")
-    # The early shingles of the smaller class hold one that the larger class has in its prefix; of equal ones, both are early.
-    leads = (F.col("ea") | (F.col("na") > F.col("nb"))) & (F.col("eb") | (F.col("nb") > F.col("na")))
-    cross = cross.where((F.col("ca") != F.col("cb")) & (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")) & leads)
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("na"), F.greatest("na", "nb").alias("nb")]
-    # Each pair with its count in small groups; those with enough of it are tested already.
-    likely = cross.select(*pair, F.lit(0).cast("long").alias("c")).unionAll(counted.select(*pair, "c")).groupBy("a", "b", "na", "nb").agg(F.max("c").alias("c")).where(F.col("c") < _required())
-    own = rest.groupBy("cid").agg(F.count(F.lit(1)).alias("k"), F.first("component").alias("component"))
-    for side in "ab":
-        likely = likely.join(own.select(F.col("cid").alias(side), F.col("k").alias(f"k{side}"), F.col("component").alias(f"c{side}")), side)
-    likely = likely.where((F.col("ca") != F.col("cb")) & (F.col("c") + F.least("ka", "kb") >= _required())).select("a", "b", "na", "nb", "c")
-    lists = rest.groupBy("cid").agg(F.collect_list("key").alias("keys"))  # at most the prefix of a class
-    for side in "ab":
-        likely = likely.join(lists.select(F.col("cid").alias(side), F.col("keys").alias(f"keys_{side}")), side)
-    more = likely.where(F.col("c") + F.size(F.array_intersect("keys_a", "keys_b")) >= _required())
-    more = saved(more.select("a", "b", "na", "nb", F.xxhash64("a").alias("lead")), "second-round")
-    found = first
+    sets = _sets(texts, alive)
+    left = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(SHARDS, int(left * 8 // (VERTICAL * FRAGMENT_BYTES)) + 1)  # so that a shard's fragment stays small
+    members = _members(sets)
+    pairs = _hub_pairs(members)
+    links = _verified(pairs, sets, shards)
+    found = saved(components(links), "components")
+    more = _open_pairs(members, found, pairs)
     if more.limit(1).count():
-        found = _components(links.unionAll(_verified(more, classes, texts, shards)), classes)
-    out = rows.join(classes.select("cid", "rep"), "cid", "left").join(found, "cid", "left")
+        found = saved(components(links.unionAll(_verified(more, sets, shards))), "components")
+    dropped(sets, members, pairs, more)
+    named = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("cid", "rep", "component")
+    out = rows.join(named, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
 
 

@@ -58,8 +58,9 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("cid", F.lit("clash"))
 
 
-@pytest.mark.parametrize("small", [6, 2])
-def test_ngrams(spark, small):
+@pytest.mark.parametrize("held", [1_000_000, 3000])
+def test_ngrams(spark, monkeypatch, held):
+    monkeypatch.setattr(ngram_join, "HELD", held)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(120)]
@@ -71,7 +72,7 @@ def test_ngrams(spark, small):
         family.append((10_000 + i, " ".join(w)))
     docs = docs.select("doc_id", "text").union(spark.createDataFrame(family, "doc_id long, text string"))
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert sorted(map(tuple, ngram_join.joined(docs, small=small).collect())) == brute_ngrams(rows)
+    assert sorted(map(tuple, ngram_join.joined(docs).collect())) == brute_ngrams(rows)
 
 
 def test_ngrams_odd(spark):
@@ -83,6 +84,32 @@ def test_ngrams_odd(spark):
     assert ngram_join.joined(df.limit(0)).count() == 0
 
 
+def test_ngrams_open_groups(spark):
+    """Classes around shared passages that no hub links: chains of links, sizes at the threshold, many at one shingle."""
+    rng = np.random.default_rng(11)
+    core = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}_{k}" for k in range(int(rng.integers(0, 22)))]
+        cut = int(rng.integers(0, 12))
+        rows.append((i, " ".join(core[cut:] + own) if i % 3 else " ".join(own + core[: 60 - cut])))
+    chain = [f"k{i}" for i in range(400)]
+    rows += [(1000 + i, " ".join(chain[4 * i : 4 * i + 60])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, ngram_join.joined(docs).collect())) == brute_ngrams(rows)
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_hashes_without_structure(spark):
+    """Words that collide under every polynomial modulo 2^64 stay apart."""
+    rows = [(k * 2 + f, thue_morse(1024 << k, bool(f))) for k in range(3) for f in range(2)] + [(50 + f, " ".join(f"w{i}" for i in range(40)) + " " + thue_morse(2048, bool(f)) + " x y z") for f in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.joined(docs).collect())) == brute_ngrams(rows)
+
+
 def brute_bytes(rows):
     seen, out = set(), []
     for i, t in sorted(rows):

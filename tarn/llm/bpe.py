@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import text_or_empty
+from tarn.llm.hashing import word_sums
+from tarn.llm.shared import give_back, text_or_empty
 
 #: Pre-tokens remembered in a worker before its memory is emptied.
 REMEMBERED = 400_000
@@ -117,9 +118,6 @@ def split(points: np.ndarray, first: np.ndarray, kinds: np.ndarray) -> np.ndarra
     return np.flatnonzero(start)
 
 
-MULTIPLIER = 0x9E3779B97F4A7C15
-
-
 class Codec:
     """Encodes many texts at once: pre-tokens get hashes, and only new ones go to sentencepiece."""
 
@@ -139,7 +137,6 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
-        self.powers, self.inverses = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
         self._forget()
 
     def _forget(self) -> None:
@@ -159,14 +156,6 @@ class Codec:
         self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), dtype="<u4", count=int(sizes.sum()))])
         self.sizes = np.concatenate([self.sizes, sizes])
 
-    def _powers(self, n: int) -> None:
-        if len(self.powers) < n:
-            with np.errstate(over="ignore"):
-                for name, base in (("powers", MULTIPLIER), ("inverses", pow(MULTIPLIER, -1, 1 << 64))):
-                    x = np.full(n, base, dtype=np.uint64)
-                    x[0] = 1
-                    setattr(self, name, np.multiply.accumulate(x))
-
     def _part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         whole = "".join(texts)
@@ -181,15 +170,7 @@ class Codec:
         else:
             spans = [(b + m.start(), b + m.end()) for t, b in zip(texts, begins.tolist(), strict=True) for m in self.find(t)]
             starts, ends = (np.array([s[k] for s in spans], dtype=np.int64) for k in (0, 1))
-        self._powers(n + 1)
-        with np.errstate(over="ignore"):
-            x = points.astype(np.uint64) + np.uint64(0x51ED27)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(31)
-            x *= self.powers[:n]
-            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x)])
-            h = (sums[ends] - sums[starts]) * self.inverses[starts]
-            h ^= h >> np.uint64(32)
+        h = word_sums(points, starts, ends)
         distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
         keys = distinct.tolist()
         if len(self.place) + len(keys) > REMEMBERED:

@@ -111,6 +111,41 @@ def test_pii_bootstraps(spark):
     assert texts[0] == "pay by account: [CARD] today" and texts[50] == "pay by account: [ID] today" and texts[53] == "plain words only"
 
 
+def test_pii_without_seed_words(spark):
+    """Patterns that base seeds and random-looking values induce find held-out identifiers of other looks, without any word list."""
+    import random
+
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    cards = [c + str(next(d for d in range(10) if luhn(c + str(d)))) for c in ("4" + digits(14) for _ in range(60))]
+    bad = [x for x in ("4" + digits(15) for _ in range(80)) if not luhn(x)][:40]
+    keys = ["".join(rng.choice("abcdef0123456789") for _ in range(40)) for _ in range(60)]
+    short = ["".join(rng.choice("ghjkmnpq") for _ in range(9)) for _ in range(40)]
+    held, plain = set(), set()
+    rows = [f"customer account: {c} thanks" for c in cards] + [f'x handle = "{k}" y' for k in keys]
+    for v, t in [(b, f"customer account: {b} thanks") for b in bad] + [(v, f'x HANDLE = "{v}" y') for v in short]:
+        held.add((len(rows), t.index(v), t.index(v) + len(v)))
+        rows.append(t)
+    for i in range(60):
+        plain.add(len(rows))
+        rows.append(f'colour = "blue{i}" size: 12 cm in room{i:06d} of house 1234{i:05d}')
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r.id, x.s, x.e) for r in pii.all_spans(docs, words=()).collect() for x in r.spans if x.kind == 4}
+    assert len(held & got) >= 0.9 * len(held) and len(held) == 80
+    assert not {i for i, *_ in got} & plain
+
+
+def test_redacted_keeps_columns(spark):
+    """Columns with names of inner ones stay; many and overlapping spans are replaced in one pass."""
+    text = " ".join(f"a{i}@b.org 10.0.0.{i % 250}" for i in range(700))
+    rows = [(1, text, "mine", "th", 5, "r"), (None, "plain", "x", "y", 5, "r"), (2, None, "x", "y", 0, "r"), (3, "é +1 (487) 555 20.1.1.1 x", "x", "y", 24, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, th string, n_chars long, row string")
+    got = {r.doc_id: r for r in pii.redacted(df).collect()}
+    assert pii.redacted(df).columns == df.columns and (got[1]._id, got[1].th, got[1].row) == ("mine", "th", "r")
+    assert got[1].text == " ".join(["[EMAIL] [IP]"] * 700) and got[1].n_chars == len(got[1].text)
+    assert got[None].text == "plain" and (got[2].text, got[2].n_chars) == (None, 0) and got[3].text == "é [PHONE] x"
+
+
 def test_pii_named_values(spark):
     """Values assigned to a seed word go however rare, short or plain they are; what only looks like it stays."""
     values = {1: ('x TOKEN = "9233A8ECF7C5B09FE594" y', "9233A8ECF7C5B09FE594"), 2: ('password = "hunter"', "hunter"), 3: ("passwd=s3!x ok", "s3!x"), 4: ("ssn: 12-34", "12-34"), 5: ("'secret': 'two words é'", "two words é"), 6: ("api_key: ab12cd34ef56", "ab12cd34ef56")}

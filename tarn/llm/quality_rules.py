@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import text_or_empty
+from tarn.llm.shared import dropped, saved, text_or_empty
 
 WINDOW = 8
 MAX_LABELLED = 6000
@@ -87,9 +87,11 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", bound: int = MAX_LABELLED) -> list[tuple]:
     """At most ``bound`` rows (features..., quality), collected."""
     some = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).select(id_col, "quality").orderBy(F.xxhash64(id_col), "quality").limit(bound)
-    texts = docs.select(id_col, "text").join(F.broadcast(some), id_col)  # at most ``bound`` pairs of numbers
+    texts = saved(docs.select(id_col, "text").join(F.broadcast(some), id_col), "labelled")  # at most ``bound`` pairs of numbers; written first, so only these texts are counted
     stats = text_stats(texts.select(F.struct(id_col, "quality").alias(id_col), "text"), id_col)
-    return [tuple(r) for r in stats.where("not base_failed").select(*FEATURES, F.col(id_col)["quality"].alias("quality")).orderBy(F.xxhash64(id_col)).limit(bound).collect()]
+    out = [tuple(r) for r in stats.where("not base_failed").select(*FEATURES, F.col(id_col)["quality"].alias("quality")).orderBy(F.xxhash64(id_col)).limit(bound).collect()]
+    dropped(texts)
+    return out
 
 
 def _fits(row: tuple, rule) -> bool:

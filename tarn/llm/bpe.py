@@ -119,7 +119,7 @@ def split(points: np.ndarray, first: np.ndarray, kinds: np.ndarray) -> np.ndarra
 
 
 class Codec:
-    """Encodes many texts at once: pre-tokens get hashes, and only new ones go to sentencepiece."""
+    """Encodes many texts at once: pre-tokens get 64-bit hashes (``word_sums``), and only new ones go to sentencepiece."""
 
     PART = 1_500_000  # code points worked on at once
 
@@ -137,9 +137,10 @@ class Codec:
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empties the memory of pre-tokens; workers live on between tasks."""
         self.place: dict[int, int] = {}
         self.flat, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
 
@@ -174,7 +175,7 @@ class Codec:
         distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
         keys = distinct.tolist()
         if len(self.place) + len(keys) > REMEMBERED:
-            self._forget()
+            self.forget()
         new = [i for i, k in enumerate(keys) if k not in self.place]
         if new:
             self._learn([whole[starts[i] : ends[i]] for i in at[new]], [keys[i] for i in new])
@@ -230,6 +231,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", wi
             more = [pa.array(ids_out, pa.list_(pa.int32())), pa.array(raw_out, pa.binary())] if with_ids else []
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: len(more)]]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), *more], names=names)
+        c.forget()
+        give_back()
 
     return docs.select(id_col, text_or_empty().alias("text")).mapInArrow(run, schema)
 

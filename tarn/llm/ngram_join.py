@@ -411,9 +411,9 @@ def _key(docs: DataFrame, id_col: str):
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One document of each group stays: that of the smallest id. Repeated rows of it stay too."""
-    keyed = docs.withColumn("_key", _key(docs, id_col))
-    kept = joined(keyed, "_key").where(F.col("component_id") == F.col("_key")).select("_key").distinct()
-    return keyed.join(kept, "_key", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(docs, id_col).alias("key"), "text")
+    kept = joined(keyed.select("key", "text"), "key").where(F.col("component_id") == F.col("key")).select("key").distinct()
+    return keyed.join(kept, "key", "left_semi").select("row.*")
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

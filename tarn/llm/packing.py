@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.bpe import ARRAY_PATTERN, Codec, byte_characters
-from tarn.llm.shared import saved, text_or_empty
+from tarn.llm.shared import give_back, saved, text_or_empty
 
 WINDOW, END = 2048, 1
 FREQUENT, SWEEPS = 12, 12
@@ -104,6 +104,8 @@ def tokenised(docs: DataFrame, path: str, id_col: str) -> DataFrame:
                 seen[r] += 1
                 whole += len(x) // WINDOW
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(rests, pa.int32()), pa.array([pid] * len(n), pa.int64()), pa.array(ks, pa.int64()), pa.array(ws, pa.int64())], names=["id", "ids", "n", "rest", "pid", "k", "w"])
+        json_codec(path).forget()
+        give_back()
 
     return docs.select(F.col(id_col).alias("id"), text_or_empty().alias("text")).mapInArrow(run, schema)
 
@@ -237,6 +239,7 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", with_ids: bool =
                     parts.append(part)
             cols = [pa.array([x[c] for x in out], pa.int64()) for c in range(6)]
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), *cols, *[pa.array(parts, pa.binary())][: int(with_ids)]], names=names)
+        give_back()
 
     placed = rows.join(starts, ["pid", "rest"], "left")
     return placed.select("id", "ids", "n", "rest", "pid", "k", "w", F.coalesce("first", F.lit(0)).cast("long").alias("first")).mapInArrow(run, schema)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.hashing import in_parts, mix, prefix_sums, span_hashes
-from tarn.llm.shared import dropped, row_key, saved, text_or_empty
+from tarn.llm.shared import dropped, give_back, row_key, saved, text_or_empty
 
 LENGTH, KGRAM = 100, 32
 SPAN = LENGTH - KGRAM + 1  # anchors that a window can have
@@ -318,11 +318,15 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
                         held, size = [], 0
         if held:
             yield flush()
+            held = []
+        give_back()
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.kind.iloc[0] != ANCHORS:
             return pdf
-        return _frame(indexed(gathered(pdf.blob, ANCHOR), groups, batch_size))
+        out = _frame(indexed(gathered(pdf.blob, ANCHOR), groups, batch_size))
+        give_back()
+        return out
 
     known = saved(whole.mapInArrow(scan, ROWS).groupBy("kind", "key").applyInPandas(shard, ROWS), "suffixes")
     texts = _texts(whole, groups)
@@ -358,6 +362,7 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
             first = s[np.concatenate([[True], w["w"][s][1:] != w["w"][s][:-1]])]  # the earliest of each window goes on
             w = {n: v[first] for n, v in w.items()}
             out += dealt(WINDOWS, (w["w"] % np.uint64(groups)).astype(np.int64), w, WINDOW_T)
+        give_back()
         return _frame(out)
 
     asked = known.where(F.col("kind") == REQUESTS).select("key", "blob")
@@ -425,6 +430,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", as_text: bool = False,
             kept, n, runs = cut(t, [(min(p, len(t)), min(q, len(t))) for p, q in zip(s[b:x].tolist(), e[b:x].tolist(), strict=True)])
             out.append((i if named else None, len(t), n, runs, kept.decode("utf-8", "ignore") if as_text else kept))
         ids = pd.Series([x[0] for x in out], dtype=object)  # whole numbers beside None
+        give_back()
         return pd.DataFrame(out, columns=[id_col, "n_bytes", "n_removed", "n_spans", "kept"]).assign(**{id_col: ids})
 
     schema = f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
@@ -436,12 +442,12 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     A character of which a byte is removed is removed. Other columns come by the id.
     """
-    keyed = docs.withColumn("_key", row_key(F.col(id_col).cast("long")))
-    left = deduplicated(keyed, "_key", True).select(F.col("_key").alias("_id"), F.col("kept").alias("_kept")).where("_kept <> ''").groupBy("_id").agg(F.first("_kept").alias("_kept"))
-    out = keyed.drop("text").join(left, F.col("_key") == F.col("_id")).withColumn("text", F.col("_kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, row_key(F.col(id_col).cast("long")).alias("key"), F.col("text"))
+    left = deduplicated(keyed.select("key", "text"), "key", True).where("kept <> ''").groupBy("key").agg(F.first("kept").alias("kept"))
+    both = keyed.select("row", "key").join(left, "key")
+    new = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return both.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -82,6 +82,8 @@ def test_ngrams_odd(spark):
     kept = ngram_join.deduplicated(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 8, 8, 9, 10]
     assert ngram_join.joined(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "'a' AS key", "'b' AS row", "'c' AS _key", "1 AS n", "2 AS u")
+    assert ngram_join.deduplicated(clash).columns == clash.columns and ngram_join.deduplicated(clash).where("key = 'a' AND row = 'b' AND n = 1").count() == 10
 
 
 def test_ngrams_open_groups(spark):
@@ -184,6 +186,15 @@ def test_cleaned(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in suffix_dedup.cleaned(df).collect()}
     assert got == {1: (passage, 200), 2: ("start  end", 10)}
     assert suffix_dedup.cleaned(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "'a' AS _id", "'b' AS key", "'c' AS kept", "'d' AS row")
+    assert {(r.doc_id, r._id, r.key, r.kept, r.row) for r in suffix_dedup.cleaned(clash).collect()} == {(1, "a", "b", "c", "d"), (2, "a", "b", "c", "d")}
+
+
+def test_suffixes_of_structured_texts(spark):
+    """Windows that differ only in a Thue-Morse word and its complement are no repetition."""
+    rows = [(k * 2 + f, thue_morse(64 << k, bool(f)) + "tail" * 30) for k in range(5) for f in range(2)]
+    got = suffix_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == brute_bytes(rows)
 
 
 def brute_vectors(rows, t=0.93):

@@ -54,8 +54,13 @@ def test_bpe_property(reference, texts):
         assert ids.tolist() == enc.encode_ordinary(t) and codec.decode(ids) == t.encode()
 
 
+def thue_morse():
+    """Pre-tokens that collide under every polynomial modulo 2^64."""
+    return [(-100 - 2 * k - f, "".join("ab"[(i.bit_count() + f) % 2] for i in range(1024 << k)) + " end") for k in range(3) for f in range(2)]
+
+
 def test_bpe(spark, reference):
-    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 30000), (-4, " " * 5000)], "doc_id long, text string"))
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 30000), (-4, " " * 5000), *thue_morse()], "doc_id long, text string"))
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     rows = bpe.encoded(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
     assert len(rows) == len(texts)
@@ -67,9 +72,8 @@ def test_bpe(spark, reference):
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 9000)], "doc_id long, text string"))
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 9000), (-4, "a <|endoftext|> b"), *thue_morse()], "doc_id long, text string"))
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     want = {k: np.array([*e.ids, 1], dtype="<u4") for k, e in zip(texts, tok.encode_batch(list(texts.values()), add_special_tokens=False), strict=True)}
     out = packing.packed(docs, P.path("byte_bpe_50k.json")).toPandas()

@@ -6,7 +6,7 @@ from tarn.llm.ngram_join import deduplicated as one_of_each_group
 from tarn.llm.packing import packed
 from tarn.llm.pii import redacted
 from tarn.llm.quality_rules import filtered
-from tarn.llm.shared import saved
+from tarn.llm.shared import dropped, saved
 from tarn.llm.suffix_dedup import cleaned
 
 
@@ -52,5 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        done = saved(stage(spark, docs, sf_dir), name)
+        dropped(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

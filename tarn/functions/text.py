@@ -4,16 +4,21 @@ All are built-in functions, so they stay in the JVM.  White space is what
 Python's ``str.strip`` and ``str.split`` take, i.e. Unicode's plus U+001C-1F.
 """
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WS = r"[\s\x1c-\x1f]"
+_WS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: What separates words: white space and these marks.
+MARKS = "?,"
+_SEPARATOR = rf"[\s\x1c-\x1f{MARKS}]+"
+SHORTEST = 2
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{_WS}+|{_WS}+\z", "")
+    return F.btrim(c, F.lit(_WS))
 
 
 def safe_text(c: Column) -> Column:
@@ -23,13 +28,14 @@ def safe_text(c: Column) -> Column:
 
 def tokens(query: str) -> list[str]:
     """Lower-cased words of two code points or more; ? and , separate; repeats stay."""
-    return [w for w in query.lower().replace("?", " ").replace(",", " ").split() if len(w) >= 2]
+    pieces = re.split(_SEPARATOR, query.lower())
+    return list(filter(lambda w: len(w) >= SHORTEST, pieces))
 
 
 def tokens_col(c: Column) -> Column:
     """``tokens`` as a column; null gives no tokens."""
-    words = F.split(F.translate(F.lower(F.coalesce(c, F.lit(""))), "?,", "  "), rf"(?U){_WS}+")
-    return F.filter(words, lambda w: F.length(w) >= 2)
+    words = F.split(F.lower(F.coalesce(c, F.lit(""))), f"(?U){_SEPARATOR}")
+    return F.filter(words, lambda w: F.length(w) >= SHORTEST)
 
 
 def contains_any(c: Column, words) -> Column:

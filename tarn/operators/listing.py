@@ -10,6 +10,7 @@ from tarn.functions.text import available, safe_text
 from tarn.schemas import DEPARTMENTS, NO_SUMMARY
 from tarn.sources.catalog import ORD
 
+# The columns of the lists, in their order.
 PEOPLE = ("dept_name", "name", "role", "research_area", "homepage", "source_url")
 COURSES = ("dept_name", "course_level", "course_code", "course_name", "course_type", "credit", "source_url")
 
@@ -59,7 +60,7 @@ def first_texts(assets: DataFrame, n: int = 3, cut: int = 500, ord_col: str = OR
 def group_overview(label_rows: DataFrame, assets: DataFrame, placeholder: str | Column = NO_SUMMARY, ord_col: str = ORD) -> DataFrame:
     """A row for each label, also without assets. Facts shrink to a row a group before the join."""
     known = label_rows.select("dept")
-    small = assets.join(F.broadcast(known), "dept", "left_semi")  # labels are a fixed handful of rows
+    small = assets.join(known, "dept", "left_semi")  # Spark broadcasts labels if they are as few as usual
     out = label_rows
     out = out.join(first_texts(small, ord_col=ord_col), "dept", "left") if "text" in assets.columns else out.withColumn("summary", F.lit(None).cast("string"))
     out = out.join(first_urls(small, ord_col), "dept", "left") if "source_url" in assets.columns else out.withColumn("source_url", F.lit(None).cast("string"))

@@ -1,5 +1,7 @@
 """Data-quality tier implied by the data: duplicates, missing values, distributions."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,5 +29,17 @@ def distribution_text(df: DataFrame, column: str) -> DataFrame:
     return per.agg(F.array_join(F.transform(rows, lambda x: F.concat(x["v"], F.lit(": "), x["n"].cast("string"))), ", ").alias("distribution"))
 
 
+def rows_added(df: DataFrame, before: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows of ``df`` have a key that ``before`` lacks."""
+    return df.join(before.select(key).distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias("rows_added"))
+
+
+def report(metrics: dict[str, tuple[DataFrame, str]], checked_at: str) -> DataFrame:
+    """metric, value (text), note: each metric's frame has one row of one column; ``checked_at`` is the stamp of the check."""
+    rows = [df.select(F.lit(name).alias("metric"), F.col(df.columns[0]).cast("string").alias("value"), F.lit(note).alias("note")) for name, (df, note) in metrics.items()]
+    out = reduce(DataFrame.unionAll, rows)
+    return out.unionAll(out.sparkSession.createDataFrame([("checked_at", checked_at, "stamp")], "metric string, value string, note string"))
+
+
 def parse_distribution(text: Column) -> Column:
     return F.str_to_map(text, F.lit(", "), F.lit(": "))

@@ -1,12 +1,14 @@
 """The engine's queries over the driver tables, each with DuckDB SQL of the same rows."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.operators import answers, chat, listing, quality, render
 from tarn.operators.search import all_hits, chunks, search, search_many
-from tarn.schemas import EMPTY_TEXTS, GUIDE_SOURCE, HEADERS, ORG, ROUTES
-from tarn.sources.catalog import parquet
+from tarn.schemas import DEPARTMENTS, EMPTY_TEXTS, FALLBACK_SUMMARIES, FILES, GREETING, GUIDE_SOURCE, HEADERS, NO_SUMMARY, ORG, PRESETS, RESET_GREETING, ROUTES
+from tarn.sources.catalog import Catalog, parquet, read_binary_base64, scratch_dir
 from tarn.functions.text import tokens
 
 QUERY = "thshed onering, ering? la thshed"
@@ -71,7 +73,61 @@ def _routes_long(df: DataFrame, col: str, routes) -> DataFrame:
     return df.select(answers.route_col(F.col(col), routes).alias("route")).groupBy("route").agg(F.count("*").alias("n"))
 
 
+def _csv_events(spark: SparkSession, d: str) -> DataFrame:
+    """conversations written as CSV with quotes and line ends in fields, and read by the catalog."""
+    base = scratch_dir(spark)
+    out = parquet(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit('say "x",\n '), F.col("text")).alias("title"), F.when(F.col("role") == "user", "N/A").otherwise(F.col("role")).alias("event_type"))
+    out.write.csv(f"{base}/{FILES['events']}", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return Catalog(spark, base).table("events").drop("_ord").withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")})
+
+
+def _binary(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each nation, read as base64."""
+    base = scratch_dir(spark)
+    parquet(spark, d, "nation").select("n_nationkey", "n_name").repartition("n_nationkey").write.partitionBy("n_nationkey").text(base)
+    files = read_binary_base64(spark, f"{base}/*/*.txt")
+    return files.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), "content_base64")
+
+
+def _catalog(spark: SparkSession, d: str) -> Catalog:
+    """Tables of the guide over driver tables; those without a file are empty."""
+    return Catalog(spark, d, FILES | {"people": "customer.parquet", "courses": "part.parquet", "events": "events.parquet"})
+
+
+def _dispatched(spark: SparkSession, d: str) -> DataFrame:
+    """The preset questions answered where no table has a file."""
+    tables = Catalog(spark, f"{d}/no-such-folder").table
+    found = [_flat(answers.answer(q.format(org=ORG), tables)).withColumn("preset", F.lit(i).cast("long")) for i, q in enumerate(PRESETS, 1)]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    docs = parquet(spark, d, "documents")
+    return quality.report(
+        {
+            "rows": (docs.agg(F.count(F.lit(1)).alias("n")), "rows"), "duplicates": (quality.duplicate_count(docs, "text"), "exact duplicates"), "missing_source": (quality.missing(docs, ["source"]), "null or empty"),
+            "lang": (quality.distribution_text(docs, "lang"), "distribution"), "rows_added": (quality.rows_added(docs, parquet(spark, d, "labels"), "doc_id"), "not labelled yet"),
+        },
+        "2026-01-02T03:04:05+00:00",
+    )
+
+
 QUERIES = {
+    "csv_scan": _csv_events,
+    "tolerant_scan": lambda s, d: listing.table_counts({n: Catalog(s, f"{d}/no-such-folder").table(n) for n in FILES}),
+    "catalog_counts": lambda s, d: listing.table_counts({n: _catalog(s, d).table(n) for n in ("people", "courses", "events", "admissions")}),
+    "binary_base64": _binary,
+    "departments_fixed": lambda s, d: listing.departments(s, parquet(s, d, "region"), "r_regionkey"),
+    "departments_empty": lambda s, d: listing.departments(s, _assets(s, d).limit(0), "doc_id"),
+    "departments_without_rows": lambda s, d: listing.departments(s, _assets(s, d), "doc_id"),
+    "chat_seed": lambda s, d: chat.seed(s, 1).select("conv_id", "turn", "role", "content"),
+    "chat_reset": lambda s, d: chat.seed(s, 1, reset=True).select("conv_id", "turn", "role", "content"),
+    "chat_add_question": lambda s, d: chat.append(_history(s, d).where("conv_id = 1").withColumn("sources", F.lit(None).cast("array<struct<title:string,meta:string,url:string>>")), 1, "zzzzqq", answers.search_answer(_docs(s, d), "zzzzqq", "default", ord_col="doc_id")).select("conv_id", "turn", "role", "content", F.coalesce(F.size("sources"), F.lit(-1)).cast("long").alias("n_sources")),
+    "presets": lambda s, d: chat.presets(s).withColumn("route", answers.route_col(F.col("question"))),
+    "answer_presets": _dispatched,
+    "info_cards": lambda s, d: parquet(s, d, "nation").select("n_nationkey", render.info_card(F.concat(F.lit("<"), F.col("n_name")), F.lit("a & 'b'")).alias("card")),
+    "quality_report": _report,
+    "distribution_parsed": lambda s, d: quality.distribution_text(parquet(s, d, "documents"), "lang").select(F.explode(quality.parse_distribution(F.col("distribution"))).alias("value", "n")),
     "search_topk": lambda s, d: search(chunks(_docs(s, d), "doc_id"), QUERY, 3).select("ord", "score", "title", "dept_name", "text", "source_url"),
     "search_all_hits": lambda s, d: all_hits(chunks(_docs(s, d), "doc_id"), QUERY).select("ord", "score", "title"),
     "search_many": lambda s, d: search_many(s.createDataFrame([(1, "thshed onering"), (2, "la? ering la"), (3, "zzzzzz")], "q_id long, question string"), chunks(_docs(s, d), "doc_id")).select("q_id", F.col("rk").cast("long").alias("rk"), "score", "ord"),
@@ -141,7 +197,33 @@ _URLS = "(SELECT lang AS dept, trim(arg_min(source, doc_id)) AS source_url FROM
 _MANY = " UNION ALL ".join(f"(SELECT CAST({i} AS BIGINT) AS q_id, row_number() OVER (ORDER BY score DESC, ord) AS rk, score, ord FROM {_found(q)})" for i, q in ((1, "thshed onering"), (2, "la? ering la"), (3, "zzzzzz")))
 _GUIDE = [x.format(org=ORG) for x in GUIDE_SOURCE]
 
+_FIXED = f"(VALUES {_values([(i, c, n, FALLBACK_SUMMARIES[c]) for i, (c, n) in enumerate(DEPARTMENTS)])}) v(label_ord, dept, dept_name, summary)"
+_PRESETS = f"(VALUES {_values([(i, q.format(org=ORG)) for i, q in enumerate(PRESETS, 1)])}) v(preset, question)"
+_DISTRIBUTION = "(SELECT string_agg(v || ': ' || n, ', ' ORDER BY n DESC, v) AS distribution FROM (SELECT lang AS v, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1))"
+
+
+def _greeted(text: str) -> str:
+    return f"SELECT CAST(1 AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, 'assistant' AS role, {_q(text)} AS content"
+
+
 ORACLE = {
+    "csv_scan": "SELECT conv_id, turn, 'say \"x\",' || chr(10) || ' ' || text AS title, CASE WHEN role = 'user' THEN NULL ELSE role END AS event_type FROM conversations",
+    "tolerant_scan": f"SELECT metric, CAST(0 AS BIGINT) AS value FROM (VALUES {_values([(n,) for n in FILES])}) v(metric)",
+    "catalog_counts": "SELECT 'people' AS metric, count(*) AS value FROM customer UNION ALL SELECT 'courses', count(*) FROM part UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'admissions', 0",
+    "binary_base64": "SELECT n_nationkey, to_base64(encode(n_name || chr(10))) AS content_base64 FROM nation",
+    "departments_fixed": f"SELECT CAST(label_ord AS INT) AS label_ord, dept, dept_name, summary, '' AS source_url FROM {_FIXED}",
+    "departments_empty": f"SELECT CAST(label_ord AS INT) AS label_ord, dept, dept_name, summary, '' AS source_url FROM {_FIXED}",
+    "departments_without_rows": f"SELECT CAST(label_ord AS INT) AS label_ord, dept, dept_name, {_q(NO_SUMMARY)} AS summary, '' AS source_url FROM {_FIXED}",
+    "chat_seed": _greeted(GREETING.format(org=ORG)),
+    "chat_reset": _greeted(RESET_GREETING),
+    "chat_add_question": f"WITH h AS (SELECT * FROM conversations WHERE conv_id = 1), t AS (SELECT coalesce(max(turn), -1) AS t FROM h) SELECT conv_id, turn, role, text AS content, CAST(-1 AS BIGINT) AS n_sources FROM h UNION ALL SELECT 1, t + 1, 'user', 'zzzzqq', 0 FROM t UNION ALL SELECT 1, t + 2, 'assistant', {_q(EMPTY_TEXTS['default'])}, 1 FROM t",
+    "presets": f"SELECT CAST(preset AS BIGINT) AS preset, question, {_case('question', ROUTES)} AS route FROM {_PRESETS}",
+    "answer_presets": " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS preset, {_q(EMPTY_TEXTS[k].format(org=ORG))} AS answer, CAST({int(k == 'default')} AS BIGINT) AS n_sources, {_q(_GUIDE[0] if k == 'default' else '')} AS titles, {_q(_GUIDE[1] if k == 'default' else '')} AS metas, '' AS urls" for i, k in enumerate(("admission", "research", "faculty", "course", "event", "default"), 1)),
+    "info_cards": """SELECT n_nationkey, '<div class="card"><h4>&lt;' || n_name || '</h4><p>a &amp; &#x27;b&#x27;</p></div>' AS card FROM nation""",
+    "quality_report": f"""SELECT 'rows' AS metric, CAST(count(*) AS VARCHAR) AS value, 'rows' AS note FROM documents UNION ALL SELECT 'duplicates', CAST(count(text) - count(DISTINCT text) AS VARCHAR), 'exact duplicates' FROM documents
+ UNION ALL SELECT 'missing_source', CAST(count(*) FILTER (WHERE source IS NULL OR source = '') AS VARCHAR), 'null or empty' FROM documents UNION ALL SELECT 'lang', distribution, 'distribution' FROM {_DISTRIBUTION}
+ UNION ALL SELECT 'rows_added', CAST(count(*) AS VARCHAR), 'not labelled yet' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'checked_at', '2026-01-02T03:04:05+00:00', 'stamp'""",
+    "distribution_parsed": "SELECT lang AS value, CAST(count(*) AS VARCHAR) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1",
     "search_topk": f"SELECT ord, score, title, dept_name, text, source_url FROM {_found(QUERY)}",
     "search_all_hits": f"SELECT ord, score, title FROM {_found(QUERY, None)}",
     "search_many": _MANY,

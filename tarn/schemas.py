@@ -7,6 +7,7 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
 
+# Tables and their columns.
 #: All CSV columns stay strings: dates and numbers are shown as they were written.
 TABLES: dict[str, T.StructType] = {
     "admissions": _strings("dept_name", "title", "section_title", "content", "text", "source_url"),
@@ -20,6 +21,7 @@ TABLES: dict[str, T.StructType] = {
     "quality_report": _strings("metric", "value", "note"),
 }
 
+# Fixed values.
 #: File of each table, relative to the base folder.
 FILES = {
     "admissions": "admissions_clean.csv",
@@ -33,6 +35,7 @@ FILES = {
     "quality_report": "quality_report.csv",
 }
 
+# Fixed values.
 #: Tables of the overview, in its order.
 COUNTED = ("admissions", "courses", "people", "events", "rag_chunks", "rag_documents")
 
@@ -90,8 +93,17 @@ EMPTY_TEXTS = {
     "default": "입학, 연구 분야, 교수진, 교과목, 행사 정보를 중심으로 질문해보세요. 예: ‘입학 서류가 궁금해요’, ‘연구 분야 알려줘’, ‘교수진 정보 알려줘’. ",
 }
 GUIDE_SOURCE = ("{org} Demo Knowledge Base", "Demo · Local CSV Data", "")
+# The greetings and the preset questions. {org} is the institution.
 GREETING = "안녕하세요. {org} RAG Guide입니다. 입학, 연구 분야, 교수진, 교과목, 행사 정보에 대해 질문해보세요."
 RESET_GREETING = "대화가 초기화되었습니다. 다시 질문해보세요."
+PRESETS = (
+    "{org} 지원 시 어떤 서류가 필요한가요?",
+    "{org}에는 어떤 연구 분야가 있나요?",
+    "관심 교수님을 고를 때 어떤 기준으로 보면 좋나요?",
+    "{org} 교과목에는 어떤 것들이 있나요?",
+    "{org} 관련 설명회나 행사가 있나요?",
+    "이 RAG 챗봇 서비스는 어떤 방식으로 작동하나요?",
+)
 
 #: Institution named in the texts unless the caller gives another.
 ORG = "AI College"

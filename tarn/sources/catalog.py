@@ -4,6 +4,9 @@ A missing file gives an empty frame of the declared schema.  CSV rows carry
 ``_ord``, their place in the file, because "first" always means file order.
 """
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +27,9 @@ def read_binary_base64(spark: SparkSession, path: str) -> DataFrame:
     """Path and base64 of each file; a missing path gives no rows."""
     try:
         return spark.read.format("binaryFile").load(path).select("path", F.base64("content").alias("content_base64"))
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "path string, content_base64 string")
 
 
@@ -49,6 +54,17 @@ class Catalog:
             return self.empty(name)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one, on a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tarn-')}"
+    return f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
+
+
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

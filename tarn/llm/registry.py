@@ -5,6 +5,7 @@ from tarn.llm.embedding_join import op3_embedding_join
 from tarn.llm.html_extract import op4_html_extract
 from tarn.llm.kd_shards import op10_kd_shards
 from tarn.llm.ngram_join import op6_ngram_join
+from tarn.llm.oracles import CHECKS, CHECKS_SQL, OP3_SQL, OP6_SQL, OP8_SQL
 from tarn.llm.packing import op5_packing
 from tarn.llm.pii import op9_pii
 from tarn.llm.quality_rules import op7_quality_rules
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_pii": op9_pii,
     "op10_kd_shards": op10_kd_shards,
+    **CHECKS,
 }
-ORACLE = {"op1_url_filter": OP1_SQL}
+ORACLE = {"op1_url_filter": OP1_SQL, "op3_embedding_join": OP3_SQL, "op6_ngram_join": OP6_SQL, "op8_suffix_dedup": OP8_SQL, **CHECKS_SQL}

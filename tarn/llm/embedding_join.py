@@ -1,20 +1,26 @@
 """Embedding near-duplicates by an exact metric range join.
 
 Vectors with equal label and equal components form one group, which joins as
-one weighted vector.  Pivots (group vectors, those of the smallest hashes; a few, by
+one weighted vector, scaled by its largest component so that no square overflows.  Pivots (of the group vectors of smallest hashes, those farthest apart; a few, by
 the size of the largest label) partition the sphere: a vector belongs to the
 cell of its nearest pivot.  Two linked vectors are within the angle t of the
-threshold, so by the triangle inequality a vector within t of another cell's
-reach, angle(x, q) <= angle(x, p) + 2 t for its own pivot p and that cell's q,
-is copied to that cell; nothing else can link there.  A cell counts its own
+threshold, so by the triangle inequality for angles a vector x of pivot p can only link
+with a member y of another cell q, which is nearer to q than to p, if x is within t of
+the hyperplane between both: x.(p - q) <= |p - q| sin t; and only if angle(x, q) is no more than t beyond
+the radius of q's cell (its farthest own member).  Where both hold, x
+is copied to q's cell; nothing else can link there.  A cell counts its own
 vectors' links among them and the copies, so cells are independent and counts
 need no correction.  A cell of more than BLOCK vectors is worked on in blocks
 against blocks, whose counts add up.  Cells return counts and a spanning forest of their
 links, never pairs; components come from the forests.
 
+How much the boundaries prune depends on the vectors.  In many dimensions unrelated
+vectors are all about a right angle apart, so every boundary is near and cells hold most of a
+label (see README); what is left then is exact work by blocks within labels.
+
 Null labels, and vectors that are null, empty, zero or hold null or non-finite
 components, link with nothing; vectors of different lengths do not link.
-Repeated rows are vectors of their own; an empty table gives an empty result.
+Repeated rows are vectors of their own, under one id; an empty table gives an empty result.
 """
 
 from collections.abc import Iterator
@@ -28,9 +34,23 @@ from pyspark.sql import functions as F
 from tarn.llm.shared import components, dropped, saved
 
 CELL, BLOCK, MAX_PIVOTS = 4096, 4096, 512
+TRIED = 4  # vectors looked at for each pivot
 SLACK = 1e-7  # added to boundary angles, against rounding
 
 
+def spread_out(units: list[np.ndarray], count: int) -> list[np.ndarray]:
+    """Up to ``count`` of the vectors, each the farthest from those before it; other lengths are as far as can be."""
+    out: list[np.ndarray] = []
+    nearest = np.full(len(units), -2.0)
+    while len(out) < min(count, len(units)):
+        p = units[int(nearest.argmin())]
+        out.append(p)
+        same = [i for i, u in enumerate(units) if len(u) == len(p)]
+        nearest[same] = np.maximum(nearest[same], np.array([units[i] for i in same]) @ p)
+        nearest[[i for i in same if nearest[i] > 1 - 1e-12]] = 1.0
+    return out
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The root of each of n items, links a[i]-b[i]: the smallest index reachable. By rounds of minima and pointer jumps."""
     root = np.arange(n)
@@ -74,31 +94,70 @@ def linked(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     """id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    top = F.array_max(F.transform("v", F.abs))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"))
     rows = rows.withColumn("ok", F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
+    rows = rows.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x / top)))  # the largest component is 1: no square overflows or vanishes
     rows = rows.select("id", "label", "v", "ok", F.xxhash64("label", "v").alias("g1"), F.xxhash64("v", F.lit("second"), "label").alias("g2"))
     groups = saved(rows.where("ok").groupBy("g1", "g2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").cast("string").alias("label"), F.first("v").alias("v")), "vectors")
     largest = groups.groupBy("label", F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     count = int(min(MAX_PIVOTS, max(1, -(-largest // CELL))))
-    picked = groups.orderBy("g1").select("v").limit(count).collect()  # at most MAX_PIVOTS vectors
-    pivots = spark.sparkContext.broadcast([np.array(r.v) / np.linalg.norm(r.v) for r in picked])
-    reach = 2 * float(np.arccos(threshold)) + SLACK
+    some = groups.orderBy("g1").select("v").limit(TRIED * count).collect()  # at most TRIED * MAX_PIVOTS vectors
+    picked = spread_out([np.array(r.v) / np.linalg.norm(r.v) for r in some], count)
+    pivots = spark.sparkContext.broadcast(picked)
+    sine, angle = float(np.sqrt(1 - threshold**2)), float(np.arccos(threshold))
+
+    def placed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the nearest pivot of that length, -1 without one; cosines with the pivots)"""
+        same = [j for j, p in enumerate(pivots.value) if len(p) == x.shape[1]]
+        cos = np.full((len(x), len(pivots.value)), -2.0)
+        if same:
+            cos[:, same] = np.clip(x @ np.array([pivots.value[j] for j in same]).T, -1, 1)
+        return np.where(cos.max(axis=1) > -2, cos.argmax(axis=1), -1), cos
+
+    def by_length(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, unit vectors) of each length."""
+        lists = vectors.to_pylist()
+        sizes = np.array(list(map(len, lists)))
+        for d in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == d)
+            x = np.array([lists[i] for i in rows], dtype=np.float64)
+            yield rows, x / np.sqrt((x * x).sum(1))[:, None]
+
+    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least: dict[int, float] = {}
+            for _, x in by_length(b.column("v")):
+                home, cos = placed(x)
+                for j in np.unique(home[home >= 0]).tolist():
+                    least[j] = min(least.get(j, 1.0), float(cos[home == j, j].min()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.float64())], names=["cell", "cos"])
+
+    far = groups.select("v").mapInArrow(farthest, "cell int, cos double").groupBy("cell").agg(F.min("cos").alias("cos")).collect()  # a row a pivot
+    radius = np.full(max(len(picked), 1), -1.0)
+    for r in far:
+        radius[r.cell] = np.arccos(r.cos)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = {"label": [], "cell": [], "own": [], "rep": [], "n": [], "v": []}
-            label, rep, n = (b.column(c).to_pylist() for c in ("label", "rep", "n"))
-            for i, x in enumerate(b.column("v").to_pylist()):
-                x = np.array(x)
-                # a pivot of another length counts as no pivot: such vectors share a cell of their own
-                at = [(np.arccos(np.clip(x @ p / np.linalg.norm(x), -1, 1)), j) for j, p in enumerate(pivots.value) if len(p) == len(x)] or [(0.0, 0)]
-                near, home = min(at)
-                for angle, j in at:
-                    if angle <= near + reach:
-                        for key, value in (("label", label[i]), ("cell", f"{len(x)}:{j}"), ("own", j == home), ("rep", rep[i]), ("n", n[i]), ("v", x.tobytes())):
-                            out[key].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in (("label", pa.string()), ("cell", pa.string()), ("own", pa.bool_()), ("rep", pa.int64()), ("n", pa.int64()), ("v", pa.binary()))], names=list(out))
+            out = {"row": [], "cell": [], "own": [], "v": []}
+            for rows, x in by_length(b.column("v")):
+                home, cos = placed(x)
+                to = np.zeros(cos.shape, dtype=bool)
+                if (home >= 0).all():  # a length without a pivot has one cell of its own
+                    p = [v if len(v) == x.shape[1] else np.zeros(x.shape[1]) for v in pivots.value]
+                    apart = np.sqrt(((np.array(p)[:, None] - np.array(p)[None]) ** 2).sum(2))[home]
+                    mine = cos[np.arange(len(x)), home]
+                    to = (cos > -2) & (mine[:, None] - cos <= apart * sine + SLACK) & (np.arccos(np.clip(cos, -1, 1)) <= radius + angle + SLACK)
+                    to[np.arange(len(x)), home] = True
+                at, cell = np.nonzero(to) if (home >= 0).all() else (np.arange(len(x)), home)
+                out["row"] += rows[at].tolist()
+                out["cell"] += [f"{x.shape[1]}:{j}" for j in cell.tolist()]
+                out["own"] += (cell == home[at]).tolist()
+                out["v"] += [x[i].tobytes() for i in at.tolist()]
+            row = pa.array(out["row"], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("label").take(row), pa.array(out["cell"], pa.string()), pa.array(out["own"], pa.bool_()), b.column("rep").take(row), b.column("n").take(row), pa.array(out["v"], pa.binary())], names=["label", "cell", "own", "rep", "n", "v"])
 
     cells = saved(groups.select("label", "rep", "n", "v").mapInArrow(spread, "label string, cell string, own boolean, rep long, n long, v binary"), "cells")
     sizes = cells.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))

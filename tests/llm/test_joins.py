@@ -201,7 +201,7 @@ def brute_vectors(rows, t=0.93):
     ok = [i for i, r in enumerate(rows) if r[2] is not None and r[1] is not None and len(r[1]) and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     u, links = Union([r[0] for r in rows]), [0] * len(rows)
     for a, b in itertools.combinations(ok, 2):
-        x, y = np.array(rows[a][1], dtype=float), np.array(rows[b][1], dtype=float)
+        x, y = (np.array(rows[k][1], dtype=float) / max(map(abs, rows[k][1])) for k in (a, b))
         if rows[a][2] == rows[b][2] and len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= t:
             links[a] += 1
             links[b] += 1
@@ -218,9 +218,31 @@ def test_vectors(spark, monkeypatch, cell, block):
     rows += [(300 + i, [x * 2 for x in rows[i][1]], rows[i][2]) for i in range(20)] + [(400 + i, rows[5][1], 2) for i in range(30)]
     rows += [(500 + i, [1.0 + 0.02 * float(x) for x in rng.normal(size=8)], 1) for i in range(80)]
     rows += [(600, None, 1), (601, [0.0] * 8, 1), (602, [None] + [1.0] * 7, 1), (603, [float("nan")] * 8, 1), (604, [1.0] * 8, None), (605, [], 1), (606, [1.0, 2.0], 1), (607, [2.0, 4.0], 1)]
+    rows += [(700, [1e200] * 8, 1), (701, [3e-200] * 8, 1), (702, [1e308] * 7 + [9e307], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert sorted(map(tuple, embedding_join.linked(df).collect())) == brute_vectors(rows)
     assert embedding_join.linked(df.limit(0)).count() == 0
+    clash = df.selectExpr("*", "'a' AS id", "'b' AS v", "'c' AS g1", "1 AS n").where("vec_id < 20")
+    assert embedding_join.linked(clash).count() == 20
+
+
+def test_vectors_that_are_only_null(spark):
+    df = spark.createDataFrame([(1, None, 1), (2, [None, None], 1), (3, [0.0], None)], "vec_id long, embedding array<double>, label int")
+    assert sorted(map(tuple, embedding_join.linked(df).collect())) == [(i, 0, i, True) for i in (1, 2, 3)]
+
+
+def test_boundaries_prune(spark, monkeypatch):
+    """Vectors around a few directions go to few cells; links stay exact."""
+    monkeypatch.setattr(embedding_join, "CELL", 40)
+    rng = np.random.default_rng(8)
+    centres = np.eye(12)[:8] * 3
+    rows = [(i, [float(x) for x in centres[i % 8] + 0.25 * rng.normal(size=12)], 1) for i in range(320)]
+    made = []
+    real = embedding_join.saved
+    monkeypatch.setattr(embedding_join, "saved", lambda df, name: made.append((name, out := real(df, name), out.count())) or out)
+    got = embedding_join.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == brute_vectors(rows)
+    assert next(n for name, _, n in made if name == "cells") < 2.5 * len(rows)
 
 
 def test_components(spark):

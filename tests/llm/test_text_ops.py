@@ -4,6 +4,7 @@ import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -160,3 +161,47 @@ def test_html_articles():
     read = lambda page: [t for part in html_extract.article(html_extract.parse(page)) for _, t in html_extract.blocks(part)]
     assert read("<body><p>around</p><div><article>one<article><p>inner</p></article></article></div><article class='ad'>ad</article><article><p>two, the largest of them</p></article></body>") == ["one", "inner", "two, the largest of them"]
     assert read("<body><article> </article><main><p>main</p></main><p>rest</p></body>") == ["main"]
+
+
+def test_html_renamed(spark):
+    """Pages without any telling tag or class extract as those that have them: the host's pages tell the region."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    some = [r for r in pages.collect() if r.url][::2]
+    hosts = Counter(re.sub(r"^.*?://([^/?#]*).*", r"\1", r.url, flags=re.S).lower() for r in some)
+    rows = [r for r in some if hosts[re.sub(r"^.*?://([^/?#]*).*", r"\1", r.url, flags=re.S).lower()] >= 12]
+    assert len(rows) > 800
+
+    def renamed(page):
+        for old, new in (("article", "q1"), ("nav", "q2"), ("footer", "q3")):
+            page = re.sub(rf"<{old}\b[^>]*>", f'<div class="{new}">', page).replace(f"</{old}>", "</div>")
+        return page.replace('class="ad"', 'class="q4"')
+
+    made = spark.createDataFrame([(r.page_id, r.url, renamed(r.html)) for r in rows], "page_id long, url string, html string")
+    want = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame([(r.page_id, r.url, r.html) for r in rows], "page_id long, url string, html string")).collect()}
+    got = {r.page_id: r.text for r in html_extract.extract(made).collect()}
+    assert got == want and all(want[r.page_id] == simple(r.html) for r in rows)
+
+
+def test_html_votes_decide(spark, monkeypatch):
+    """A constant notice goes because of the votes: it stays when they cannot pass. Parts of articles with ambiguous names stay; depth does not matter."""
+    deep = "<div>" * 80, "</div>" * 80
+    page = "<html><body>" + deep[0] + "<article><h1>T{0}</h1><p class='q'>Constant words</p><section id='discussion'><p>Talk {0}</p></section><p class='related-work'>Work {0}</p></article>" + deep[1] + "</body></html>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page.format(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == {i: f"T{i}\nTalk {i}\nWork {i}" for i in range(12)}
+    monkeypatch.setattr(html_extract, "CONSTANT", 2)
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == {i: f"T{i}\nConstant words\nTalk {i}\nWork {i}" for i in range(12)}
+
+
+def test_html_wide():
+    """Many siblings, alternating and with one more in front or in the middle, take about linear time."""
+    import time
+
+    row = "<p>a</p><div>b</div>"
+    for other in (row * 2500, "<h2>x</h2>" + row * 2500, row * 1200 + "<ul><li>y</ul>" + row * 1300):
+        start = time.time()
+        a, b = (html_extract.parse(f"<body>{x}</body>") for x in (row * 2500, other))
+        assert len(html_extract.match(a, b)) >= 4900 and time.time() - start < 1
+    a, b = (html_extract.parse("<body>" + x + "</body>") for x in ("<p>1</p><table><tr><td>x</table><p>2</p>", "<div><p>0</p></div><table><tr><td>x</table><h1>z</h1><p>2</p>"))
+    assert {p.tag for p, _ in html_extract.match(a, b)} >= {"table", "tr", "td", "p"}

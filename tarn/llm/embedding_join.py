@@ -98,7 +98,7 @@ def linked(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), v.alias("v"))
     rows = rows.withColumn("ok", F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
-    rows = rows.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x / top)))  # the largest component is 1: no square overflows or vanishes
+    rows = rows.withColumn("v", F.when(F.col("ok"), F.element_at(F.transform(F.array(top), lambda m: F.transform("v", lambda x: x / m)), 1)))  # the largest component is 1: no square overflows or vanishes
     rows = rows.select("id", "label", "v", "ok", F.xxhash64("label", "v").alias("g1"), F.xxhash64("v", F.lit("second"), "label").alias("g2"))
     groups = saved(rows.where("ok").groupBy("g1", "g2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").cast("string").alias("label"), F.first("v").alias("v")), "vectors")
     largest = groups.groupBy("label", F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]

@@ -153,19 +153,20 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow",
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
     mine = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    base = pages.select(*[F.col(f"`{c}`") for c in mine], host.alias("host"), path.alias("path")).withColumn("_keys", keys(F.col("host"), F.col("path"), shapes(list(rules))))
+    row = F.struct(*[F.col(f"`{c}`") for c in mine])
+    base = pages.select(row.alias("row"), host.alias("host"), path.alias("path")).withColumn("keys", keys(F.col("host"), F.col("path"), shapes(list(rules))))
     if not rules:
-        return base.drop("_keys").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return base.select("row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     rows = spark.createDataFrame(list(rules.items()), "rule string, verdict string")
-    asked = saved(base.select(F.explode("_keys").alias("k")).distinct().select(*_hashed(F.col("k"))), "universe")
+    asked = saved(base.select(F.explode("keys").alias("k")).distinct().select(*_hashed(F.col("k"))), "universe")
     cascade = build(asked, rows.select(*_hashed(F.col("rule"))), bound)
     blocked = build(rows.select(*_hashed(F.col("rule"))), rows.where("verdict = 'block'").select(*_hashed(F.col("rule"))), bound)
     dropped(asked)
-    by_length = F.array_sort(F.transform("_keys", lambda k: F.struct((-F.length(k)).alias("o"), k.alias("k"))))
+    by_length = F.array_sort(F.transform("keys", lambda k: F.struct((-F.length(k)).alias("o"), k.alias("k"))))
     if cascade is None or blocked is None:  # the other way, for lists too long to broadcast
-        tries = base.withColumn("_row", F.struct(*mine, "host", "path")).withColumn("_id", F.monotonically_increasing_id()).select("_row", "_id", F.explode_outer("_keys").alias("rule"))
-        best = tries.join(rows, "rule", "left").groupBy("_id").agg(F.first("_row").alias("_row"), F.max_by(F.struct("rule", "verdict"), F.when(F.col("verdict").isNotNull(), F.length("rule"))).alias("x"))
-        return best.select("_row.*", F.col("x.rule").alias("rule"), F.coalesce("x.verdict", F.lit(default)).alias("verdict"))
+        tries = base.withColumn("id", F.monotonically_increasing_id()).select("row", "host", "path", "id", F.explode_outer("keys").alias("rule"))
+        best = tries.join(rows, "rule", "left").groupBy("id").agg(F.first(F.struct("row", "host", "path")).alias("page"), F.max_by(F.struct("rule", "verdict"), F.when(F.col("verdict").isNotNull(), F.length("rule"))).alias("x"))
+        return best.select("page.row.*", "page.host", "page.path", F.col("x.rule").alias("rule"), F.coalesce("x.verdict", F.lit(default)).alias("verdict"))
     held = spark.sparkContext.broadcast((cascade, blocked))
 
     @F.pandas_udf("struct<at:int,block:boolean>")
@@ -187,10 +188,10 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], default: str = "allow",
             block[who] = actions.listed(flat1[place], flat2[place])
         return pd.DataFrame({"at": at, "block": block})
 
-    tried = base.withColumn("_keys", F.transform(by_length, lambda x: x["k"]))
-    tried = tried.withColumn("_f", first_listed(F.transform("_keys", lambda k: F.xxhash64(k)), F.transform("_keys", lambda k: F.xxhash64(k, F.lit("second")))))
-    rule = F.when(F.col("_f.at") >= 0, F.get("_keys", F.col("_f.at")))
-    return tried.select(*[F.col(f"`{c}`") for c in mine], "host", "path", rule.alias("rule"), F.when(rule.isNull(), default).when(F.col("_f.block"), "block").otherwise("allow").alias("verdict"))
+    tried = base.withColumn("keys", F.transform(by_length, lambda x: x["k"]))
+    tried = tried.withColumn("found", first_listed(F.transform("keys", lambda k: F.xxhash64(k)), F.transform("keys", lambda k: F.xxhash64(k, F.lit("second")))))
+    rule = F.when(F.col("found.at") >= 0, F.get("keys", F.col("found.at")))
+    return tried.select("row.*", "host", "path", rule.alias("rule"), F.when(rule.isNull(), default).when(F.col("found.block"), "block").otherwise("allow").alias("verdict"))
 
 
 # The rules of the contract.

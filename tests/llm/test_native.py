@@ -157,6 +157,34 @@ def test_pii_named_values(spark):
         assert spans == ([(4, values[i][0].index(values[i][1]), values[i][0].index(values[i][1]) + len(values[i][1]))] if i in values else []), i
 
 
+def test_kd_tree(spark):
+    """Each node is split along its widest dimension at the weighted median, to the group."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.randint(1, 400), rng.randrange(1 << 24), rng.randint(0, 1000), rng.randint(0, 5) * 100, int(rng.gauss(0, 3e5))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "w long, tie long, x long, y long, z long")
+    got = [(r.w, (r.x, r.y, r.z), r.tie, r.shard) for r in kd_shards.kd_tree(df, ["x", "y", "z"], 13).collect()]
+    assert len(got) == len(rows)
+    span = [max(g[1][d] for g in got) - min(g[1][d] for g in got) for d in range(3)]
+    heaviest = max(g[0] for g in got)
+
+    def hold(own, start, leaves):
+        if leaves == 1:
+            assert {g[3] for g in own} == {start}
+            return
+        wide = [(max(g[1][d] for g in own) - min(g[1][d] for g in own)) / span[d] for d in range(3)]
+        d = wide.index(max(wide))
+        left, right = ([g for g in own if (g[3] < start + leaves // 2) == side] for side in (True, False))
+        assert max((g[1][d], g[2]) for g in left) < min((g[1][d], g[2]) for g in right)
+        total, target = sum(g[0] for g in own), sum(g[0] for g in own) * (leaves // 2) / leaves
+        assert abs(sum(g[0] for g in left) - target) <= heaviest + total / leaves * kd_shards.TOLERANCE
+        hold(left, start, leaves // 2)
+        hold(right, start + leaves // 2, leaves - leaves // 2)
+
+    hold(got, 0, 13)
+
+
 def check_shards(rows, texts, n=40):
     per = {}
     for r in rows:

@@ -43,6 +43,24 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == len(rows)
 
 
+def test_stages_on_odd_rows(spark):
+    """Null, empty and long texts, ties, repeated rows, clashing columns and empty tables pass every stage."""
+    good = " ".join(f"word{i} of this plain text, line {i}." for i in range(40))
+    rows = [(1, None), (2, ""), (3, good), (4, good), (4, good), (None, good + " more"), (5, "w " * 30000), (6, "x" * 100000), (7, good + " write to a@b.org now")]
+    rows = [(i, t, "en", "s", len(t or ""), "k", "r", "_i", 1, 2, "t") for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, row string, _id string, n long, id long, th string")
+    for df in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, D)
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == df.columns and all((r.key, r.row, r._id, r.n, r.id, r.th) == ("k", "r", "_i", 1, 2, "t") for r in got), name
+            assert bool(got) == (df is docs), name
+    texts = {r.doc_id for r in corpus_pipeline.quality(spark, docs, D).collect()}
+    assert texts == {3, 4, 7, None}
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.near_duplicates(spark, docs, D).collect()) == [1, 2, 3, 5, 6]
+
+
 def test_rows_without_id(spark):
     """Rows without an id are documents of their own: whole in each operator, and cut, redacted or dropped only for what they hold."""
     long = " ".join(f"word{i}" for i in range(60))

@@ -21,9 +21,11 @@ D = "/root/testdata/sf0.01"
 def test_urls(spark):
     compare(spark, "op1", url_filter.op1_url_filter, url_filter.OP1_SQL, D)
     rows = [(1, "HTTP://A.Net/x"), (2, None), (3, "no scheme"), (4, "http://net"), (5, "http://xnet/"), (6, "http://www.example.net/en/a?b"), (7, "http://example.net/en"), (8, "ftp://example.com/de/#x"), (8, "ftp://example.com/de/#x"), (9, "x://y.org/fr/ü/\nz"), (10, "://")]
-    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'clash' AS host")
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'clash' AS host", "'k' AS _keys", "'l' AS keys", "'m' AS found", "'o' AS row", "9 AS id")
     for bound in (url_filter.MAX_BITS, 1):
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, url_filter.RULES, bound=bound).collect()}
+        out = url_filter.filter_urls(df, url_filter.RULES, bound=bound).collect()
+        assert all((r._keys, r["keys"], r.found, r.row, r.id) == ("k", "l", "m", "o", 9) for r in out) and len(out) == len(rows)
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out}
         assert got[1] == ("a.net", "/x", "net/", "block") and got[2] == got[3] == got[10] == ("", "", None, "allow")
         assert got[4][2] is None and got[5][2] is None and got[6][2:] == ("example.net/en/", "allow") and got[7][2] == "net/"
         assert got[8][2:] == ("example.com/de/", "block") and got[9] == ("y.org", "/fr/ü/\nz", "org/fr/", "allow")

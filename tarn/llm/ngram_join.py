@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.hashing import mix, shingle_sets
-from tarn.llm.shared import components, dropped, give_back, row_key, saved, text_or_empty
+from tarn.llm.shared import among, components, dropped, give_back, row_key, saved, text_or_empty
 
 NUMERATOR, DENOMINATOR = 75, 100
 FRAGMENT_BYTES = 8 << 20
@@ -48,7 +48,6 @@ VERTICAL, SHARDS = 3, 64
 PAIRS = 1000  # of one lead in a shard
 HELD = 1_000_000  # shingles of one part of the input
 NONE = 0xFFFFFFFF  # in place of a document: several of the part have the shingle
-ID_BITS, MAX_BITS = 16, 1 << 27  # of the filter of wanted ids: for each id, and at most
 
 
 def _parts(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
@@ -219,7 +218,7 @@ def _sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
         give_back()
 
     wanted = alive.select(F.col("rep").alias("id"))
-    texts = _only(docs, wanted).join(wanted, "id", "left_semi").select(text_or_empty().alias("text"))
+    texts = docs.where(among(wanted)(F.col("id"))).join(wanted, "id", "left_semi").select(text_or_empty().alias("text"))
     one = texts.mapInArrow(run, "cid binary, keys array<bigint>").groupBy("cid").agg(F.first("keys").alias("keys"))
     return saved(one.join(alive, "cid").select(F.col("rep").alias("cls"), "n", "keys"), "sets")
 
@@ -243,36 +242,6 @@ def _allowed() -> Column:
     return (NUMERATOR + DENOMINATOR) * left >= NUMERATOR * (F.col("n") + F.col("m"))
 
 
-def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    u = h.astype(np.int64).view(np.uint64)
-    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (u, u >> np.uint64(32))]
-
-
-def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of docs whose id may be among the wanted ones, by a Bloom filter of at most MAX_BITS.
-
-    A full filter lets more rows pass to the join that follows, never fewer.
-    """
-    bits = 64
-    while bits < min(ID_BITS * wanted.count(), MAX_BITS):
-        bits *= 2
-    h = F.xxhash64("id")
-    place = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at")
-    words = wanted.select(place).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("set")).toArrow()
-    table = np.zeros(bits // 32, dtype=np.uint32)
-    table[words.column("word").to_numpy()] = words.column("set").to_numpy().astype(np.uint32)
-    table = docs.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def may(h: pd.Series) -> pd.Series:
-        out = np.ones(len(h), dtype=bool)
-        for at in _places(h.to_numpy(), bits):
-            out &= (table.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
-        return pd.Series(out)
-
-    return docs.where(may(h))
-
-
 def _segments(sets: DataFrame) -> DataFrame:
     """w, v, cls, keys: each set (cls, keys, shards) in VERTICAL fragments of the order of hashes, for each of its shards."""
     cut = [((k << 64) // VERTICAL) for k in range(1, VERTICAL)]

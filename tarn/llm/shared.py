@@ -3,12 +3,18 @@
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ID_BITS, MAX_BITS = 16, 1 << 27  # of the filter of wanted ids: for each id, and at most
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, a temporary one, on a local master only."""
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -56,6 +62,36 @@ def row_key(id_: Column, text="text") -> Column:
     return F.coalesce(id_, own)
 
 
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    u = h.astype(np.int64).view(np.uint64)
+    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (u, u >> np.uint64(32))]
+
+
+def among(wanted: DataFrame) -> Callable[[Column], Column]:
+    """Tells of an id whether it may be among the wanted ones (id), by a Bloom filter of at most MAX_BITS.
+
+    A full filter says so of more ids, never of fewer.
+    """
+    bits = 64
+    while bits < min(ID_BITS * wanted.count(), MAX_BITS):
+        bits *= 2
+    h = F.xxhash64("id")
+    place = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at")
+    words = wanted.select(place).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("set")).toArrow()
+    table = np.zeros(bits // 32, dtype=np.uint32)
+    table[words.column("word").to_numpy()] = words.column("set").to_numpy().astype(np.uint32)
+    table = wanted.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        out = np.ones(len(h), dtype=bool)
+        for at in _places(h.to_numpy(), bits):
+            out &= (table.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+        return pd.Series(out)
+
+    return lambda id_: may(F.xxhash64(id_))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in the edges (a, b); component is the smallest id reachable.
 

@@ -14,7 +14,7 @@ merge-scanned against the arrays of the existing levels; equal contexts are
 long matches, so all their bytes but the earliest's are removed; levels of
 equal size merge geometrically.  Anchors whose first bytes match and whose contexts
 differ match in part: their contexts are fetched from the texts and compared
-window by window.
+window by window.  Only texts that may be asked for or cut move, which Bloom filters of their ids tell.
 
 A part of the input sends each context once, so copies do not pile up.  If it
 has over MANY contexts for one first hash, it sends a mark instead; all
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.hashing import in_parts, mix, prefix_sums, span_hashes
-from tarn.llm.shared import dropped, give_back, row_key, saved, text_or_empty
+from tarn.llm.shared import among, dropped, give_back, row_key, saved, text_or_empty
 
 LENGTH, KGRAM = 100, 32
 SPAN = LENGTH - KGRAM + 1  # anchors that a window can have
@@ -293,8 +293,19 @@ def _unpacked(blobs) -> Iterator[tuple[int, bytes, bool]]:
             at += size
 
 
+def _ids_in(blobs: DataFrame, types: list) -> DataFrame:
+    """The distinct ids (id) that packed columns (blob) hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpack(blob.as_py(), types)["id"]).astype(np.int64))], names=["id"])
+
+    return blobs.select("blob").mapInArrow(run, "id long").distinct()
+
+
 def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY, batch_size: int = BATCH, chunk: int = CHUNK, bits: int = BITS) -> tuple[DataFrame, DataFrame, int]:
-    """(texts by bucket, removed spans by bucket, number of buckets)."""
+    """(rows (id, text, unnamed), removed spans by bucket, number of buckets)."""
     whole = docs.select(row_key(F.col(id_col).cast("long")).alias("id"), text_or_empty().alias("text"), F.col(id_col).isNull().alias("unnamed"))
     total = whole.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(48, int(total // GROUP_BYTES) + 1)
@@ -329,7 +340,8 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
         return out
 
     known = saved(whole.mapInArrow(scan, ROWS).groupBy("kind", "key").applyInPandas(shard, ROWS), "suffixes")
-    texts = _texts(whole, groups)
+    asked = known.where(F.col("kind") == REQUESTS).select("key", "blob")
+    texts = _texts(whole.where(among(_ids_in(asked, REQUEST))(F.col("id"))), groups)  # others are asked for nothing
 
     def fetch(requests: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
         r = gathered(requests.blob, REQUEST)
@@ -365,7 +377,6 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
         give_back()
         return _frame(out)
 
-    asked = known.where(F.col("kind") == REQUESTS).select("key", "blob")
     fetched = saved(asked.groupBy("key").cogroup(texts.groupBy("key")).applyInPandas(fetch, ROWS), "contexts")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -384,7 +395,7 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
 
     partial = saved(fetched.groupBy("kind", "key").applyInPandas(compare, ROWS), "partial")
     dropped(fetched)
-    return texts, known.where(F.col("kind") == SPANS).select("key", "blob").unionAll(partial.select("key", "blob")), groups
+    return whole, known.where(F.col("kind") == SPANS).select("key", "blob").unionAll(partial.select("key", "blob")), groups
 
 
 def _fitting(texts: list[bytes], ids: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
@@ -415,7 +426,8 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", as_text: bool = False, **sizes: int) -> DataFrame:
     """A row for each row: id, n_bytes, n_removed, n_spans, kept: the bytes left, or with ``as_text`` their text without cut characters."""
-    texts, spans, _ = deduplicated_spans(docs, id_col, **sizes)
+    whole, spans, groups = deduplicated_spans(docs, id_col, **sizes)
+    cut_in = among(_ids_in(spans, SPAN_T))(F.col("id"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def finish(text: pd.DataFrame, removed: pd.DataFrame) -> pd.DataFrame:
@@ -434,7 +446,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", as_text: bool = False,
         return pd.DataFrame(out, columns=[id_col, "n_bytes", "n_removed", "n_spans", "kept"]).assign(**{id_col: ids})
 
     schema = f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
-    return texts.groupBy("key").cogroup(spans.groupBy("key")).applyInPandas(finish, schema)
+    texts = _texts(whole.where(cut_in), groups)
+    changed = texts.groupBy("key").cogroup(spans.groupBy("key")).applyInPandas(finish, schema)
+    id_ = F.when(~F.col("unnamed"), F.col("id")).cast(kind).alias(id_col)
+    none = F.lit(0).cast("long")
+    same = whole.where(~cut_in).select(id_, F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), (F.col("text") if as_text else F.encode("text", "UTF-8")).alias("kept"))
+    return changed.unionAll(same)
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

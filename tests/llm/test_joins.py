@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import embedding_join, ngram_join, suffix_dedup
+from tarn.llm import embedding_join, ngram_join, shared, suffix_dedup
 from tarn.llm.shared import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -261,8 +261,8 @@ def test_wanted_filter(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "x") for i in [-5, *range(3000)]] + [(None, "x")], "id long, text string")
     wanted = docs.where("id % 10 = 0 or id = -5").select("id")
     keep = {-5, *range(0, 3000, 10)}
-    got = {r.id for r in ngram_join._only(docs, wanted).collect()}
+    got = {r.id for r in docs.where(shared.among(wanted)(F.col("id"))).collect()}
     assert keep <= got and len(got) < 450
-    assert ngram_join._only(docs, wanted.where("false")).count() == 0
-    monkeypatch.setattr(ngram_join, "MAX_BITS", 64)
-    assert keep <= {r.id for r in ngram_join._only(docs, wanted).collect()}
+    assert docs.where(shared.among(wanted.where("false"))(F.col("id"))).count() == 0
+    monkeypatch.setattr(shared, "MAX_BITS", 64)
+    assert keep <= {r.id for r in docs.where(shared.among(wanted)(F.col("id"))).collect()}

@@ -72,8 +72,8 @@ def among(wanted: DataFrame) -> Callable[[Column], Column]:
 
     A full filter says so of more ids, never of fewer.
     """
-    bits = 64
-    while bits < min(ID_BITS * wanted.count(), MAX_BITS):
+    bits, n = 64, wanted.count()
+    while bits < min(ID_BITS * n, MAX_BITS):
         bits *= 2
     h = F.xxhash64("id")
     place = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at")

@@ -301,7 +301,7 @@ def _ids_in(blobs: DataFrame, types: list) -> DataFrame:
             for blob in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(unpack(blob.as_py(), types)["id"]).astype(np.int64))], names=["id"])
 
-    return blobs.select("blob").mapInArrow(run, "id long").distinct()
+    return saved(blobs.select("blob").mapInArrow(run, "id long").distinct(), "ids")
 
 
 def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY, batch_size: int = BATCH, chunk: int = CHUNK, bits: int = BITS) -> tuple[DataFrame, DataFrame, int]:
@@ -341,7 +341,9 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
 
     known = saved(whole.mapInArrow(scan, ROWS).groupBy("kind", "key").applyInPandas(shard, ROWS), "suffixes")
     asked = known.where(F.col("kind") == REQUESTS).select("key", "blob")
-    texts = _texts(whole.where(among(_ids_in(asked, REQUEST))(F.col("id"))), groups)  # others are asked for nothing
+    ids = _ids_in(asked, REQUEST)
+    texts = _texts(whole.where(among(ids)(F.col("id"))), groups)  # others are asked for nothing
+    dropped(ids)
 
     def fetch(requests: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
         r = gathered(requests.blob, REQUEST)
@@ -427,7 +429,9 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", as_text: bool = False, **sizes: int) -> DataFrame:
     """A row for each row: id, n_bytes, n_removed, n_spans, kept: the bytes left, or with ``as_text`` their text without cut characters."""
     whole, spans, groups = deduplicated_spans(docs, id_col, **sizes)
-    cut_in = among(_ids_in(spans, SPAN_T))(F.col("id"))
+    ids = _ids_in(spans, SPAN_T)
+    cut_in = among(ids)(F.col("id"))
+    dropped(ids)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def finish(text: pd.DataFrame, removed: pd.DataFrame) -> pd.DataFrame:

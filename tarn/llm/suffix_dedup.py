@@ -6,19 +6,20 @@ document of smaller id, or earlier in its own) is removed.
 Suffixes are indexed at anchors only: in each window of LENGTH bytes the KGRAM
 with the smallest hash (the leftmost of equals), so equal windows have their
 anchor at equal places.  An anchor serves a run of windows; the bytes they
-cover are its context.  A sparse suffix array holds anchors in the order of
-(hash of the suffix's first KGRAM bytes, hash of the context), each context by
-its earliest occurrence.  The index is sharded by the first hash.  A shard takes its
+cover are its context.  A sparse suffix array holds anchors in suffix order: by
+the suffix's first KGRAM bytes (its head), as bytes compare, and among equal heads by the hash
+of the context, each context by its earliest occurrence.  Suffixes that match in KGRAM bytes or more
+are neighbours in it.  The index is sharded by a hash of the head.  A shard takes its
 anchors in batches by document id: each batch gets its suffix array, which is
 merge-scanned against the arrays of the existing levels; equal contexts are
 long matches, so all their bytes but the earliest's are removed; levels of
-equal size merge geometrically.  Anchors whose first bytes match and whose contexts
+equal size merge geometrically.  Neighbours whose heads match and whose contexts
 differ match in part: their contexts are fetched from the texts and compared
 window by window.  Only texts that may be asked for or cut move, which Bloom filters of their ids tell.
 
 A part of the input sends each context once, so copies do not pile up.  If it
-has over MANY contexts for one first hash, it sends a mark instead; all
-anchors of that hash are then compared by windows, which are dealt out by
+has over MANY contexts for one head, it sends a mark instead; all
+anchors of that head are then compared by windows, which are dealt out by
 their own hash.  Texts travel compressed, in buckets of bounded size.  Anchors of a
 text of any length are looked for in pieces that overlap, so that each window
 lies in one whole; what lies in two is one place and no repetition.
@@ -48,7 +49,7 @@ BITS = 24  # of a hash that hold a position: texts are looked at in parts of up
 ANCHORS, SPANS, REQUESTS, CONTEXTS, WINDOWS = range(5)
 MARK = np.uint64(0)  # the context hash of "over MANY contexts"
 
-ANCHOR = [("h", "<u8"), ("c", "<u8"), ("id", "<i8"), ("lo", "<i4"), ("off", "u1"), ("run", "u1")]
+ANCHOR = [("h", f"S{KGRAM}"), ("c", "<u8"), ("id", "<i8"), ("lo", "<i4"), ("off", "u1"), ("run", "u1")]
 SPAN_T = [("id", "<i8"), ("s", "<i4"), ("e", "<i4")]
 REQUEST = [("h", "<u8"), ("id", "<i8"), ("lo", "<i4"), ("run", "u1"), ("hot", "u1")]
 CONTEXT = [("id", "<i8"), ("lo", "<i4"), ("run", "u1")]
@@ -81,6 +82,20 @@ def dealt(kind: int, key: np.ndarray, cols: dict, types: list) -> list[tuple[int
     return [(kind, int(key[i[0]]), pack({n: cols[n][i] for n, _ in types}, types)) for i in np.split(at, cut)] if len(key) else []
 
 
+def heads_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The KGRAM bytes from each place on, as byte strings that sort as the suffixes do."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, KGRAM)[at]).view(f"S{KGRAM}").reshape(-1)
+
+
+def head_hash(h: np.ndarray) -> np.ndarray:
+    """A hash of each head, by which shards are dealt out."""
+    words = np.ascontiguousarray(h).view("<u8").reshape(len(h), KGRAM // 8)
+    out = np.full(len(h), 77, dtype=np.uint64)
+    for k in range(words.shape[1]):
+        out = mix(out ^ words[:, k])
+    return out
+
+
 def bucket_of(ids: np.ndarray, groups: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
@@ -115,7 +130,7 @@ def anchors_of(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, bits: in
     x, of = x[first], of[first]
     with np.errstate(over="ignore"):
         c = mix(span_hashes(sums, lo, hi + LENGTH) + (x - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return {"h": grams[x], "c": np.where(c == MARK, np.uint64(1), c), "id": ids[of], "lo": lo - begins[of] + starts[of], "off": x - lo, "run": hi - lo}
+    return {"h": heads_of(data, x), "c": np.where(c == MARK, np.uint64(1), c), "id": ids[of], "lo": lo - begins[of] + starts[of], "off": x - lo, "run": hi - lo}
 
 
 def earliest(a: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +150,7 @@ def _spans(a: dict, rows: np.ndarray, groups: int) -> list:
 
 
 def _requests(a: dict, rows: np.ndarray, hot: np.ndarray, groups: int) -> list:
-    cols = {"h": a["h"][rows], "id": a["id"][rows], "lo": a["lo"][rows], "run": a["run"][rows], "hot": hot}
+    cols = {"h": head_hash(a["h"][rows]), "id": a["id"][rows], "lo": a["lo"][rows], "run": a["run"][rows], "hot": hot}
     return dealt(REQUESTS, bucket_of(cols["id"], groups), cols, REQUEST)
 
 
@@ -152,7 +167,7 @@ def sent(a: dict, groups: int, most: int = MANY) -> list:
     keep = reps[~many]
     marks = {n: np.zeros(int((count > most).sum()), dtype=t) for n, t in ANCHOR} | {"h": h[first[count > most]]}
     cols = {n: np.concatenate([a[n][keep], marks[n]]) for n, _ in ANCHOR}
-    return out + dealt(ANCHORS, (mix(cols["h"] ^ np.uint64(77)) % np.uint64(groups)).astype(np.int64), cols, ANCHOR)
+    return out + dealt(ANCHORS, (head_hash(cols["h"]) % np.uint64(groups)).astype(np.int64), cols, ANCHOR)
 
 
 class Family:
@@ -168,7 +183,7 @@ class Family:
         end = np.searchsorted(level["h"], a["h"], side="right")
         out = np.full(len(place), -1, dtype=np.int64)
         live = np.flatnonzero(place < end)
-        while len(live):  # contexts of one first hash are few: a part sends at most MANY
+        while len(live):  # contexts of one head are few: a part sends at most MANY
             lo, hi = place[live], end[live]
             mid = (lo + hi) // 2
             c, want = level["c"][mid], a["c"][live]
@@ -208,7 +223,7 @@ class Family:
 
 
 def indexed(a: dict, groups: int, size: int = BATCH) -> list:
-    """A shard: spans of contexts seen before, and requests for contexts that differ behind equal first bytes."""
+    """A shard: spans of contexts seen before, and requests for contexts that differ beside equal heads."""
     out, family = [], Family()
     mark = a["c"] == MARK
     marked = np.unique(a["h"][mark])
@@ -361,12 +376,12 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
         out = []
         hot = r["hot"] == 1
         cold = np.flatnonzero(~hot)
-        key = (mix(r["h"][cold] ^ np.uint64(77)) % np.uint64(groups)).astype(np.int64)
+        key = (r["h"][cold] % np.uint64(groups)).astype(np.int64)
         order = np.argsort(key, kind="stable")
         for rows in np.split(cold[order], np.flatnonzero(np.diff(key[order])) + 1) if len(cold) else []:
             head = pack({n: r[n][rows] for n, _ in CONTEXT}, CONTEXT)
             raw = zstandard.ZstdCompressor(level=3).compress(b"".join(pieces[j] for j in rows))
-            out.append((CONTEXTS, int(mix(r["h"][rows[:1]] ^ np.uint64(77))[0] % np.uint64(groups)), np.int64(len(head)).tobytes() + head + raw))
+            out.append((CONTEXTS, int(r["h"][rows[0]] % np.uint64(groups)), np.int64(len(head)).tobytes() + head + raw))
         rows = np.flatnonzero(hot)
         if len(rows):
             sizes = np.array([len(pieces[j]) for j in rows])

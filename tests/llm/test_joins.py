@@ -180,6 +180,18 @@ def test_suffix_family():
     assert sorted(found) == want and len(family.whole()["h"]) == len(seen)
 
 
+def test_suffix_order():
+    """Levels hold suffixes in the order of their bytes, zeros and high bytes included, each with the bytes that the text has there."""
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.choice(np.array([0, 1, 97, 98, 255], dtype=np.uint8), 900)) for _ in range(12)]
+    family = suffix_dedup.Family()
+    for i, t in enumerate(texts):
+        family.add(suffix_dedup.anchors_of([t], np.array([i]), np.array([0])))
+    w = family.whole()
+    heads = [texts[i][lo + off :][: suffix_dedup.KGRAM] for i, lo, off in zip(w["id"], w["lo"], w["off"].astype(int), strict=True)]
+    assert len(heads) > 150 and heads == sorted(heads) and [h.ljust(suffix_dedup.KGRAM, b"\0") for h in w["h"].tolist()] == heads
+
+
 def test_cleaned(spark):
     passage = "".join(f"é{i}è" for i in range(100, 140))
     df = spark.createDataFrame([(1, passage, 200), (2, "start " + passage + " end", 210), (3, passage, 200), (4, None, 0)], "doc_id long, text string, n_chars long")

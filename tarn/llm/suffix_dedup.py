@@ -135,11 +135,18 @@ def anchors_of(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, bits: in
 
 def earliest(a: dict) -> tuple[np.ndarray, np.ndarray]:
     """(rows that are the earliest of their context, in index order; rows with an earlier one)."""
-    at = np.lexsort((a["lo"], a["id"], a["c"], a["h"]))
-    h, c, i, lo = (a[k][at] for k in ("h", "c", "id", "lo"))
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(at) else np.zeros(0, dtype=bool)
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(at) else np.zeros(0, dtype=np.int64)
-    later = (i != i[lead]) | (lo != lo[lead])  # the same place twice: rows of equal id
+    if not len(a["h"]):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    i, lo = a["id"], a["lo"]
+    in_order = ((i[1:] > i[:-1]) | ((i[1:] == i[:-1]) & (lo[1:] >= lo[:-1]))).all()
+    at = np.lexsort((a["c"], a["h"]) if in_order else (lo, i, a["c"], a["h"]))  # stable
+    new = np.ones(len(at), dtype=bool)
+    for k, n in enumerate(("h", "c")):
+        v = a[n][at]
+        new[1:] = (v[1:] != v[:-1]) | (new[1:] if k else False)
+    del v
+    lead = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = (i[at] != i[lead]) | (lo[at] != lo[lead])  # the same place twice: rows of equal id
     return at[new], at[later]
 
 
@@ -177,20 +184,21 @@ class Family:
         self.levels: list[dict] = []
 
     @staticmethod
-    def _find(level: dict, a: dict) -> np.ndarray:
-        """For each anchor the place of its context in the level, or -1: a scan of both in their order."""
+    def _places(level: dict, a: dict) -> tuple[np.ndarray, np.ndarray]:
+        """For each anchor its place in the level's order, and whether its context is there: a scan of both in their order."""
         place = np.searchsorted(level["h"], a["h"], side="left")
         end = np.searchsorted(level["h"], a["h"], side="right")
-        out = np.full(len(place), -1, dtype=np.int64)
         live = np.flatnonzero(place < end)
         while len(live):  # contexts of one head are few: a part sends at most MANY
-            lo, hi = place[live], end[live]
-            mid = (lo + hi) // 2
-            c, want = level["c"][mid], a["c"][live]
-            out[live[c == want]] = mid[c == want]
-            place[live], end[live] = np.where(c < want, mid + 1, lo), np.where(c < want, hi, mid)
-            live = live[(c != want) & (place[live] < end[live])]
-        return out
+            mid = (place[live] + end[live]) // 2
+            less = level["c"][mid] < a["c"][live]
+            place[live[less]] = mid[less] + 1
+            end[live[~less]] = mid[~less]
+            live = live[place[live] < end[live]]
+        there = place < len(level["h"])
+        at = place[there]
+        there[there] = (level["c"][at] == a["c"][there]) & (level["h"][at] == a["h"][there])
+        return place, there
 
     def add(self, a: dict) -> np.ndarray:
         """Takes a batch of later documents; returns its rows that match an earlier context whole."""
@@ -198,8 +206,7 @@ class Family:
         own = {n: v[reps] for n, v in a.items()}
         known = np.zeros(len(reps), dtype=bool)
         for level in self.levels:
-            at = self._find(level, own)
-            hit = at >= 0
+            at, hit = self._places(level, own)
             # equal places are rows of equal id: known, but not matched
             same = hit.copy()
             same[hit] = (level["id"][at[hit]] == own["id"][hit]) & (level["lo"][at[hit]] == own["lo"][hit])
@@ -210,11 +217,12 @@ class Family:
             self.levels.append(self._merged(self.levels.pop(), self.levels.pop()))
         return later
 
-    @staticmethod
-    def _merged(x: dict, y: dict) -> dict:
-        both = {n: np.concatenate([x[n], y[n]]) for n in x}
-        at = np.lexsort((both["c"], both["h"]))
-        return {n: v[at] for n, v in both.items()}
+    @classmethod
+    def _merged(cls, x: dict, y: dict) -> dict:
+        """One level of two: the smaller one's anchors go to their places in the larger one."""
+        large, small = (x, y) if len(x["h"]) >= len(y["h"]) else (y, x)
+        place, _ = cls._places(large, small)
+        return {n: np.insert(v, place, small[n]) for n, v in large.items()}
 
     def whole(self) -> dict:
         while len(self.levels) > 1:
@@ -329,7 +337,8 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
         held, size = [], 0
 
         def flush():
-            rows = sent({n: np.concatenate([*[h[n] for h in held], np.zeros(0, dtype=t)]).astype(t) for n, t in ANCHOR}, groups, most)
+            a = {n: np.concatenate([*[h.pop(n) for h in held], np.zeros(0, dtype=t)]).astype(t, copy=False) for n, t in ANCHOR}
+            rows = sent(a, groups, most)
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "key", "blob"])
 
         for b in batches:

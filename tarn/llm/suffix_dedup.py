@@ -43,7 +43,8 @@ from tarn.llm.shared import among, dropped, give_back, row_key, saved, text_or_e
 LENGTH, KGRAM = 100, 32
 SPAN = LENGTH - KGRAM + 1  # anchors that a window can have
 GROUP_BYTES = 8 << 20
-CHUNK, BATCH, MANY = 1_000_000, 1 << 14, 64
+CHUNK, BATCH, MANY = 500_000, 1 << 14, 64
+PART = 1_000_000  # bytes of text looked at together; longer texts go in pieces
 BITS = 24  # of a hash that hold a position: texts are looked at in parts of up to 2^BITS bytes
 #: Kinds of rows: anchors, removed spans, requests for contexts, contexts, windows.
 ANCHORS, SPANS, REQUESTS, CONTEXTS, WINDOWS = range(5)
@@ -75,11 +76,12 @@ def gathered(blobs, kind: list) -> dict:
     return {n: np.concatenate([*[p[n] for p in parts], np.zeros(0, dtype=t)]) for n, t in kind}
 
 
-def dealt(kind: int, key: np.ndarray, cols: dict, types: list) -> list[tuple[int, int, bytes]]:
-    """A row (kind, key, blob) for each key."""
+def dealt(kind: int, key: np.ndarray, cols: dict, types: list, rows: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
+    """A row (kind, key, blob) for each key; keys are those of ``rows``, or of all."""
     at = np.argsort(key, kind="stable")
     cut = np.flatnonzero(np.diff(key[at])) + 1
-    return [(kind, int(key[i[0]]), pack({n: cols[n][i] for n, _ in types}, types)) for i in np.split(at, cut)] if len(key) else []
+    of = lambda i: i if rows is None else rows[i]
+    return [(kind, int(key[i[0]]), pack({n: cols[n][of(i)] for n, _ in types}, types)) for i in np.split(at, cut)] if len(key) else []
 
 
 def heads_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -173,8 +175,9 @@ def sent(a: dict, groups: int, most: int = MANY) -> list:
     out += _requests(a, hot, np.ones(len(hot), dtype=np.uint8), groups)
     keep = reps[~many]
     marks = {n: np.zeros(int((count > most).sum()), dtype=t) for n, t in ANCHOR} | {"h": h[first[count > most]]}
-    cols = {n: np.concatenate([a[n][keep], marks[n]]) for n, _ in ANCHOR}
-    return out + dealt(ANCHORS, (head_hash(cols["h"]) % np.uint64(groups)).astype(np.int64), cols, ANCHOR)
+    shard = lambda h: (head_hash(h) % np.uint64(groups)).astype(np.int64)
+    del h
+    return out + dealt(ANCHORS, shard(a["h"][keep]), a, ANCHOR, keep) + dealt(ANCHORS, shard(marks["h"]), marks, ANCHOR)
 
 
 class Family:
@@ -343,8 +346,8 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
 
         for b in batches:
             ids, texts = b.column(0).to_numpy().astype(np.int64), b.column(1).cast(pa.binary()).to_pylist()
-            for first, part in in_parts(texts, min(1_000_000, 1 << bits - 1)):
-                for i, piece, starts in _fitting(part, ids[first : first + len(part)], 1 << bits - 1):
+            for first, part in in_parts(texts, min(PART, 1 << bits - 1)):
+                for i, piece, starts in _fitting(part, ids[first : first + len(part)], min(PART, 1 << bits - 1)):
                     got = anchors_of(piece, i, starts, bits)
                     held.append(got)
                     size += len(got["h"])

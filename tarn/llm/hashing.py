@@ -111,15 +111,3 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray,
         new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
         keys, docs = keys[new], docs[new]
     return keys, docs, np.bincount(docs, minlength=len(texts))
-
-
-def in_parts(texts: list, size: int = 1_000_000):
-    """Slices of a list of byte strings, each of about ``size`` bytes, so arrays stay small."""
-    first, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= size:
-            yield first, texts[first : i + 1]
-            first, total = i + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]

@@ -40,27 +40,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.hashing import mix, shingle_sets
-from tarn.llm.shared import among, components, dropped, give_back, row_key, saved, text_or_empty
+from tarn.llm.shared import among, among_hashes, components, dropped, give_back, in_parts, row_key, saved, text_or_empty
 
 NUMERATOR, DENOMINATOR = 75, 100
 FRAGMENT_BYTES = 8 << 20
 VERTICAL, SHARDS = 3, 64
 PAIRS = 1000  # of one lead in a shard
 HELD = 1_000_000  # shingles of one part of the input
+PART = 250_000  # bytes of text looked at together
 NONE = 0xFFFFFFFF  # in place of a document: several of the part have the shingle
 
 
-def _parts(column: pa.Array, size: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of slices of about ``size`` bytes; a batch is never a list as a whole."""
-    data = column.cast(pa.binary())
-    ends = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False))
-    first = 0
-    while first < len(data):
-        last = min(len(data), int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size)) + 1)
-        yield first, data.slice(first, last - first).to_pylist()
-        first = last
-
-
 def _digests(keys: np.ndarray, docs: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Two sums over each set, as 16 bytes a document."""
     out = np.zeros((len(n), 2), dtype=np.uint64)
@@ -139,7 +129,7 @@ def _requests(docs: DataFrame, id_col: str, fragments: int) -> DataFrame:
 
         size = 0
         for b in batches:
-            for first, part in _parts(b.column(1)):
+            for first, part in in_parts(b.column(1), PART):
                 keys, of, n = shingle_sets(part)
                 held.append((b.column(0).slice(first, len(part)).to_pylist(), keys, of, n))
                 size += len(keys)
@@ -211,14 +201,14 @@ def _sets(docs: DataFrame, alive: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, part in _parts(b.column(0)):
+            for _, part in in_parts(b.column(0), PART):
                 keys, of, n = shingle_sets(part)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in _digests(keys, of, n)], pa.binary()), lists], names=["cid", "keys"])
         give_back()
 
     wanted = alive.select(F.col("rep").alias("id"))
-    texts = docs.where(among(wanted)(F.col("id"))).join(wanted, "id", "left_semi").select(text_or_empty().alias("text"))
+    texts = docs.where(among(among_hashes(wanted))(F.col("id"))).join(wanted, "id", "left_semi").select(text_or_empty().alias("text"))
     one = texts.mapInArrow(run, "cid binary, keys array<bigint>").groupBy("cid").agg(F.first("keys").alias("keys"))
     return saved(one.join(alive, "cid").select(F.col("rep").alias("cls"), "n", "keys"), "sets")
 

@@ -3,11 +3,12 @@
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +68,8 @@ def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (u, u >> np.uint64(32))]
 
 
-def among(wanted: DataFrame) -> Callable[[Column], Column]:
-    """Tells of an id whether it may be among the wanted ones (id), by a Bloom filter of at most MAX_BITS.
+def among_hashes(wanted: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Tells inside a task which of some ids' xxhash64 may be those of wanted ones (id), by a Bloom filter of at most MAX_BITS.
 
     A full filter says so of more ids, never of fewer.
     """
@@ -82,14 +83,34 @@ def among(wanted: DataFrame) -> Callable[[Column], Column]:
     table[words.column("word").to_numpy()] = words.column("set").to_numpy().astype(np.uint32)
     table = wanted.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def may(h: pd.Series) -> pd.Series:
+    def may(h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), dtype=bool)
-        for at in _places(h.to_numpy(), bits):
+        for at in _places(h, bits):
             out &= (table.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
-        return pd.Series(out)
+        return out
+
+    return may
+
+
+def among(may: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    """The test of ``among_hashes`` as a condition on a column of ids."""
+
+    @F.pandas_udf("boolean")
+    def of(h: pd.Series) -> pd.Series:
+        return pd.Series(may(h.to_numpy()))
+
+    return lambda id_: of(F.xxhash64(id_))
+
 
-    return lambda id_: may(F.xxhash64(id_))
+def in_parts(column: pa.Array, size: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of slices of about ``size`` bytes; a batch is never a list as a whole."""
+    data = column.cast(pa.binary())
+    ends = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(data):
+        last = min(len(data), int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size)) + 1)
+        yield first, data.slice(first, last - first).to_pylist()
+        first = last
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -28,7 +28,7 @@ Rows of equal id count as one document; so do rows without an id of equal text,
 all; an empty table gives an empty result.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,14 +37,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.hashing import in_parts, mix, prefix_sums, span_hashes
-from tarn.llm.shared import among, dropped, give_back, row_key, saved, text_or_empty
+from tarn.llm.hashing import mix, prefix_sums, span_hashes
+from tarn.llm.shared import among, among_hashes, dropped, give_back, in_parts, row_key, saved, text_or_empty
 
 LENGTH, KGRAM = 100, 32
 SPAN = LENGTH - KGRAM + 1  # anchors that a window can have
 GROUP_BYTES = 8 << 20
 CHUNK, BATCH, MANY = 500_000, 1 << 14, 64
-PART = 1_000_000  # bytes of text looked at together; longer texts go in pieces
+PART = 250_000  # bytes of text looked at together; longer texts go in pieces
 BITS = 24  # of a hash that hold a position: texts are looked at in parts of up to 2^BITS bytes
 #: Kinds of rows: anchors, removed spans, requests for contexts, contexts, windows.
 ANCHORS, SPANS, REQUESTS, CONTEXTS, WINDOWS = range(5)
@@ -285,11 +285,12 @@ def _frame(rows: list) -> pd.DataFrame:
 ROWS = "kind int, key int, blob binary"
 
 
-def _texts(docs: DataFrame, groups: int) -> DataFrame:
-    """Texts by bucket: (key, blob), several texts in one compressed blob; the size of one without an id is stored as its complement."""
+def _texts(docs: DataFrame, groups: int, may: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Texts of the ids that ``may`` passes, by bucket: (key, blob), several texts in one compressed blob; the size of one without an id is stored as its complement."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pa.array(may(b.column(3).to_numpy())))
             ids = b.column(0).to_numpy().astype(np.int64)
             texts = b.column(1).cast(pa.binary()).to_pylist()
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -302,8 +303,9 @@ def _texts(docs: DataFrame, groups: int) -> DataFrame:
                 keys.append(k)
                 blobs.append(zstandard.ZstdCompressor(level=3).compress(raw))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["key", "blob"])
+        give_back()
 
-    return docs.mapInArrow(run, "key int, blob binary")
+    return docs.select("id", "text", "unnamed", F.xxhash64("id").alias("hash")).mapInArrow(run, "key int, blob binary")
 
 
 def _unpacked(blobs) -> Iterator[tuple[int, bytes, bool]]:
@@ -345,8 +347,8 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["kind", "key", "blob"])
 
         for b in batches:
-            ids, texts = b.column(0).to_numpy().astype(np.int64), b.column(1).cast(pa.binary()).to_pylist()
-            for first, part in in_parts(texts, min(PART, 1 << bits - 1)):
+            ids = b.column(0).to_numpy().astype(np.int64)
+            for first, part in in_parts(b.column(1), min(PART, 1 << bits - 1)):
                 for i, piece, starts in _fitting(part, ids[first : first + len(part)], min(PART, 1 << bits - 1)):
                     got = anchors_of(piece, i, starts, bits)
                     held.append(got)
@@ -369,7 +371,7 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
     known = saved(whole.mapInArrow(scan, ROWS).groupBy("kind", "key").applyInPandas(shard, ROWS), "suffixes")
     asked = known.where(F.col("kind") == REQUESTS).select("key", "blob")
     ids = _ids_in(asked, REQUEST)
-    texts = _texts(whole.where(among(ids)(F.col("id"))), groups)  # others are asked for nothing
+    texts = _texts(whole, groups, among_hashes(ids))  # others are asked for nothing
     dropped(ids)
 
     def fetch(requests: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
@@ -412,7 +414,9 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
         if pdf.kind.iloc[0] == SPANS:
             return pdf
         if pdf.kind.iloc[0] == WINDOWS:
-            return _frame(repeated(gathered(pdf.blob, WINDOW_T), groups))
+            out = _frame(repeated(gathered(pdf.blob, WINDOW_T), groups))
+            give_back()
+            return out
         heads, raws = [], []
         for blob in pdf.blob:
             n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
@@ -420,7 +424,9 @@ def deduplicated_spans(docs: DataFrame, id_col: str = "doc_id", most: int = MANY
             raws.append(zstandard.ZstdDecompressor().decompress(blob[8 + n :]))
         r = gathered(heads, CONTEXT)
         sizes = r["run"].astype(np.int64) + LENGTH
-        return _frame(repeated(_windows(np.frombuffer(b"".join(raws), dtype=np.uint8), np.cumsum(sizes) - sizes, r), groups))
+        out = _frame(repeated(_windows(np.frombuffer(b"".join(raws), dtype=np.uint8), np.cumsum(sizes) - sizes, r), groups))
+        give_back()
+        return out
 
     partial = saved(fetched.groupBy("kind", "key").applyInPandas(compare, ROWS), "partial")
     dropped(fetched)
@@ -457,7 +463,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", as_text: bool = False,
     """A row for each row: id, n_bytes, n_removed, n_spans, kept: the bytes left, or with ``as_text`` their text without cut characters."""
     whole, spans, groups = deduplicated_spans(docs, id_col, **sizes)
     ids = _ids_in(spans, SPAN_T)
-    cut_in = among(ids)(F.col("id"))
+    may = among_hashes(ids)
+    cut_in = among(may)(F.col("id"))
     dropped(ids)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -477,7 +484,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", as_text: bool = False,
         return pd.DataFrame(out, columns=[id_col, "n_bytes", "n_removed", "n_spans", "kept"]).assign(**{id_col: ids})
 
     schema = f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
-    texts = _texts(whole.where(cut_in), groups)
+    texts = _texts(whole, groups, may)
     changed = texts.groupBy("key").cogroup(spans.groupBy("key")).applyInPandas(finish, schema)
     id_ = F.when(~F.col("unnamed"), F.col("id")).cast(kind).alias(id_col)
     none = F.lit(0).cast("long")

@@ -273,8 +273,8 @@ def test_wanted_filter(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "x") for i in [-5, *range(3000)]] + [(None, "x")], "id long, text string")
     wanted = docs.where("id % 10 = 0 or id = -5").select("id")
     keep = {-5, *range(0, 3000, 10)}
-    got = {r.id for r in docs.where(shared.among(wanted)(F.col("id"))).collect()}
+    got = {r.id for r in docs.where(shared.among(shared.among_hashes(wanted))(F.col("id"))).collect()}
     assert keep <= got and len(got) < 450
-    assert docs.where(shared.among(wanted.where("false"))(F.col("id"))).count() == 0
+    assert docs.where(shared.among(shared.among_hashes(wanted.where("false")))(F.col("id"))).count() == 0
     monkeypatch.setattr(shared, "MAX_BITS", 64)
-    assert keep <= {r.id for r in docs.where(shared.among(wanted)(F.col("id"))).collect()}
+    assert keep <= {r.id for r in docs.where(shared.among(shared.among_hashes(wanted))(F.col("id"))).collect()}

@@ -45,7 +45,7 @@ from tarn.llm.shared import among, among_hashes, components, dropped, give_back,
 NUMERATOR, DENOMINATOR = 75, 100
 FRAGMENT_BYTES = 8 << 20
 VERTICAL, SHARDS = 3, 64
-PAIRS = 1000  # of one lead in a shard
+PAIRS = 250  # of one lead in a shard; a hub is sent to each of its shards
 HELD = 1_000_000  # shingles of one part of the input
 PART = 250_000  # bytes of text looked at together
 NONE = 0xFFFFFFFF  # in place of a document: several of the part have the shingle

@@ -68,15 +68,15 @@ def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (u, u >> np.uint64(32))]
 
 
-def among_hashes(wanted: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+def among_hashes(wanted: DataFrame, hashed: Column | None = None) -> Callable[[np.ndarray], np.ndarray]:
     """Tells inside a task which of some ids' xxhash64 may be those of wanted ones (id), by a Bloom filter of at most MAX_BITS.
 
-    A full filter says so of more ids, never of fewer.
+    ``hashed`` gives the hash where it is not xxhash64 of the id. A full filter says so of more ids, never of fewer.
     """
     bits, n = 64, wanted.count()
     while bits < min(ID_BITS * n, MAX_BITS):
         bits *= 2
-    h = F.xxhash64("id")
+    h = F.xxhash64("id") if hashed is None else hashed
     place = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at")
     words = wanted.select(place).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("set")).toArrow()
     table = np.zeros(bits // 32, dtype=np.uint32)

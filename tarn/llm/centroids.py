@@ -6,8 +6,8 @@ inequality, only centroids whose norm lies within r of the vector's can be as ne
 this range, and all in it are compared exactly, so ties, those on the edge of the annulus too, go to the
 centroid of the smaller number.  Norms are compared with a margin for rounding, which widens the range only.
 
-Each round sends, for each batch of vectors and each centroid, one row of sums; these are added in Spark, and of each round
-only the centroids (k rows) come to the driver.
+Each round sends, for each batch of vectors and each centroid, the sums of its components in digits of 30 bits; these are added
+in Spark, and of each round only the sums of the centroids (k * dim numbers) come to the driver.
 
 Only vectors with exactly ``dim`` components, none null or non-finite, are kept; others have no row, and without any
 kept vector the result is empty.  With fewer than k kept vectors there are as many centroids as vectors.  Rows of equal id
@@ -17,6 +17,7 @@ whole numbers; a distance or a sum beyond 64 bits is null, with its cluster stil
 """
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from tarn.llm.shared import dropped, give_back, saved
 
 SCALE, DIM, K, ROUNDS, SEED = 64, 64, 16, 3, 1
+UNIT = 64  # of norms where numbers are large: 2^UNIT
+DIGIT = 30  # bits
 LARGE = 1 << 26  # largest component that 64-bit sums are used for: 4 * 2^52 * 64 < 2^62
 
 
@@ -43,27 +46,44 @@ def squares(a: np.ndarray) -> np.ndarray:
     return (a * a).sum(axis=-1)
 
 
+def roots(a: np.ndarray, unit: int) -> np.ndarray:
+    """Square roots, in units of 2^unit; whole units if there is one, since Python's whole numbers can pass the doubles."""
+    return np.array([float(math.isqrt(int(v)) >> unit) for v in a]) if unit else np.sqrt(a.astype(np.float64))
+
+
+def digits(v: int) -> Iterator[tuple[int, int]]:
+    """(place, digit): v is the sum of digit * 2^(DIGIT * place)."""
+    place = 0
+    while v not in (0, -1):
+        yield place, v & (1 << DIGIT) - 1
+        place, v = place + 1, v >> DIGIT
+    if v:
+        yield place, v
+
+
 class Annuli:
     """Nearest centroids of many vectors."""
 
     def __init__(self, centroids: list[list[int]]):
-        large = any(abs(x) >= LARGE for c in centroids for x in c)
-        self.centroids = np.array(centroids, dtype=object if large else np.int64)
-        norms = np.sqrt(squares(self.centroids).astype(np.float64))
-        self.order = np.argsort(norms, kind="stable")
-        self.norms = norms[self.order]
+        self.large = any(abs(x) >= LARGE for c in centroids for x in c)
+        self.centroids = np.array(centroids, dtype=object if self.large else np.int64)
+        sizes = squares(self.centroids)
+        self.order = np.argsort(sizes, kind="stable")
+        self.sizes = sizes[self.order]
 
     def _distances(self, x: np.ndarray, c: np.ndarray) -> np.ndarray:
         return squares(x - self.centroids[c])
 
     def ranges(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each vector the first centroid in its annulus, in the order of norms, and the one beyond its last."""
-        norm = np.sqrt(squares(x).astype(np.float64))
-        after = np.clip(np.searchsorted(self.norms, norm), 1, max(1, len(self.norms) - 1))
-        near = np.where(norm - self.norms[after - 1] <= np.abs(self.norms[np.minimum(after, len(self.norms) - 1)] - norm), after - 1, np.minimum(after, len(self.norms) - 1))
-        r = np.sqrt(self._distances(x, self.order[near]).astype(np.float64))
-        margin = 1e-9 * (norm + r + self.norms[near] + 1)
-        return np.searchsorted(self.norms, norm - r - margin, side="left"), np.searchsorted(self.norms, norm + r + margin, side="right")
+        unit = UNIT if self.large or x.dtype == object else 0
+        norms, norm = roots(self.sizes, unit), roots(squares(x), unit)
+        after = np.minimum(np.searchsorted(norms, norm), len(norms) - 1)
+        before = np.maximum(after - 1, 0)
+        near = np.where(norm - norms[before] <= np.abs(norms[after] - norm), before, after)
+        r = roots(self._distances(x, self.order[near]), unit)
+        margin = 1e-9 * (norm + r + norms[near]) + (4 if unit else 1e-9)
+        return np.searchsorted(norms, norm - r - margin, side="left"), np.searchsorted(norms, norm + r + margin, side="right")
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the nearest centroid, squared distance)"""
@@ -98,17 +118,19 @@ def _updated(kept: DataFrame, centroids: list[list[int]], dim: int, scale: int)
         for b in batches:
             x = quantised(_matrix(b.column(0), dim), scale)
             number, _ = annuli.nearest(x)
-            found = np.unique(number)
-            sums = [[str(s) for s in x[number == c].sum(axis=0).tolist()] for c in found]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([int((number == c).sum()) for c in found], pa.int64()), pa.array(sums, pa.list_(pa.string()))], names=["cluster", "n", "sums"])
+            rows = []
+            for c in np.unique(number).tolist():
+                mine = x[number == c]
+                rows += [(c, i, place, digit) for i, s in enumerate([len(mine), *mine.sum(axis=0).tolist()]) for place, digit in digits(int(s))]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, [pa.int32()] * 3 + [pa.int64()], strict=True)], names=["cluster", "item", "place", "digit"])
         give_back()
 
-    parts = kept.select("v").mapInArrow(run, "cluster int, n long, sums array<string>")
-    total = [F.sum(F.col("sums")[i].cast("decimal(38,0)")).alias(f"s{i}") for i in range(dim)]
-    out = [list(c) for c in centroids]
-    for r in parts.groupBy("cluster").agg(F.sum("n").alias("n"), *total).collect():  # at most k rows
-        out[r["cluster"]] = [int(r[f"s{i}"]) // r["n"] for i in range(dim)]
-    return out
+    parts = kept.select("v").mapInArrow(run, "cluster int, item int, place int, digit long")
+    sums: dict[int, list[int]] = {}
+    for r in parts.groupBy("cluster", "item", "place").agg(F.sum("digit").alias("digit")).collect():  # k * (dim + 1) numbers
+        sums.setdefault(r["cluster"], [0] * (dim + 1))[r["item"]] += r["digit"] << DIGIT * r["place"]
+    return [[s // sums[j][0] for s in sums[j][1:]] if j in sums else c for j, c in enumerate(centroids)]
 
 
 def clustered(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, rounds: int = ROUNDS, dim: int = DIM, scale: int = SCALE, seed: int = SEED) -> tuple[DataFrame, list[list[int]]]:

@@ -11,6 +11,12 @@ def seed(spark: SparkSession, conv_id: int, reset: bool = False, org: str = ORG)
     return spark.createDataFrame([(conv_id, 0, "assistant", RESET_GREETING if reset else GREETING.format(org=org), [])], MESSAGE)
 
 
+def seeded(history: DataFrame, reset: bool = False, org: str = ORG) -> DataFrame:
+    """A history of one greeting for each conversation in ``history``."""
+    text = RESET_GREETING if reset else GREETING.format(org=org)
+    return history.select("conv_id").distinct().select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.lit(text).alias("content"), F.array().cast(MESSAGE["sources"].dataType).alias("sources"))
+
+
 def presets(spark: SparkSession, org: str = ORG) -> DataFrame:
     """preset, question: the questions offered as buttons."""
     return spark.createDataFrame([(i, q.format(org=org)) for i, q in enumerate(PRESETS, 1)], "preset long, question string")

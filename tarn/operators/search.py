@@ -1,15 +1,12 @@
 """Keyword search with deterministic order."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import first_existing, hits, safe_text, tokens, tokens_col
+from tarn.operators.automaton import contained
 from tarn.sources.catalog import ORD
 
-BATCH = 1000  # tokens looked for in one scan
-
 
 def chunks(df: DataFrame, ord_col: str = ORD) -> DataFrame:
     """Search columns of a chunk table: ord, title, dept_name, text, source_url."""
@@ -22,11 +19,15 @@ def chunks(df: DataFrame, ord_col: str = ORD) -> DataFrame:
     )
 
 
+def combined() -> Column:
+    """What the search looks in."""
+    return F.lower(F.concat(F.col("title"), F.lit(" "), F.col("text")))
+
+
 def all_hits(found: DataFrame, query: str) -> DataFrame:
     """Every chunk with a score above 0; a query without tokens hits nothing."""
     words = tokens(query)
-    combined = F.lower(F.concat(F.col("title"), F.lit(" "), F.col("text")))
-    out = found.select(hits(combined, words).alias("score"), "*")
+    out = found.select(hits(combined(), words).alias("score"), "*")
     return out.where(F.col("score") > 0) if words else out.where(F.lit(False))
 
 
@@ -38,16 +39,11 @@ def search(found: DataFrame, query: str, limit: int = 3) -> DataFrame:
 def search_many(questions: DataFrame, found: DataFrame, limit: int = 3) -> DataFrame:
     """Top hits for each question (q_id, question), as an extension.
 
-    The distinct tokens of the question set, which is given by hand, come to the driver in batches of
-    BATCH; chunks are scanned once a batch, and only (question, chunk) pairs with a hit are made.
+    The questions' tokens are looked for by one automaton (``automaton.contained``), so chunks are scanned
+    once for some 20000 tokens; only (question, chunk) pairs with a hit are made. Repeats of a token count.
     """
     toks = questions.select("q_id", F.explode(tokens_col(F.col("question"))).alias("w")).groupBy("q_id", "w").agg(F.count("*").alias("n"))
-    words = [r.w for r in toks.select("w").distinct().orderBy("w").toLocalIterator()]
-    if not words:
-        return found.select(F.lit(0).cast("long").alias("q_id"), F.lit(0).alias("score"), "*").where(F.lit(False))
-    combined = F.lower(F.concat(F.col("title"), F.lit(" "), F.col("text")))
-    held = lambda some: F.array_compact(F.array(*[F.when(F.contains(combined, F.lit(w)), F.lit(w)) for w in some]))
-    met = [found.select("ord", F.explode(held(words[i : i + BATCH])).alias("w")) for i in range(0, len(words), BATCH)]
-    pairs = reduce(DataFrame.unionAll, met).join(toks, "w").groupBy("q_id", "ord").agg(F.sum("n").cast("int").alias("score"))
+    met = contained(found.select("ord", combined().alias("text")), toks.select("w"))
+    pairs = met.join(toks, "w").groupBy("q_id", "ord").agg(F.sum("n").cast("int").alias("score"))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("ord")))
     return pairs.withColumn("rk", rank).where(F.col("rk") <= limit).join(found, "ord").select("q_id", "rk", "score", *found.columns)

@@ -5,11 +5,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators import answers, chat, listing, quality, render
+from tarn.operators import answers, asof, automaton, chat, gram_index, intervals, listing, quality, render
 from tarn.operators.search import all_hits, chunks, search, search_many
 from tarn.schemas import DEPARTMENTS, EMPTY_TEXTS, FALLBACK_SUMMARIES, FILES, GREETING, GUIDE_SOURCE, HEADERS, NO_SUMMARY, ORG, PRESETS, RESET_GREETING, ROUTES
-from tarn.sources.catalog import Catalog, parquet, read_binary_base64, scratch_dir
-from tarn.functions.text import tokens
+from tarn.sources.catalog import ORD, Catalog, parquet, read_binary_base64, scratch_dir
+from tarn.functions.text import tokens, tokens_col
 
 QUERY = "thshed onering, ering? la thshed"
 LANGS = (("en", "English"), ("de", "German"), ("fr", "French"), ("xx", "None"))
@@ -95,8 +95,9 @@ def _catalog(spark: SparkSession, d: str) -> Catalog:
 
 
 def _dispatched(spark: SparkSession, d: str) -> DataFrame:
-    """The preset questions answered where no table has a file."""
-    tables = Catalog(spark, f"{d}/no-such-folder").table
+    """The preset questions, each answered from the table that its route names."""
+    filled = {"admissions": (_admissions, "doc_id"), "people": (_people, "c_custkey"), "courses": (_courses, "p_partkey"), "events": (_events, "event_id"), "rag_chunks": (_docs, "doc_id")}
+    tables = lambda name: filled[name][0](spark, d).withColumnRenamed(filled[name][1], ORD)
     found = [_flat(answers.answer(q.format(org=ORG), tables)).withColumn("preset", F.lit(i).cast("long")) for i, q in enumerate(PRESETS, 1)]
     return reduce(DataFrame.unionAll, found)
 
@@ -112,18 +113,97 @@ def _report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _with_rows(overview: DataFrame, table: DataFrame) -> DataFrame:
+    """An overview with the number of rows of a table."""
+    return overview.join(F.broadcast(table.agg(F.count(F.lit(1)).alias("n_rows"))), F.lit(True))  # one row
+
+
+def _both_overviews(spark: SparkSession, d: str) -> DataFrame:
+    """Overviews of a table with departments and of one without that column."""
+    code = F.element_at(F.create_map(*[F.lit(x) for lang, (dept, _) in zip(("en", "de", "fr"), DEPARTMENTS, strict=False) for x in (lang, dept)]), F.col("lang"))
+    assets = parquet(spark, d, "documents").select("doc_id", code.alias("dept"), "text", F.col("source").alias("source_url"))
+    pages = parquet(spark, d, "pages").select("page_id", F.col("html").alias("text"), F.col("url").alias("source_url"))
+    both = [_with_rows(listing.departments(spark, t, k), t).withColumn("from", F.lit(n)) for n, t, k in (("documents", assets, "doc_id"), ("pages", pages, "page_id"))]
+    return both[0].unionByName(both[1])
+
+
+def _with_turns(questions: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Questions with their route and the number of users' turns that take it."""
+    asked = _routes_long(_history(spark, d).where("role = 'user'"), "content", ROUTES).withColumnRenamed("n", "n_turns")
+    return questions.withColumn("route", answers.route_col(F.col("question"))).join(asked, "route", "left").withColumn("n_turns", F.coalesce("n_turns", F.lit(0)))
+
+
+def _indexed(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """documents as chunks and the path of their index."""
+    found, path = chunks(_docs(spark, d), "doc_id"), scratch_dir(spark)
+    gram_index.build(found, path)
+    return path, found
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Users' turns as a set of questions."""
+    return _history(spark, d).where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("q_id"), F.col("content").alias("question"))
+
+
+def _keywords(spark: SparkSession, d: str) -> DataFrame:
+    """In how many documents each token of the users' turns is."""
+    words = _asked(spark, d).select(F.explode(tokens_col(F.col("question"))).alias("w"))
+    texts = parquet(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return automaton.contained(texts, words).groupBy("w").agg(F.count("*").alias("n"))
+
+
+def _clicks(spark: SparkSession, d: str) -> DataFrame:
+    """Each purchase with the user's last click until then."""
+    events = parquet(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    out = asof.as_of(events.where("event_type = 'purchase'"), events.where("event_type = 'click'"), ["user_id"], "ts", "ts", tie="event_id")
+    return out.select("event_id", "user_id", "right_event_id", "right_ts")
+
+
+def _shipped(spark: SparkSession, d: str) -> DataFrame:
+    """Each line with the last order before its shipping, of the customer with the supplier's number, within 20 days."""
+    lines = parquet(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("k"), "l_shipdate")
+    orders = parquet(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderdate", "o_orderkey")
+    out = asof.as_of(lines, orders, ["k"], "l_shipdate", "o_orderdate", tie="o_orderkey", strict=True, tolerance=20 * 86400)
+    return out.groupBy("k").agg(F.count("*").alias("n"), F.count("right_o_orderkey").alias("n_found"), F.sum("right_o_orderkey").alias("sum_orders"))
+
+
+def _open_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a customer's orders that are open at one time, an order being open for 45 days."""
+    orders = parquet(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.timestamp_add("DAY", F.lit(45), "o_orderdate").alias("until"))
+    out = intervals.overlapping(orders, orders, ("o_orderdate", "until"), ("o_orderdate", "until"), ["o_custkey"], half_open=True)
+    return out.where("left_o_orderkey < right_o_orderkey").select("left_o_custkey", "left_o_orderkey", "right_o_orderkey")
+
+
+def _during(spark: SparkSession, d: str) -> DataFrame:
+    """For each error, how many other events it lasts into; an event lasts ``value`` times a minute."""
+    seconds = F.when(F.col("value") >= 0, F.floor(F.col("value") * 60)).otherwise(0)
+    events = parquet(spark, d, "events").select("event_id", "event_type", "ts", F.timestamp_add("SECOND", seconds.cast("int"), "ts").alias("until"))
+    out = intervals.overlapping(events.where("event_type = 'error'").drop("event_type"), events.where("event_type <> 'error'").drop("event_type"), ("ts", "until"), ("ts", "until"))
+    return out.groupBy("left_event_id").agg(F.count("*").alias("n"), F.sum("right_event_id").alias("sum_events"))
+
+
 QUERIES = {
+    "search_indexed": lambda s, d: gram_index.indexed_hits(s, _indexed(s, d)[0], QUERY),
+    "search_indexed_topk": lambda s, d: gram_index.indexed_search(s, *_indexed(s, d), QUERY).select("ord", "score", "title", "dept_name", "text", "source_url"),
+    "search_many_corpus": lambda s, d: search_many(_asked(s, d), chunks(_docs(s, d), "doc_id")).select("q_id", F.col("rk").cast("long").alias("rk"), "score", "ord"),
+    "keyword_documents": _keywords,
+    "route_many": lambda s, d: automaton.routed(_asked(s, d), ROUTES).groupBy("route").agg(F.count("*").alias("n")),
+    "asof_last_click": _clicks,
+    "asof_order_before_ship": _shipped,
+    "interval_open_orders": _open_orders,
+    "interval_during_errors": _during,
     "csv_scan": _csv_events,
-    "tolerant_scan": lambda s, d: listing.table_counts({n: Catalog(s, f"{d}/no-such-folder").table(n) for n in FILES}),
+    "tolerant_scan": lambda s, d: listing.table_counts({n: _catalog(s, d).table(n) for n in FILES}),
     "catalog_counts": lambda s, d: listing.table_counts({n: _catalog(s, d).table(n) for n in ("people", "courses", "events", "admissions")}),
     "binary_base64": _binary,
-    "departments_fixed": lambda s, d: listing.departments(s, parquet(s, d, "region"), "r_regionkey"),
-    "departments_empty": lambda s, d: listing.departments(s, _assets(s, d).limit(0), "doc_id"),
+    "departments_fixed": lambda s, d: _with_rows(listing.departments(s, parquet(s, d, "region"), "r_regionkey"), parquet(s, d, "region")),
+    "departments_empty": lambda s, d: _with_rows(listing.departments(s, _assets(s, d).where("dept = 'no such'"), "doc_id"), _assets(s, d)),
+    "departments_both": lambda s, d: _both_overviews(s, d),
     "departments_without_rows": lambda s, d: listing.departments(s, _assets(s, d), "doc_id"),
-    "chat_seed": lambda s, d: chat.seed(s, 1).select("conv_id", "turn", "role", "content"),
-    "chat_reset": lambda s, d: chat.seed(s, 1, reset=True).select("conv_id", "turn", "role", "content"),
+    "chat_seed": lambda s, d: chat.seeded(_history(s, d)).select("conv_id", "turn", "role", "content"),
+    "chat_reset": lambda s, d: chat.seeded(_history(s, d).where("role = 'user' AND turn >= 4"), reset=True).select("conv_id", "turn", "role", "content"),
     "chat_add_question": lambda s, d: chat.append(_history(s, d).where("conv_id = 1").withColumn("sources", F.lit(None).cast("array<struct<title:string,meta:string,url:string>>")), 1, "zzzzqq", answers.search_answer(_docs(s, d), "zzzzqq", "default", ord_col="doc_id")).select("conv_id", "turn", "role", "content", F.coalesce(F.size("sources"), F.lit(-1)).cast("long").alias("n_sources")),
-    "presets": lambda s, d: chat.presets(s).withColumn("route", answers.route_col(F.col("question"))),
+    "presets": lambda s, d: _with_turns(chat.presets(s), s, d),
     "answer_presets": _dispatched,
     "info_cards": lambda s, d: parquet(s, d, "nation").select("n_nationkey", render.info_card(F.concat(F.lit("<"), F.col("n_name")), F.lit("a & 'b'")).alias("card")),
     "quality_report": _report,
@@ -138,7 +218,7 @@ QUERIES = {
     "group_overview": lambda s, d: listing.group_overview(_labels(s), _assets(s, d), "none", "doc_id").select("label_ord", "dept", "dept_name", "summary", "source_url"),
     "group_top3_text": lambda s, d: listing.first_texts(_assets(s, d), ord_col="doc_id"),
     "group_first_url": lambda s, d: listing.first_urls(_assets(s, d), "doc_id"),
-    "route_fixture": lambda s, d: _questions(s).select("q_id", answers.route_col(F.col("question")).alias("route")),
+    "route_fixture": lambda s, d: _with_turns(_questions(s), s, d).drop("question"),
     "route_conversations": lambda s, d: _routes_long(parquet(s, d, "conversations").where("role = 'user'"), "text", ROUTES),
     "route_corpus": lambda s, d: _routes_long(parquet(s, d, "documents"), "text", CORPUS_ROUTES),
     "answer_admission": lambda s, d: _flat(answers.table_answer(_admissions(s, d), "admission", ord_col="doc_id")),
@@ -202,23 +282,37 @@ _PRESETS = f"(VALUES {_values([(i, q.format(org=ORG)) for i, q in enumerate(PRES
 _DISTRIBUTION = "(SELECT string_agg(v || ': ' || n, ', ' ORDER BY n DESC, v) AS distribution FROM (SELECT lang AS v, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1))"
 
 
-def _greeted(text: str) -> str:
-    return f"SELECT CAST(1 AS BIGINT) AS conv_id, CAST(0 AS BIGINT) AS turn, 'assistant' AS role, {_q(text)} AS content"
+def _greeted(text: str, where: str) -> str:
+    return f"SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS turn, 'assistant' AS role, {_q(text)} AS content FROM conversations {where}"
+
+
+def _turns(rows: str, cols: str) -> str:
+    """rows: (question, ...) with the number of users' turns on the same route."""
+    return f"SELECT {cols}, q.route, coalesce(t.n, 0) AS n_turns FROM (SELECT *, {_case('question', ROUTES)} AS route FROM {rows}) q LEFT JOIN (SELECT {_case('text', ROUTES)} AS route, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1) t ON t.route = q.route"
+
+
+#: Driver tables that stand for tables of the guide.
+_FILLED = {"people": "customer", "courses": "part", "events": "events"}
+_TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\x1c-\x1f?,]+'), lambda w: length(w) >= 2)"
+_WORDS = f"(SELECT q_id, w, count(*) AS n FROM (SELECT conv_id * 1000 + turn AS q_id, unnest({_TOKENS}) AS w FROM conversations WHERE role = 'user') GROUP BY q_id, w)"
+_DEFAULT_PRESET = PRESETS[-1].format(org=ORG)
 
 
 ORACLE = {
     "csv_scan": "SELECT conv_id, turn, 'say \"x\",' || chr(10) || ' ' || text AS title, CASE WHEN role = 'user' THEN NULL ELSE role END AS event_type FROM conversations",
-    "tolerant_scan": f"SELECT metric, CAST(0 AS BIGINT) AS value FROM (VALUES {_values([(n,) for n in FILES])}) v(metric)",
+    "tolerant_scan": " UNION ALL ".join(f"SELECT '{n}' AS metric, count(*) AS value FROM {_FILLED[n]}" if n in _FILLED else f"SELECT '{n}' AS metric, CAST(0 AS BIGINT) AS value" for n in FILES),
     "catalog_counts": "SELECT 'people' AS metric, count(*) AS value FROM customer UNION ALL SELECT 'courses', count(*) FROM part UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'admissions', 0",
     "binary_base64": "SELECT n_nationkey, to_base64(encode(n_name || chr(10))) AS content_base64 FROM nation",
-    "departments_fixed": f"SELECT CAST(label_ord AS INT) AS label_ord, dept, dept_name, summary, '' AS source_url FROM {_FIXED}",
-    "departments_empty": f"SELECT CAST(label_ord AS INT) AS label_ord, dept, dept_name, summary, '' AS source_url FROM {_FIXED}",
+    "departments_fixed": f"SELECT CAST(label_ord AS INT) AS label_ord, dept, dept_name, summary, '' AS source_url, (SELECT count(*) FROM region) AS n_rows FROM {_FIXED}",
+    "departments_empty": f"SELECT CAST(label_ord AS INT) AS label_ord, dept, dept_name, summary, '' AS source_url, (SELECT count(*) FROM documents) AS n_rows FROM {_FIXED}",
+    "departments_both": f"""SELECT CAST(label_ord AS INT) AS label_ord, f.dept, dept_name, coalesce(t.summary, {_q(NO_SUMMARY)}) AS summary, coalesce(u.source_url, '') AS source_url, (SELECT count(*) FROM documents) AS n_rows, 'documents' AS "from"
+ FROM {_FIXED.replace(") v(", ") f(")} LEFT JOIN (VALUES ('en', 0), ('de', 1), ('fr', 2)) m(lang, i) ON m.i = f.label_ord LEFT JOIN {_TEXTS} t ON t.dept = m.lang LEFT JOIN {_URLS} u ON u.dept = m.lang
+ UNION ALL SELECT CAST(label_ord AS INT), dept, dept_name, summary, '', (SELECT count(*) FROM pages), 'pages' FROM {_FIXED}""",
     "departments_without_rows": f"SELECT CAST(label_ord AS INT) AS label_ord, dept, dept_name, {_q(NO_SUMMARY)} AS summary, '' AS source_url FROM {_FIXED}",
-    "chat_seed": _greeted(GREETING.format(org=ORG)),
-    "chat_reset": _greeted(RESET_GREETING),
+    "chat_seed": _greeted(GREETING.format(org=ORG), ""),
+    "chat_reset": _greeted(RESET_GREETING, "WHERE role = 'user' AND turn >= 4"),
     "chat_add_question": f"WITH h AS (SELECT * FROM conversations WHERE conv_id = 1), t AS (SELECT coalesce(max(turn), -1) AS t FROM h) SELECT conv_id, turn, role, text AS content, CAST(-1 AS BIGINT) AS n_sources FROM h UNION ALL SELECT 1, t + 1, 'user', 'zzzzqq', 0 FROM t UNION ALL SELECT 1, t + 2, 'assistant', {_q(EMPTY_TEXTS['default'])}, 1 FROM t",
-    "presets": f"SELECT CAST(preset AS BIGINT) AS preset, question, {_case('question', ROUTES)} AS route FROM {_PRESETS}",
-    "answer_presets": " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS preset, {_q(EMPTY_TEXTS[k].format(org=ORG))} AS answer, CAST({int(k == 'default')} AS BIGINT) AS n_sources, {_q(_GUIDE[0] if k == 'default' else '')} AS titles, {_q(_GUIDE[1] if k == 'default' else '')} AS metas, '' AS urls" for i, k in enumerate(("admission", "research", "faculty", "course", "event", "default"), 1)),
+    "presets": _turns(_PRESETS, "CAST(preset AS BIGINT) AS preset, question"),
     "info_cards": """SELECT n_nationkey, '<div class="card"><h4>&lt;' || n_name || '</h4><p>a &amp; &#x27;b&#x27;</p></div>' AS card FROM nation""",
     "quality_report": f"""SELECT 'rows' AS metric, CAST(count(*) AS VARCHAR) AS value, 'rows' AS note FROM documents UNION ALL SELECT 'duplicates', CAST(count(text) - count(DISTINCT text) AS VARCHAR), 'exact duplicates' FROM documents
  UNION ALL SELECT 'missing_source', CAST(count(*) FILTER (WHERE source IS NULL OR source = '') AS VARCHAR), 'null or empty' FROM documents UNION ALL SELECT 'lang', distribution, 'distribution' FROM {_DISTRIBUTION}
@@ -234,7 +328,7 @@ ORACLE = {
     "group_overview": f"SELECT CAST(label_ord AS INT) AS label_ord, l.dept, l.dept_name, coalesce(summary, 'none') AS summary, coalesce(source_url, '') AS source_url FROM (VALUES {_values([(i, *x) for i, x in enumerate(LANGS)])}) l(label_ord, dept, dept_name) LEFT JOIN {_TEXTS} t ON l.dept = t.dept LEFT JOIN {_URLS} u ON l.dept = u.dept",
     "group_top3_text": f"SELECT * FROM {_TEXTS}",
     "group_first_url": f"SELECT * FROM {_URLS}",
-    "route_fixture": f"SELECT CAST(q_id AS BIGINT) AS q_id, {_case('question', ROUTES)} AS route FROM (VALUES {_values(QUESTIONS)}) v(q_id, question)",
+    "route_fixture": _turns(f"(VALUES {_values(QUESTIONS)}) v(q_id, question)", "CAST(q_id AS BIGINT) AS q_id"),
     "route_conversations": f"SELECT {_case('text', ROUTES)} AS route, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1",
     "route_corpus": f"SELECT {_case('text', CORPUS_ROUTES)} AS route, count(*) AS n FROM documents GROUP BY 1",
     "answer_admission": _answer("SELECT ord, '- ' || dept_name || ': ' || title || ' — ' || substring(text, 1, 160) AS line, title, dept_name || ' · Admission' AS meta, '' AS url FROM (SELECT * FROM " + _DOCS + " ORDER BY ord LIMIT 5)", HEADERS["admission"].format(org=ORG)),
@@ -253,3 +347,23 @@ ORACLE = {
     "missing_counts": "SELECT count(*) FILTER (WHERE url IS NULL OR url = '') AS missing_url, count(*) FILTER (WHERE html IS NULL OR html = '') AS missing_html FROM pages",
     "type_distribution": "SELECT string_agg(v || ': ' || n, ', ' ORDER BY n DESC, v) AS distribution FROM (SELECT lang AS v, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1)",
 }
+
+
+_EMPTY_DEFAULT = f"SELECT {_q(EMPTY_TEXTS['default'])} AS answer, CAST(1 AS BIGINT) AS n_sources, {_q(_GUIDE[0])} AS titles, {_q(_GUIDE[1])} AS metas, '' AS urls WHERE NOT EXISTS (SELECT 1 FROM {_found(_DEFAULT_PRESET)})"
+_PRESET_ANSWERS = [*[ORACLE[f"answer_{k}"] for k in ("admission", "research", "faculty", "course", "event")], f"{_EMPTY_DEFAULT} UNION ALL SELECT * FROM ({_hits_answer(_DEFAULT_PRESET, 'default', 'Retrieved Document')}) WHERE n_sources > 0"]
+ORACLE |= {
+    "answer_presets": " UNION ALL ".join(f"(SELECT CAST({i} AS BIGINT) AS preset, * FROM ({x}))" for i, x in enumerate(_PRESET_ANSWERS, 1)),
+    "search_indexed": f"SELECT ord, score FROM {_found(QUERY, None)}",
+    "search_indexed_topk": ORACLE["search_topk"],
+    "search_many_corpus": f"SELECT q_id, rk, score, ord FROM (SELECT q_id, ord, CAST(sum(n) AS INT) AS score, row_number() OVER (PARTITION BY q_id ORDER BY sum(n) DESC, ord) AS rk FROM (SELECT DISTINCT w FROM {_WORDS}) t JOIN (SELECT ord, lower(title || ' ' || text) AS t FROM {_DOCS}) d ON contains(d.t, t.w) JOIN {_WORDS} q ON q.w = t.w GROUP BY q_id, ord) WHERE rk <= 3",
+    "keyword_documents": f"SELECT w, count(*) AS n FROM (SELECT DISTINCT w FROM {_WORDS}) t JOIN (SELECT lower(text) AS t FROM documents) d ON contains(d.t, t.w) GROUP BY w",
+    "route_many": ORACLE["route_conversations"],
+    "asof_last_click": """SELECT p.event_id, p.user_id, c.event_id AS right_event_id, c.ts AS right_ts FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL) c ON p.user_id = c.user_id AND p.ts >= c.ts""",
+    "asof_order_before_ship": """SELECT k, count(*) AS n, count(o) AS n_found, CAST(sum(o) AS BIGINT) AS sum_orders FROM (SELECT l.l_suppkey AS k, CASE WHEN l.l_shipdate - c.t <= INTERVAL 20 DAY THEN c.o END AS o FROM lineitem l
+ ASOF LEFT JOIN (SELECT o_custkey, o_orderdate AS t, max(o_orderkey) AS o FROM orders GROUP BY ALL) c ON l.l_suppkey = c.o_custkey AND l.l_shipdate > c.t) GROUP BY k""",
+    "interval_open_orders": """SELECT a.o_custkey AS left_o_custkey, a.o_orderkey AS left_o_orderkey, b.o_orderkey AS right_o_orderkey FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
+ AND a.o_orderdate < b.o_orderdate + INTERVAL 45 DAY AND b.o_orderdate < a.o_orderdate + INTERVAL 45 DAY""",
+    "interval_during_errors": """WITH e AS (SELECT event_id, event_type, ts, ts + to_seconds(CASE WHEN value >= 0 THEN CAST(floor(value * 60) AS INT) ELSE 0 END) AS until FROM events)
+SELECT a.event_id AS left_event_id, count(*) AS n, CAST(sum(b.event_id) AS BIGINT) AS sum_events FROM e a JOIN e b ON a.event_type = 'error' AND b.event_type <> 'error' AND a.ts <= b.until AND b.ts <= a.until GROUP BY 1""",
+}

@@ -61,16 +61,6 @@ def test_long_blanks(spark):
     assert df.select(X.safe_text(F.col("t")).alias("t")).first().t == text.strip() and time.time() - start < 5
 
 
-def test_search_many_batches(spark, monkeypatch):
-    from tarn.operators import search as module
-
-    monkeypatch.setattr(module, "BATCH", 2)
-    df = spark.createDataFrame([(i, f"t{i}", f"w{i} w{i + 1} w{i + 2}") for i in range(9)], "_ord long, title string, text string")
-    asked = spark.createDataFrame([(1, "w3 w4 w5 w3"), (2, "none here"), (3, "w8")], "q_id long, question string")
-    got = {(r.q_id, r.rk): (r.score, r.ord) for r in module.search_many(asked, chunks(df)).collect()}
-    assert got == {(1, 1): (4, 3), (1, 2): (3, 2), (1, 3): (2, 1), (3, 1): (1, 6), (3, 2): (1, 7), (3, 3): (1, 8)}
-
-
 def test_overview(spark):
     df = spark.createDataFrame([(5, "aic", "e", "u5"), (1, "aic", " a", None), (2, "aic", None, " u2 "), (3, "aic", "c", "u3"), (4, "aic", "d", "u4")], "_ord long, dept string, text string, source_url string")
     rows = {r.dept: r for r in listing.departments(spark, df).collect()}

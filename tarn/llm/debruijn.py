@@ -40,8 +40,8 @@ from tarn.llm.shared import among, among_hashes, dropped, give_back, in_parts, r
 from tarn.llm.suffix_dedup import dealt, gathered
 
 WINDOW, ANCHOR = 13, 5
-PART = 500_000  # bytes of text looked at together; longer texts go in pieces
-HELD = 400_000  # paths that a part of the input holds before it sends them
+PART = 250_000  # bytes of text looked at together; longer texts go in pieces
+HELD = 200_000  # paths that a part of the input holds before it sends them
 SHARD_BYTES = 8 << 20  # of text, for each shard of anchors
 ASKED = 1000  # spans read from a source by one task
 LONG = 64  # bytes; longer words are hashed one by one
@@ -263,16 +263,17 @@ def spans_of(docs: DataFrame, part: int = PART, held: int = HELD, shard_bytes: i
     paths = saved(_scan(docs, branchless, sent_on, PATHS, part, held), "paths")
     own = paths.where("path IS NOT NULL")
     sources = saved(own.groupBy("path").agg(F.min(F.struct("id", "row", "lo")).alias("at"), F.min("anchor").alias("anchor")), "sources")
-    branching = sources.groupBy("anchor").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a < b").select("anchor")
+    # Written first: a join right above an aggregate keeps its partitioning, and adaptive execution does not split a frequent anchor there.
+    branching = saved(sources.groupBy("anchor").agg(F.min("path").alias("a"), F.max("path").alias("b")).where("a < b").select("anchor"), "branching")
     split = saved(sources.join(branching, "anchor").select(F.col("path").bitwiseXOR(F.col("at.id")).alias("id")), "branching")
     in_branching = among_hashes(split, F.col("id"))
-    dropped(split)
+    dropped(split, branching)
 
     def branched(p: dict, windows: np.ndarray, first: np.ndarray) -> dict:
         return windows_in(p, windows, first, np.flatnonzero(in_branching(p["c"] ^ p["id"].view(np.uint64))))
 
     edges = saved(_scan(docs, branched, sent_on, PATHS, part, held), "edges")
-    firsts = edges.where("path IS NOT NULL").groupBy("path").agg(F.min(F.struct("id", "row", "lo")).alias("at"))
+    firsts = saved(edges.where("path IS NOT NULL").groupBy("path").agg(F.min(F.struct("id", "row", "lo")).alias("at")), "firsts")
     columns = ["id", "row", "lo", "n", "src", "src_row", "src_lo"]
     known = [t.where("path IS NULL").select(columns) for t in (paths, edges)]
     found = known[0].unionAll(known[1]).unionAll(_joined(paths, sources).select(columns)).unionAll(_joined(edges, firsts).select(columns))
@@ -284,7 +285,7 @@ def spans_of(docs: DataFrame, part: int = PART, held: int = HELD, shard_bytes: i
     runs = found.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     glued = runs.groupBy("id", "row", "run").agg(F.min("lo").alias("lo"), F.sum("n").cast("int").alias("n"), F.min("src").alias("src"), F.min("src_row").alias("src_row"), F.min("src_lo").alias("src_lo"))
     out = saved(glued.select(columns), "spans")
-    dropped(paths, sources, edges)
+    dropped(paths, sources, edges, firsts)
     return out
 
 
@@ -297,6 +298,7 @@ def _digests(texts: pa.Array, spans: pa.Array) -> pa.Array:
     for text, asked in zip(texts, spans, strict=True):
         words = words_of(text.as_buffer().to_pybytes())
         out.append([digest(words, s["src_lo"], s["n"]) for s in asked.as_py()])
+    give_back()
     return pa.array(out, pa.list_(pa.binary()))
 
 
@@ -329,6 +331,7 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         n_removed.append(int(out.sum()))
         n_spans.append(int((np.diff(np.concatenate([[False], out]).astype(np.int8)) == 1).sum()))
         kept.append(b" ".join([w for w, o in zip(words, out.tolist(), strict=True) if not o] if n_removed[-1] else words))
+    give_back()
     return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["n_words", "n_removed", "n_spans", "kept"])
 
 

@@ -6,7 +6,7 @@ with all groups, each node is split along its widest dimension (its range over
 that of the whole table) at the weighted median, or at the weighted quantile
 where its leaves do not halve, until every node is a leaf.  Medians come from
 distributed histograms of at most BINS bins a node, narrowed until the cut is
-exact; equal coordinates are split by a hash of the text.  The driver sees
+exact; equal coordinates are split by a hash of the text.  The group that the cut falls in goes to the side that this leaves nearer to its target.  The driver sees
 those bins only.
 
 Null text counts as empty; missing or null metadata counts as 0; repeated rows
@@ -74,6 +74,12 @@ def _narrow(frame: DataFrame, value: Column, state: dict[int, dict]) -> None:
                 s |= {"lo": s["hi"], "below": below, "mass": 0}
 
 
+def _cut(s: dict) -> int:
+    """The last value of the left side: what holds the quantile goes to the side that this leaves nearer to its target."""
+    over, under = s["below"] + s["mass"] - s["target"], s["target"] - s["below"]
+    return s["lo"] - 1 if s["below"] and over > under else s["hi"]
+
+
 def kd_tree(groups: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
     """The groups (w, tie and the dimensions, all long) with their ``shard``.
 
@@ -97,12 +103,13 @@ def kd_tree(groups: DataFrame, dims: list[str], n_shards: int) -> DataFrame:
         if state:
             along = _on_axis(dims, {i: s["axis"] for i, s in state.items()})
             _narrow(frame, along, state)
-            cut, tie = {i: s["hi"] for i, s in state.items()}, dict.fromkeys(state, TIE_SPACE)
-            if one := {i: s for i, s in state.items() if s["hi"] == s["lo"]}:  # one value holds the quantile: split it by hash
+            one = {i: s for i, s in state.items() if s["hi"] == s["lo"]}
+            cut, tie = {i: s["hi"] if i in one else _cut(s) for i, s in state.items()}, dict.fromkeys(state, TIE_SPACE)
+            if one:  # one value holds the quantile: split it by hash
                 for s in one.values():
                     s |= {"lo": 0, "hi": TIE_SPACE - 1}
                 _narrow(frame, F.when(along == _by_node({i: cut[i] for i in one}), F.col("tie")), one)
-                tie |= {i: s["hi"] for i, s in one.items()}
+                tie |= {i: _cut(s) for i, s in one.items()}
             at = _by_node(cut)
             left = (along < at) | ((along == at) & (F.col("tie") <= _by_node(tie)))
             child = F.when(left, F.col("node") * 2 + 1).otherwise(F.col("node") * 2 + 2)

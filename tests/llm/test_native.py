@@ -209,3 +209,14 @@ def test_shards(spark):
     got = kd_shards.shard_documents(few, 4).collect()
     check_shards(got, {r.doc_id: r.text for r in few.collect()})
     assert len(got) == 8 and kd_shards.shard_documents(few.limit(0)).count() == 0
+
+
+def test_shards_of_a_small_table_are_near_equal(spark):
+    """No shard is over the mean by more than half of the largest group of equal texts, and none is empty."""
+    from tarn.llm.kd_shards import shard_documents
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = shard_documents(docs)
+    sizes = [r.s for r in out.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    largest = docs.groupBy("text").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("s")).agg(F.max("s")).first()[0]
+    assert len(sizes) == 40 and max(sizes) <= sum(sizes) / 40 + largest / 2

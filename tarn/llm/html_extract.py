@@ -3,7 +3,9 @@
 A page's host is that of its url; its reference is a typical page of the host:
 with text, of the set of tags that most of the different pages have, of smallest id.  Each page becomes a DOM tree and is aligned with the reference by
 simple tree matching: siblings are aligned in order so that the most nodes
-match, with runs of equally labelled siblings matched in order as a whole (runs at both ends that agree are matched as they are, so like pages take linear time).  A text block
+match, with runs of equally labelled siblings matched in order as a whole (runs at both ends that agree are matched as they are, so like pages take linear time).
+Subtrees of equal labels are one shape, so two of them are compared once however often they stand side by side, and a
+table of runs is worked out a row at a time; pages of any width are aligned exactly.  A text block
 then is a slot of the reference, or new.  Over all different pages of a host, slots whose
 text is the reference's in CONSTANT of at least FEWEST pages are template;
 varying slots and new blocks are content.  Pages whose articles have the same
@@ -17,8 +19,9 @@ text, a first heading counting as half a page, is the host's region.
 On hosts of fewer than FEWEST different pages, without such a region, and on pages that lack it, tags tell:
 all outermost ``article`` elements in page
 order (but the largest, not those that are comments and so on by class or id), else
-those of ``main``, else the body.  In it, elements that are menus, sidebars, notices, adverts,
-forms, scripts, styles or reader comments by tag, role, class or id are left out; words that articles use themselves (AMBIGUOUS) tell so outside of it only.  Character references are
+those of ``main``, else the body.  Elements that are menus, sidebars, notices, adverts,
+forms, scripts, styles or reader comments by tag, role, class or id are left out.  Within the content a name tells so only where a whole class is made of
+such words, none of them one that articles use themselves (AMBIGUOUS); an id or a part of a name tells so outside of it only.  Character references are
 decoded, white space in a block becomes one space, blocks are joined by \\n.
 
 Null or empty html gives an empty text; a null url is a host of its own (one for all);
@@ -26,13 +29,14 @@ repeated rows give equal rows; an empty table gives an empty result; broken and
 truncated markup is read as far as it goes, to any depth.
 """
 
-import difflib
 import html
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +45,6 @@ from tarn.llm.shared import saved
 from tarn.llm.url_filter import host_and_path
 
 CONSTANT, FEWEST, SHARE = 0.9, 8, 0.75
-CELLS = 1 << 12  # of a table of runs that is filled whole; larger ones are aligned by labels alone
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
@@ -51,7 +54,7 @@ ENDS = {t: frozenset(["p"]) for t in BLOCK - {"body", "html", "caption", "tbody"
 #: Elements that an implied end does not reach beyond.
 WALLS = frozenset("article aside body div footer form header html main nav section table ul ol dl blockquote".split())
 
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg math select button input textarea object embed canvas audio video menu dialog".split())
+DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg select button input textarea object embed canvas audio video menu dialog".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login "
     "sidebar sidebars aside widget widgets menu menus nav navbar navigation navi breadcrumb breadcrumbs pagination pager toolbar header masthead topbar footer foot bottombar "
@@ -59,28 +62,42 @@ WORDS = frozenset(
 )
 #: Words that name parts of articles as well as of pages.
 AMBIGUOUS = frozenset("discussion related recommended recommendations reply replies respond header masthead foot skip banner banners promotion login social widget widgets".split())
+#: Words that a name may have beside one of WORDS and still be the name of such a part within the content.
+FILLERS = frozenset("area bar block body bottom box button buttons container content inner item items left link links list outer panel primary right secondary section slot title top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-LOOSE = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+LOOSE = re.compile(r"<!--(?:-?>|.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "label", "drop", "weak", "kids", "parent", "told", "rows")
+    __slots__ = ("tag", "label", "drop", "weak", "kids", "parent", "told", "rows", "shape")
 
     def __init__(self, tag: str, attributes: str, parent: "Node | None"):
         self.tag, self.parent, self.kids, self.label = tag, parent, [], tag
-        self.drop, self.told, self.weak, self.rows = tag in DROPPED, False, False, None
+        self.drop, self.told, self.weak, self.rows, self.shape = tag in DROPPED, False, False, None, -1
         if attributes:
+            holds = tag in ("html", "body", "article", "main")
             for name, a, b, c in ATTRIBUTE.findall(attributes):
-                value = (a or b or c).lower()
-                if name.lower() == "class":
+                value, name = (a or b or c).lower(), name.lower()
+                if name == "class":
                     self.label = f"{tag}.{value}"
-                words = (ROLES if name.lower() == "role" else WORDS).intersection(re.split(r"[^a-z]+", value))
-                self.told = self.told or bool(words)
-                self.weak = self.weak or bool(words & AMBIGUOUS) and tag not in ("html", "body", "article", "main")
-                self.drop = self.drop or bool(words - AMBIGUOUS) and tag not in ("html", "body", "article", "main")
+                if name == "role":
+                    named = whole = bool(ROLES.intersection(value.split()))
+                else:
+                    words = set(re.split(r"[^a-z]+", value))
+                    named = bool(words & WORDS)
+                    whole = named and name == "class" and any(map(_whole, value.split()))
+                self.told = self.told or named
+                self.weak = self.weak or named and not holds
+                self.drop = self.drop or whole and not holds
+
+
+def _whole(name: str) -> bool:
+    """Whether a class is nothing but the name of a part that is no content."""
+    words = set(re.split(r"[^a-z]+", name)) - {""}
+    return bool(words & (WORDS - AMBIGUOUS)) and words <= (WORDS - AMBIGUOUS) | FILLERS
 
 
 class Text:
@@ -163,83 +180,154 @@ def _runs(node: Node) -> list[list[Node]]:
     return node.rows
 
 
-def _ends(ra: list, rb: list) -> tuple[int, int]:
-    """How many runs agree at the start and at the end."""
-    most, start = min(len(ra), len(rb)), 0
-    while start < most and ra[start][0].label == rb[start][0].label:
+def _ends(x: list, y: list) -> tuple[int, int]:
+    """How many runs agree in label at the start and at the end."""
+    most, start = min(len(x), len(y)), 0
+    while start < most and x[start][0] == y[start][0]:
         start += 1
     end = 0
-    while end < most - start and ra[-1 - end][0].label == rb[-1 - end][0].label:
+    while end < most - start and x[-1 - end][0] == y[-1 - end][0]:
         end += 1
     return start, end
 
 
-def _cells(a: Node, b: Node) -> tuple[list, list[tuple[int, int]], int, int]:
-    """(matched runs at both ends, cells of the table between them, its rows and columns); a large table has the cells of a common subsequence of labels only."""
-    ra, rb = _runs(a), _runs(b)
-    start, end = _ends(ra, rb)
-    sure = list(zip(ra[:start], rb[:start], strict=True)) + list(zip(ra[len(ra) - end :], rb[len(rb) - end :], strict=True))
-    x, y = [r[0].label for r in ra[start : len(ra) - end]], [r[0].label for r in rb[start : len(rb) - end]]
-    if len(x) * len(y) > CELLS:
-        same = difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
-        return sure + [(ra[start + m.a + k], rb[start + m.b + k]) for m in same for k in range(m.size)], [], 0, 0
-    return sure, [(i, j) for i, u in enumerate(x) for j, v in enumerate(y) if u == v], len(x), len(y)
-
-
-def _score(a: Node, b: Node, known: dict) -> int:
-    """Nodes that match below and at (a, b), by simple tree matching; a stack instead of recursion."""
-    stack = [(a, b)]
-    while stack:
-        x, y = stack[-1]
-        if (id(x), id(y)) in known:
-            stack.pop()
-            continue
-        sure, cells, rows, cols = _cells(x, y)
-        start, _ = _ends(_runs(x), _runs(y))
-        inner = [(_runs(x)[start + i], _runs(y)[start + j]) for i, j in cells]
-        need = [(p, q) for u, v in sure + inner for p, q in zip(u, v, strict=False) if (id(p), id(q)) not in known]
-        if need:
-            stack.extend(need)
-            continue
-        worth = lambda u, v: sum(known[id(p), id(q)] for p, q in zip(u, v, strict=False))
-        total = 1 + sum(worth(u, v) for u, v in sure)
-        if cells:
-            total += _table({c: worth(*uv) for c, uv in zip(cells, inner, strict=True)}, rows, cols)[rows][cols]
-        known[id(x), id(y)] = total
-        stack.pop()
-    return known[id(a), id(b)]
-
-
-def _table(best: dict[tuple[int, int], int], rows: int, cols: int) -> list[list[int]]:
-    table = [[0] * (cols + 1) for _ in range(rows + 1)]
-    for i in range(rows):
-        for j in range(cols):
-            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + best[i, j] if (i, j) in best else 0)
-    return table
-
-
-def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the matched pairs of two equally labelled nodes. Scores are worked out only where runs differ."""
-    pairs, known, stack = [], {}, [(a, b)]
+class Shapes:
+    """Trees by their labels alone: equal ones have one number, so any two are compared once.
+
+    ``runs`` has the kids of each shape as runs (label, shapes of the run, number of the run), ``size`` its elements.
+    """
+
+    def __init__(self, other: "Shapes | None" = None):
+        self.ids: dict = dict(other.ids) if other else {}
+        self.run_ids: dict = dict(other.run_ids) if other else {}
+        self.runs: list = list(other.runs) if other else []
+        self.size: list[int] = list(other.size) if other else []
+        self.known: dict[tuple[int, int], int] = {}
+        self.worths: dict[tuple[int, int], int] = {}
+
+    def number(self, root: Node) -> None:
+        """Gives all elements below and at the root their shape; a list instead of recursion."""
+        order = [root]
+        for node in order:  # grows as it goes
+            order.extend(_elements(node))
+        for node in reversed(order):
+            runs = []
+            for run in _runs(node):
+                key = (run[0].label, tuple(k.shape for k in run))
+                runs.append((*key, self.run_ids.setdefault(key, len(self.run_ids))))
+            key = (node.label, tuple(r[2] for r in runs))
+            if key not in self.ids:
+                self.ids[key] = len(self.runs)
+                self.runs.append(runs)
+                self.size.append(1 + sum(self.size[k] for r in runs for k in r[1]))
+            node.shape = self.ids[key]
+
+    def _worth(self, u: tuple, v: tuple) -> int:
+        """Nodes that match in two runs of one label, whose pairs are known."""
+        key = u[2], v[2]
+        if key not in self.worths:
+            self.worths[key] = sum(self.size[p] if p == q else self.known[p, q] for p, q in zip(u[1], v[1], strict=False))
+        return self.worths[key]
+
+    def _missing(self, x: list, y: list) -> list[tuple[int, int]]:
+        """Pairs of shapes that have to be known to align two lists of runs."""
+        start, end = _ends(x, y)
+        by_label: dict = {}
+        for v in {r[2]: r for r in y[start : len(y) - end]}.values():
+            by_label.setdefault(v[0], []).append(v)
+        pairs = [*zip(x[:start], y[:start], strict=True), *zip(x[len(x) - end :], y[len(y) - end :], strict=True)]
+        pairs += [(u, v) for u in {r[2]: r for r in x[start : len(x) - end]}.values() for v in by_label.get(u[0], ())]
+        return [(p, q) for u, v in pairs if (u[2], v[2]) not in self.worths for p, q in zip(u[1], v[1], strict=False) if p != q and (p, q) not in self.known]
+
+    def _weights(self, x: list, y: list) -> list:
+        """For each run of x the runs of y with its label, and what each is worth."""
+        columns: dict = {}
+        for j, v in enumerate(y):
+            columns.setdefault(v[0], []).append(j)
+        memo: dict = {}
+        for u in x:
+            if u[0] in columns and u[2] not in memo:
+                memo[u[2]] = np.array(columns[u[0]]), np.array([self._worth(u, y[j]) for j in columns[u[0]]], dtype=np.int64)
+        return [memo.get(u[2]) for u in x]
+
+    @staticmethod
+    def _next(row: np.ndarray, weights) -> np.ndarray:
+        """The next row of the table of best sums."""
+        best = row.copy()
+        if weights is not None:
+            j, w = weights
+            best[j + 1] = np.maximum(best[j + 1], row[j] + w)
+        return np.maximum.accumulate(best)
+
+    def _total(self, x: list, y: list) -> int:
+        start, end = _ends(x, y)
+        total = sum(self._worth(u, v) for u, v in [*zip(x[:start], y[:start], strict=True), *zip(x[len(x) - end :], y[len(y) - end :], strict=True)])
+        x, y = x[start : len(x) - end], y[start : len(y) - end]
+        row = np.zeros(len(y) + 1, dtype=np.int64)
+        for weights in self._weights(x, y) if x and y else ():
+            row = self._next(row, weights)
+        return total + int(row[-1])
+
+    def score(self, pairs: list[tuple[int, int]]) -> None:
+        """Works out how many nodes match below and at pairs of shapes, by simple tree matching; a stack instead of recursion."""
+        stack = list(pairs)
+        while stack:
+            p, q = stack[-1]
+            if p == q or (p, q) in self.known:
+                stack.pop()
+            elif need := self._missing(self.runs[p], self.runs[q]):
+                stack.extend(need)
+            else:
+                self.known[p, q] = 1 + self._total(self.runs[p], self.runs[q])
+                stack.pop()
+
+    def chosen(self, x: list, y: list) -> list[tuple[int, int]]:
+        """The places of the runs that are matched. Rows of the table are kept at every root of their number, and those between worked out again."""
+        start, end = _ends(x, y)
+        out = [(k, k) for k in range(start)] + [(len(x) - end + k, len(y) - end + k) for k in range(end)]
+        x, y = x[start : len(x) - end], y[start : len(y) - end]
+        if not x or not y:
+            return out
+        weights = self._weights(x, y)
+        step = math.isqrt(len(x)) + 1
+        row, kept = np.zeros(len(y) + 1, dtype=np.int64), []
+        for i, w in enumerate(weights):
+            if i % step == 0:
+                kept.append(row)
+            row = self._next(row, w)
+        i, j, rows, first = len(x), len(y), [], len(x) + 1
+        while i and j:
+            if i - 1 < first:
+                first = (i - 1) // step * step
+                rows = [kept[first // step]]
+                for w in weights[first:i]:
+                    rows.append(self._next(rows[-1], w))
+            here, above = rows[i - first], rows[i - 1 - first]
+            if x[i - 1][0] == y[j - 1][0] and here[j] == above[j - 1] + self._worth(x[i - 1], y[j - 1]):
+                out.append((start + i - 1, start + j - 1))
+                i, j = i - 1, j - 1
+            elif here[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+        return out
+
+
+def match(a: Node, b: Node, shapes: Shapes | None = None) -> list[tuple[Node, Node]]:
+    """Simple tree matching: the matched pairs of two equally labelled nodes; ``shapes`` has numbered b."""
+    if shapes is None:
+        shapes = Shapes()
+        shapes.number(b)
+    shapes = Shapes(shapes)
+    shapes.number(a)
+    pairs, stack = [], [(a, b)]
     while stack:
         x, y = stack.pop()
         pairs.append((x, y))
-        sure, cells, rows, cols = _cells(x, y)
-        chosen = sure
-        if cells:
-            start, _ = _ends(_runs(x), _runs(y))
-            runs = {c: (_runs(x)[start + c[0]], _runs(y)[start + c[1]]) for c in cells}
-            best = {c: sum(_score(p, q, known) for p, q in zip(u, v, strict=False)) for c, (u, v) in runs.items()}
-            table, i, j = _table(best, rows, cols), rows, cols
-            while i and j:
-                if (i - 1, j - 1) in best and table[i][j] == table[i - 1][j - 1] + best[i - 1, j - 1]:
-                    chosen = [*chosen, runs[i - 1, j - 1]]
-                    i, j = i - 1, j - 1
-                elif table[i][j] == table[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-        stack.extend((p, q) for u, v in chosen for p, q in zip(u, v, strict=False))
+        rx, ry = shapes.runs[x.shape], shapes.runs[y.shape]
+        shapes.score(shapes._missing(rx, ry))
+        for i, j in shapes.chosen(rx, ry):
+            stack.extend(zip(_runs(x)[i], _runs(y)[j], strict=False))
     return pairs
 
 
@@ -352,15 +440,16 @@ def _content_blocks(root: Node, region: int | None) -> list[tuple[Node, str]]:
 
 
 @lru_cache(maxsize=256)
-def _reference(page: str, region: int | None) -> tuple[Node, dict[int, int], dict[int, list[str]]]:
-    """A reference's tree, its block elements' numbers and texts; kept while pages of its host follow."""
-    root = parse(page)
+def _reference(page: str, region: int | None) -> tuple[Node, dict[int, int], dict[int, list[str]], Shapes]:
+    """A reference's tree, its block elements' numbers and texts, its shapes; kept while pages of its host follow."""
+    root, shapes = parse(page), Shapes()
+    shapes.number(root)
     numbers: dict[int, int] = {}
     texts: dict[int, list[str]] = {}
     for node, text in _content_blocks(root, region):
         i = numbers.setdefault(id(node), len(numbers))
         texts.setdefault(i, []).append(text)
-    return root, numbers, texts
+    return root, numbers, texts, shapes
 
 
 def _path(node: Node, known: dict[int, int]) -> int:
@@ -380,9 +469,9 @@ def _path(node: Node, known: dict[int, int]) -> int:
 def aligned(page: str, reference: str, region: int | None = None) -> tuple[list[int], list[bool], list[str], list[int]]:
     """For each block of the article: its slot in the reference (-1 if new), whether the text is the reference's, the text, the hash of its path."""
     root = parse(page)
-    other, numbers, texts = _reference(reference, region)
+    other, numbers, texts, shapes = _reference(reference, region)
     slot: dict[int, int] = {}
-    for a, b in match(root, other):
+    for a, b in match(root, other, shapes):
         if id(b) in numbers:
             slot[id(a)] = numbers[id(b)]
     nodes, same, out, paths = [], [], [], []

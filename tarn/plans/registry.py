@@ -5,11 +5,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators import answers, asof, automaton, chat, gram_index, intervals, listing, quality, render
+from tarn.operators import answers, asof, automaton, chat, content_chunks, gram_index, intervals, lattice, listing, quality, render, sketches, vectors
 from tarn.operators.search import all_hits, chunks, search, search_many
 from tarn.schemas import DEPARTMENTS, EMPTY_TEXTS, FALLBACK_SUMMARIES, FILES, GREETING, GUIDE_SOURCE, HEADERS, NO_SUMMARY, ORG, PRESETS, RESET_GREETING, ROUTES
 from tarn.sources.catalog import ORD, Catalog, parquet, read_binary_base64, scratch_dir
 from tarn.functions.text import tokens, tokens_col
+from tarn.streaming import chat_state, sessions
 
 QUERY = "thshed onering, ering? la thshed"
 LANGS = (("en", "English"), ("de", "German"), ("fr", "French"), ("xx", "None"))
@@ -182,7 +183,64 @@ def _during(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("left_event_id").agg(F.count("*").alias("n"), F.sum("right_event_id").alias("sum_events"))
 
 
+def _sketched(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches of each year's lines, stored year by year; a union of three years against exact counts."""
+    lines = parquet(spark, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate")
+    path, year, columns = scratch_dir(spark), F.year("l_shipdate"), ["l_orderkey", "l_extendedprice"]
+    for upto in (1996, 2100):  # the second time only later years are read into sketches
+        sketches.store(lines.where(year <= upto), year, columns, path)
+    told = sketches.merged(sketches.stored(spark, path).where("part IN ('1995', '1996', '1997')"))
+    some = lines.where(year.isin(1995, 1996, 1997)).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
+    exact = some.join(F.broadcast(told.select("column", F.col("q")[0].alias("median"))), "column").groupBy("column").agg(F.countDistinct("v").alias("n_exact"), F.avg((F.col("v") <= F.col("median")).cast("int")).alias("rank"))
+    near = lambda a, b, by: F.abs(a - b) <= by
+    return told.join(exact, "column").select("column", "n", "n_null", "n_exact", near(F.col("n_distinct"), F.col("n_exact"), F.col("n_exact") * sketches.distinct_bound()).alias("distinct_within"), near(F.col("rank"), F.lit(0.5), F.lit(2 * sketches.rank_bound())).alias("median_within"))
+
+
+def _cubed(spark: SparkSession, d: str) -> DataFrame:
+    lines = parquet(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.year("l_shipdate").alias("year"), "l_quantity", "l_extendedprice")
+    return lattice.cube(lines, ["l_returnflag", "l_linestatus", "year"], {"n": ("count", "l_quantity"), "sum_qty": ("sum", "l_quantity"), "min_price": ("min", "l_extendedprice"), "max_price": ("max", "l_extendedprice")})
+
+
+def _chunked(spark: SparkSession, d: str) -> DataFrame:
+    """Each document put together again from its chunks."""
+    whole = content_chunks.joined(content_chunks.chunks(parquet(spark, d, "documents")))
+    return whole.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256"))
+
+
+def _stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of users' events, read as a stream; those that are final at its end."""
+    base = scratch_dir(spark)
+    feed = parquet(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value"))
+    feed.write.parquet(f"{base}/feed")
+    out = sessions.sessions(spark.readStream.schema(feed.schema).parquet(f"{base}/feed"), "user_id", "ts", "value", "30 minutes", "10 minutes")
+    sessions.run(out, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{base}/out").select("user_id", "start", "end", "n", F.round("total", 2).alias("total"))
+
+
+def _stream_chat(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations fed to the chat state in two runs, the second from the checkpoint of the first."""
+    base = scratch_dir(spark)
+    at = F.timestamp_seconds(1_704_067_200 + F.col("turn") * 60)
+    feed = parquet(spark, d, "conversations").select("conv_id", at.alias("at"), "role", F.col("text").alias("content"), "turn")
+    for part in (feed.where("turn < 3"), feed.where("turn >= 3")):
+        part.drop("turn").write.mode("append").json(f"{base}/feed")
+        turns = chat_state.turns(spark.readStream.schema(chat_state.MESSAGES).json(f"{base}/feed"), "1 day")
+        sessions.run(turns, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(chat_state.TURNS).parquet(f"{base}/out")
+
+
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
+    embeddings = parquet(spark, d, "embeddings")
+    return vectors.nearest(embeddings, embeddings.where("vec_id % 50 = 0"), 10, 64).select("q", F.col("rk").cast("long").alias("rk"), "id")
+
+
 QUERIES = {
+    "sketch_years": _sketched,
+    "cube_lineitem": _cubed,
+    "content_chunks": _chunked,
+    "stream_sessions": _stream_sessions,
+    "stream_chat": _stream_chat,
+    "vector_nearest": _nearest,
     "search_indexed": lambda s, d: gram_index.indexed_hits(s, _indexed(s, d)[0], QUERY),
     "search_indexed_topk": lambda s, d: gram_index.indexed_search(s, *_indexed(s, d), QUERY).select("ord", "score", "title", "dept_name", "text", "source_url"),
     "search_many_corpus": lambda s, d: search_many(_asked(s, d), chunks(_docs(s, d), "doc_id")).select("q_id", F.col("rk").cast("long").alias("rk"), "score", "ord"),
@@ -366,4 +424,15 @@ ORACLE |= {
  AND a.o_orderdate < b.o_orderdate + INTERVAL 45 DAY AND b.o_orderdate < a.o_orderdate + INTERVAL 45 DAY""",
     "interval_during_errors": """WITH e AS (SELECT event_id, event_type, ts, ts + to_seconds(CASE WHEN value >= 0 THEN CAST(floor(value * 60) AS INT) ELSE 0 END) AS until FROM events)
 SELECT a.event_id AS left_event_id, count(*) AS n, CAST(sum(b.event_id) AS BIGINT) AS sum_events FROM e a JOIN e b ON a.event_type = 'error' AND b.event_type <> 'error' AND a.ts <= b.until AND b.ts <= a.until GROUP BY 1""",
+    "sketch_years": """SELECT 'l_orderkey' AS "column", count(*) AS n, CAST(0 AS BIGINT) AS n_null, count(DISTINCT l_orderkey) AS n_exact, TRUE AS distinct_within, TRUE AS median_within FROM lineitem WHERE year(l_shipdate) IN (1995, 1996, 1997)
+ UNION ALL SELECT 'l_extendedprice', count(*), 0, count(DISTINCT l_extendedprice), TRUE, TRUE FROM lineitem WHERE year(l_shipdate) IN (1995, 1996, 1997)""",
+    "cube_lineitem": """SELECT l_returnflag, l_linestatus, CAST(year AS INT) AS year, CAST(grouping(l_returnflag, l_linestatus, year) AS BIGINT) AS grouping_id, count(l_quantity) AS n, sum(l_quantity) AS sum_qty, min(l_extendedprice) AS min_price, max(l_extendedprice) AS max_price
+ FROM (SELECT *, year(l_shipdate) AS year FROM lineitem) GROUP BY CUBE (l_returnflag, l_linestatus, year)""",
+    "content_chunks": "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS sha256 FROM documents WHERE text <> ''",
+    "stream_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)""",
+    "stream_chat": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text AS content FROM conversations",
+    "vector_nearest": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
+SELECT a.vec_id AS q, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS rk, b.vec_id AS id FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY rk <= 10""",
 }

@@ -4,6 +4,8 @@ A missing file gives an empty frame of the declared schema.  CSV rows carry
 ``_ord``, their place in the file, because "first" always means file order.
 """
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -54,15 +56,35 @@ class Catalog:
             return self.empty(name)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one, on a local master only."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tarn-')}"
-    return f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        if not spark.sparkContext._jsc.sc().isStopped():
+            remove(spark, path)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below ``shared_folder``, deleted when the program ends."""
+    path = f"{shared_folder(spark)}/tarn-{uuid.uuid4().hex}"
+    atexit.register(_remove_at_exit, spark, path)
+    return path
 
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,8 +6,8 @@ conversation is; it lives in the stream's checkpoint, from which a restart goes
 time ends: its state goes, and a next message begins again at turn 0.  A group is one conversation's messages of one
 batch, whose size the source bounds (``maxFilesPerTrigger``).
 
-Null times count as the beginning of time; rows with a null conv_id are a conversation of their own. A row older than the
-watermark still gets its turn.
+A row older than the watermark, or without a time, is late: it gets no turn and is counted (``sessions.Ended``).  Rows with a
+null conv_id are a conversation of their own.
 """
 
 from collections.abc import Iterator

@@ -61,12 +61,32 @@ l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matc
 b AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words FROM d JOIN l ON l.doc_id = d.doc_id LEFT JOIN v ON v.doc_id = d.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b"""
 
-PII_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS ip,
- list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM d)
-SELECT doc_id, len(email) AS n_email, len(list_filter(ip, lambda x: list_max(list_transform(string_split(x, '.'), lambda p: CAST(p AS HUGEINT))) <= 255)) AS n_ip,
- len(list_filter(card, lambda x: length(x) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN CAST(x[length(x) - i + 1] AS INT) > 4 THEN CAST(x[length(x) - i + 1] AS INT) * 2 - 9 ELSE CAST(x[length(x) - i + 1] AS INT) * 2 END ELSE CAST(x[length(x) - i + 1] AS INT) END)) % 10 = 0)) AS n_card,
- len(list_filter(phone, lambda x: length(x) BETWEEN 9 AND 15)) AS n_phone FROM m"""
+_DIGITS = "regexp_replace(x.v, '[^0-9]', '', 'g')"
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN CAST(d[length(d) - i + 1] AS INT) > 4 THEN CAST(d[length(d) - i + 1] AS INT) * 2 - 9 ELSE CAST(d[length(d) - i + 1] AS INT) * 2 END ELSE CAST(d[length(d) - i + 1] AS INT) END)) % 10 = 0"
+#: Kind, pattern, and the test of a match x (x.v its text).
+_PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "TRUE"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(x.v, '.'), lambda p: CAST(p AS HUGEINT))) <= 255"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND len(list_filter([{_DIGITS}], lambda d: {_LUHN})) = 1"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+)
+
+
+def _spans_sql(kind: str, regex: str, good: str) -> str:
+    """Matches of one kind as structs (s, e, v): a start is what the gaps and matches before it have together."""
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{regex}')) + 1), lambda i: struct_pack(
+ s := list_sum(list_transform(regexp_split_to_array(t, '{regex}')[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{regex}')[1:i - 1], lambda g: length(g))), 0), v := regexp_extract_all(t, '{regex}')[i])), lambda x: {good}) AS {kind}"""
+
+
+PII_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, "
+    + ", ".join(_spans_sql(*x) for x in _PII)
+    + " FROM d) SELECT doc_id, "
+    + ", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}" for k, *_ in _PII)
+    + ", sha256(array_to_string(list_concat("
+    + ", ".join(f"list_transform({k}, lambda x: '{k}:' || CAST(x.s AS BIGINT) || ':' || CAST(x.s + length(x.v) AS BIGINT))" for k, *_ in _PII)
+    + "), ',')) AS base_sha256 FROM m"
+)
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +94,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+    return op9_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
 
 
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +110,17 @@ def packing_covers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, and how many shards each text lies in."""
+    """Sizes, how many shards each text lies in, whether a shard's slots are gapless and its bytes near the mean: no farther over it than the largest group of equal texts."""
     out = op10_kd_shards(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     both = out.join(docs, "doc_id")
     per = both.groupBy("h").agg(F.countDistinct("shard").alias("shards_of_text"))
-    return both.join(per, "h").select("doc_id", "size", "shards_of_text", F.col("shard").between(0, 39).alias("in_range"))
+    top = both.groupBy("h").agg(F.sum("size").alias("g")).agg(F.max("g").alias("g"))
+    shards = out.groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("c"), F.countDistinct("slot").alias("d"), F.min("slot").alias("low"), F.max("slot").alias("high"))
+    mean = out.agg((F.sum("size") / 40).alias("mean"))
+    law = shards.join(F.broadcast(top), F.lit(True)).join(F.broadcast(mean), F.lit(True))  # one row each
+    law = law.select("shard", ((F.col("low") == 0) & (F.col("c") == F.col("d")) & (F.col("high") == F.col("c") - 1)).alias("gapless"), (F.col("s") <= F.col("mean") + F.col("g")).alias("near_mean"))
+    return both.join(per, "h").join(F.broadcast(law), "shard").select("doc_id", "size", "shards_of_text", F.col("shard").between(0, 39).alias("in_range"), "gapless", "near_mean")  # 40 rows
 
 
 CHECKS = {"quality_base": quality_base, "pii_base": pii_base, "bpe_round_trip": bpe_round_trip, "packing_covers": packing_covers, "shard_law": shard_law}
@@ -104,5 +129,5 @@ CHECKS_SQL = {
     "pii_base": PII_SQL,
     "bpe_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents",
     "packing_covers": "SELECT doc_id, CAST(1 AS BIGINT) AS firsts, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS beyond, CAST(0 AS BIGINT) AS bad_sequences FROM documents",
-    "shard_law": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, CAST(1 AS BIGINT) AS shards_of_text, TRUE AS in_range FROM documents",
+    "shard_law": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, CAST(1 AS BIGINT) AS shards_of_text, TRUE AS in_range, TRUE AS gapless, TRUE AS near_mean FROM documents",
 }

@@ -13,6 +13,8 @@ mean of its values, a value that is no seed the best of its patterns of
 enough support.  Patterns over THRESHOLD give the kind ``id``: all their
 candidates that no base span touches, seen or unseen, everywhere.  Values assigned to a seed
 word have it too, however rare their pattern is: support is for spreading only.
+Up to four blanks may stand between what assigns and the value; of what stands before a value, its last CONTEXT characters
+make the pattern.
 
 Null or empty text has no spans; repeated rows have equal spans; a row without
 an id has spans like any other; an empty table gives an empty result; columns of any name pass through ``redacted``.

@@ -1,7 +1,6 @@
 """What several operators need: shared tables and connected components."""
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,28 +8,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.sources.catalog import remove, shared_folder
 
 ID_BITS, MAX_BITS = 16, 1 << 27  # of the filter of wanted ids: for each id, and at most
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a temporary one, on a local master only."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        d = f"file://{tempfile.mkdtemp(prefix='tarn-')}"
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes the frame to the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarn-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tarn-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tarn_path = path
@@ -41,9 +30,7 @@ def dropped(*frames: DataFrame) -> None:
     """Deletes tables made by ``saved`` that no later step reads."""
     for df in frames:
         if path := getattr(df, "_tarn_path", None):
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            remove(df.sparkSession, path)
 
 
 def give_back() -> None:

@@ -20,7 +20,7 @@ label (see README); what is left then is exact work by blocks within labels.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite
 components, link with nothing; vectors of different lengths do not link.
-Repeated rows are vectors of their own, under one id; an empty table gives an empty result.
+Repeated rows, and different vectors under one id, are vectors of their own; an empty table gives an empty result.
 """
 
 from collections.abc import Iterator
@@ -51,6 +51,16 @@ def spread_out(units: list[np.ndarray], count: int) -> list[np.ndarray]:
     return out
 
 
+def distances(pivots: list[np.ndarray]) -> np.ndarray:
+    """Distances between unit vectors by their products; 0 between those of different lengths, which are never neighbours."""
+    out = np.zeros((len(pivots), len(pivots)))
+    for d in {len(p) for p in pivots}:
+        same = [i for i, p in enumerate(pivots) if len(p) == d]
+        x = np.array([pivots[i] for i in same])
+        out[np.ix_(same, same)] = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
+    return out
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The root of each of n items, links a[i]-b[i]: the smallest index reachable. By rounds of minima and pointer jumps."""
     root = np.arange(n)
@@ -100,12 +110,13 @@ def linked(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     rows = rows.withColumn("ok", F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     rows = rows.withColumn("v", F.when(F.col("ok"), F.element_at(F.transform(F.array(top), lambda m: F.transform("v", lambda x: x / m)), 1)))  # the largest component is 1: no square overflows or vanishes
     rows = rows.select("id", "label", "v", "ok", F.xxhash64("label", "v").alias("g1"), F.xxhash64("v", F.lit("second"), "label").alias("g2"))
-    groups = saved(rows.where("ok").groupBy("g1", "g2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").cast("string").alias("label"), F.first("v").alias("v")), "vectors")
+    groups = saved(rows.where("ok").groupBy("g1", "g2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").cast("string").alias("label"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     largest = groups.groupBy("label", F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     count = int(min(MAX_PIVOTS, max(1, -(-largest // CELL))))
     some = groups.orderBy("g1").select("v").limit(TRIED * count).collect()  # at most TRIED * MAX_PIVOTS vectors
     picked = spread_out([np.array(r.v) / np.linalg.norm(r.v) for r in some], count)
     pivots = spark.sparkContext.broadcast(picked)
+    apart = spark.sparkContext.broadcast(distances(picked))
     sine, angle = float(np.sqrt(1 - threshold**2)), float(np.arccos(threshold))
 
     def placed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,10 +157,8 @@ def linked(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
                 home, cos = placed(x)
                 to = np.zeros(cos.shape, dtype=bool)
                 if (home >= 0).all():  # a length without a pivot has one cell of its own
-                    p = [v if len(v) == x.shape[1] else np.zeros(x.shape[1]) for v in pivots.value]
-                    apart = np.sqrt(((np.array(p)[:, None] - np.array(p)[None]) ** 2).sum(2))[home]
                     mine = cos[np.arange(len(x)), home]
-                    to = (cos > -2) & (mine[:, None] - cos <= apart * sine + SLACK) & (np.arccos(np.clip(cos, -1, 1)) <= radius + angle + SLACK)
+                    to = (cos > -2) & (mine[:, None] - cos <= apart.value[home] * sine + SLACK) & (np.arccos(np.clip(cos, -1, 1)) <= radius + angle + SLACK)
                     to[np.arange(len(x)), home] = True
                 at, cell = np.nonzero(to) if (home >= 0).all() else (np.arange(len(x)), home)
                 out["row"] += rows[at].tolist()
@@ -157,35 +166,38 @@ def linked(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
                 out["own"] += (cell == home[at]).tolist()
                 out["v"] += [x[i].tobytes() for i in at.tolist()]
             row = pa.array(out["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("label").take(row), pa.array(out["cell"], pa.string()), pa.array(out["own"], pa.bool_()), b.column("rep").take(row), b.column("n").take(row), pa.array(out["v"], pa.binary())], names=["label", "cell", "own", "rep", "n", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("label").take(row), pa.array(out["cell"], pa.string()), pa.array(out["own"], pa.bool_()), b.column("node").take(row), b.column("n").take(row), pa.array(out["v"], pa.binary())], names=["label", "cell", "own", "node", "n", "v"])
 
-    cells = saved(groups.select("label", "rep", "n", "v").mapInArrow(spread, "label string, cell string, own boolean, rep long, n long, v binary"), "cells")
+    cells = saved(groups.select("label", "node", "n", "v").mapInArrow(spread, "label string, cell string, own boolean, node long, n long, v binary"), "cells")
     sizes = cells.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     all_parts = F.sequence(F.lit(0), F.col("parts") - 1)
     both = cells.join(sizes, ["label", "cell"]).withColumn("part", part)
-    as_other = both.select("label", "cell", F.lit(False).alias("left"), "rep", "n", "v", "part", F.explode(all_parts).alias("against")).select("label", "cell", "left", "rep", "n", "v", F.col("against").alias("p"), F.col("part").alias("q"))
-    as_own = both.where("own").select("label", "cell", F.lit(True).alias("left"), "rep", "n", "v", "part", F.explode(all_parts).alias("against")).select("label", "cell", "left", "rep", "n", "v", F.col("part").alias("p"), F.col("against").alias("q"))
+    as_other = both.select("label", "cell", F.lit(False).alias("left"), "node", "n", "v", "part", F.explode(all_parts).alias("against")).select("label", "cell", "left", "node", "n", "v", F.col("against").alias("p"), F.col("part").alias("q"))
+    as_own = both.where("own").select("label", "cell", F.lit(True).alias("left"), "node", "n", "v", "part", F.explode(all_parts).alias("against")).select("label", "cell", "left", "node", "n", "v", F.col("part").alias("p"), F.col("against").alias("q"))
 
     def join_cell(pdf: pd.DataFrame) -> pd.DataFrame:
         own, other = pdf[pdf.left], pdf[~pdf.left]
         if not len(own) or not len(other):
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
+            return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
         x, y = (np.frombuffer(b"".join(f.v), dtype=np.float64).reshape(len(f), -1) for f in (own, other))
         counts, a, b = _links(x, y, other.n.to_numpy(), threshold)
-        ids = np.concatenate([own.rep.to_numpy(), other.rep.to_numpy()])
+        ids = np.concatenate([own.node.to_numpy(), other.node.to_numpy()])
         distinct, place = np.unique(ids, return_inverse=True)
         root = distinct[forest(len(distinct), place[a], place[len(own) + b])]
         links = np.zeros(len(distinct), dtype=np.int64)
         links[place[: len(own)]] = counts
         told = (root != distinct) | (links > 0)
-        return pd.DataFrame({"rep": distinct[told], "links": links[told], "root": root[told]})
+        return pd.DataFrame({"node": distinct[told], "links": links[told], "root": root[told]})
 
-    found = saved(as_own.unionAll(as_other).groupBy("label", "cell", "p", "q").applyInPandas(join_cell, "rep long, links long, root long"), "links")
+    found = saved(as_own.unionAll(as_other).groupBy("label", "cell", "p", "q").applyInPandas(join_cell, "node long, links long, root long"), "links")
     dropped(cells)
-    comps = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_group = groups.select("g1", "g2", "rep").join(links, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("g1", "g2", "links", F.coalesce("component", "rep").alias("component"))
+    comps = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    tree = groups.select("g1", "g2", "rep", "node").join(links, "node", "left").join(comps.withColumnRenamed("id", "node"), "node", "left")
+    tree = saved(tree.withColumn("tree", F.coalesce("component", "node")).select("g1", "g2", "rep", "links", "tree"), "trees")
+    least = saved(tree.groupBy("tree").agg(F.min("rep").alias("component")), "least")  # written first, so that adaptive execution can split a large component
+    per_group = tree.join(least, "tree").select("g1", "g2", "links", "component")
     out = rows.drop("label", "v").join(per_group, ["g1", "g2"], "left")
     component = F.when(F.col("ok"), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.when(F.col("ok"), F.greatest(F.col("links") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

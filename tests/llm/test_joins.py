@@ -231,11 +231,12 @@ def test_vectors(spark, monkeypatch, cell, block):
     rows += [(500 + i, [1.0 + 0.02 * float(x) for x in rng.normal(size=8)], 1) for i in range(80)]
     rows += [(600, None, 1), (601, [0.0] * 8, 1), (602, [None] + [1.0] * 7, 1), (603, [float("nan")] * 8, 1), (604, [1.0] * 8, None), (605, [], 1), (606, [1.0, 2.0], 1), (607, [2.0, 4.0], 1)]
     rows += [(700, [1e200] * 8, 1), (701, [3e-200] * 8, 1), (702, [1e308] * 7 + [9e307], 1)]
+    rows += [(7, rows[9][1], rows[9][2]), (7, rows[300][1], rows[300][2]), (510, rows[11][1], rows[11][2]), (511, rows[12][1], rows[12][2])]  # different vectors under one id
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert sorted(map(tuple, embedding_join.linked(df).collect())) == brute_vectors(rows)
     assert embedding_join.linked(df.limit(0)).count() == 0
     clash = df.selectExpr("*", "'a' AS id", "'b' AS v", "'c' AS g1", "1 AS n").where("vec_id < 20")
-    assert embedding_join.linked(clash).count() == 20
+    assert embedding_join.linked(clash).count() == clash.count()
 
 
 def test_vectors_that_are_only_null(spark):

@@ -80,12 +80,22 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _links(own: np.ndarray, other: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted link counts of ``own`` rows among ``other``, and links (own, other) that connect what is linked; slices keep memory small."""
-    na, nb = np.sqrt((own * own).sum(1)), np.sqrt((other * other).sum(1))
+    """Weighted link counts of ``own`` rows among ``other``, and links (own, other) that connect what is linked; slices keep memory small.
+
+    Cosines are taken in single precision first; only those within its rounding error of the threshold are worked out in double precision.
+    """
+    own, other = (m / np.sqrt((m * m).sum(1))[:, None] for m in (own, other))
+    rough_own, rough_other = own.astype(np.float32), np.ascontiguousarray(other.T, dtype=np.float32)
+    error = (own.shape[1] + 8) * 2.0**-23
     counts, a, b = np.zeros(len(own), dtype=np.int64), [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for i in range(0, len(own), 512):
-        cos = (own[i : i + 512] @ other.T) / (na[i : i + 512, None] * nb[None, :])
-        x, y = np.nonzero(cos >= threshold)
+        cos = rough_own[i : i + 512] @ rough_other
+        x, y = np.nonzero(cos >= threshold - error)
+        doubt = np.flatnonzero(cos[x, y] < threshold + error)
+        wrong = [k[np.einsum("ij,ij->i", own[x[k] + i], other[y[k]]) < threshold] for k in np.split(doubt, range(8192, len(doubt), 8192))]
+        keep = np.ones(len(x), dtype=bool)
+        keep[np.concatenate(wrong)] = False
+        x, y = x[keep], y[keep]
         counts[i : i + 512] = np.bincount(x, weights=weights[y], minlength=len(cos)).astype(np.int64)
         root = forest(len(cos) + len(other), x, len(cos) + y)
         lead = root[len(cos) :]  # of each other row: the smallest own row of its tree, if it has one

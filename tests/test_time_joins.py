@@ -95,3 +95,14 @@ def test_a_long_interval_is_not_copied_to_short_buckets(spark):
     side = intervals._side(a, [], "s", "e", False)
     assert intervals._at(side, side["level"]).count() <= 2
     assert intervals.overlapping(a, b, ("s", "e"), ("s", "e")).count() == 20
+
+
+def test_hot_key_is_cut_into_slices(spark):
+    """One key's times fall into about equal slices, so that no window holds most of its rows."""
+    from pyspark.sql import functions as F
+
+    times = spark.range(1000).select((F.col("id") * F.col("id")).cast("long").alias("t"))
+    edges = asof._edges(times, times, 8)
+    assert len(edges) == 7
+    sizes = [r["count"] for r in times.groupBy(asof._slice(F.col("t"), edges).alias("s")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 200

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,8 +106,11 @@ def postings(found: DataFrame, block: int = BLOCK, block_chars: int = BLOCK_CHAR
 
 def build(found: DataFrame, path: str, **sizes: int) -> None:
     """Writes the index of chunks to ``path``, in order of trigram; a frequent trigram's blocks spread over files."""
-    lists = postings(found, **sizes)
-    lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block", "part").write.mode("errorifexists").option("parquet.block.size", ROW_GROUP).parquet(path)
+    lists = postings(found, **sizes).persist(StorageLevel.DISK_ONLY)  # the ranges come from a sample, which would make all lists twice
+    try:
+        lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block", "part").write.mode("errorifexists").option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        lists.unpersist()
 
 
 def _wanted(queries: list[str]) -> Column:

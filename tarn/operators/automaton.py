@@ -7,21 +7,26 @@ keyword, and all stretches of a batch advance together, a character at a time.
 The automaton is built in Spark, in shards: keywords are dealt out by hash so that a shard has about SHARD_CHARS
 characters, and each shard's table is made in a task.  Only the finished tables, whose size the shards bound, are broadcast; the
 keywords never form a list on the driver. A shard's table has at most its characters + 1 rows and as many
-columns as it has different characters; where that would pass CELLS, the shard is split.  Each shard reads the texts
-once; at SHARD_CHARS characters that is one scan for some 20000 words.
+columns as it has different characters; where that would pass CELLS, the shard is split.  An automaton serves one shard;
+more keywords than that go into ``keyword_tables``, so that texts are not read once for each 20000 words.
 
 Keywords longer than DEPTH code points enter the automaton with their first DEPTH, and the texts that
 have these are tested for the whole. Null and empty keywords are found nowhere; null texts hold nothing.
 """
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators import keyword_tables
+
 DEPTH = 64  # code points of a keyword that the automaton knows
 STRETCH = 2048  # characters that a stretch adds to the overlap
 SHARD_CHARS, CELLS = 200_000, 1 << 24  # of the keywords of a shard; of a table, 4 bytes each
@@ -145,38 +150,63 @@ def _loaded(row) -> tuple[int, Automaton]:
     return row["n"], Automaton(alphabet.astype(np.int64), np.frombuffer(row["go"], dtype=np.int32).reshape(len(word), -1), word, link)
 
 
-def contained(texts: DataFrame, words: DataFrame, id_col: str = "ord", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """(id, w): every keyword (w) that a text contains, once."""
-    spark = texts.sparkSession
-    shards = _shards(words, shard_chars)
-    kind = texts.schema[id_col].dataType.simpleString()
-    parts = None
-    for row in _tables(shards).toLocalIterator():  # one table of at most CELLS cells at a time
-        table, shard = spark.sparkContext.broadcast({k: row[k] for k in ("n", "alphabet", "go", "word", "link")}), row["shard"]
-
-        def run(batches: Iterator[pa.RecordBatch], table=table, shard=shard) -> Iterator[pa.RecordBatch]:
-            first, a = _loaded(table.value)
-            for b in batches:
-                texts, at = b.column(1).fill_null("").to_pylist(), 0
-                while at < len(texts):
-                    end, size = at, 0
-                    while end < len(texts) and (end == at or size + max(len(texts[end]), STRETCH // 8) <= BATCH_CHARS):
-                        size += max(len(texts[end]), STRETCH // 8)
-                        end += 1
-                    t, w = a.found(texts[at:end])
+def _looked_for(words: DataFrame, shard_chars: int, table_chars: int) -> tuple[DataFrame, Iterator[tuple[int, Broadcast, Callable]]]:
+    """(w, shard, number), and (shard, broadcast, function that loads something with ``found`` from its value) one after the other."""
+    kept = words.where("w IS NOT NULL AND w <> ''").select("w").distinct()
+    chars = kept.agg(F.coalesce(F.sum(F.length("w")), F.lit(0)).alias("c")).first()["c"]
+    if chars >= shard_chars:
+        shards = keyword_tables.numbered(kept, table_chars)
+        return shards, ((s, b, lambda x: (0, pickle.loads(x).ready())) for s, b in keyword_tables.tables(shards))
+    shards, spark = _shards(words, shard_chars), words.sparkSession
+    rows = _tables(shards).toLocalIterator()  # one table of at most CELLS cells at a time
+    return shards, ((r["shard"], spark.sparkContext.broadcast({k: r[k] for k in ("n", "alphabet", "go", "word", "link")}), _loaded) for r in rows)
+
+
+def _pairs(texts: DataFrame, text_col: str, table: Broadcast, load: Callable, counted: int | None, id_col: str | None, shard: int, schema: str) -> DataFrame:
+    """What a table finds: pairs (id, shard, number), or with ``counted`` (shard, number, n), a row for each number and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, a = load(table.value)
+        sums = np.zeros(counted or 0, dtype=np.int64)
+        for b in batches:
+            for at, some in keyword_tables.slices(b.column(b.num_columns - 1), BATCH_CHARS):
+                t, w = a.found(some)
+                if counted is not None:
+                    sums += np.bincount(w + first, minlength=counted)
+                else:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(t + at)), pa.array(np.full(len(w), shard), pa.int64()), pa.array(w + first, pa.int32())], names=[id_col, "shard", "number"])
-                    at = end
+        if counted is not None:
+            seen = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), shard), pa.int64()), pa.array(seen, pa.int32()), pa.array(sums[seen], pa.int64())], names=["shard", "number", "n"])
+
+    return texts.select(*[id_col] * (id_col is not None), text_col).mapInArrow(run, schema)
+
 
-        got = texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, shard long, number int")
-        parts = got if parts is None else parts.unionAll(got)
-    if parts is None:
+def contained(texts: DataFrame, words: DataFrame, id_col: str = "ord", text_col: str = "text", shard_chars: int = SHARD_CHARS, table_chars: int = keyword_tables.TABLE_CHARS) -> DataFrame:
+    """(id, w): every keyword (w) that a text contains, once."""
+    shards, those = _looked_for(words, shard_chars, table_chars)
+    kind = texts.schema[id_col].dataType.simpleString()
+    parts = [_pairs(texts, text_col, table, load, None, id_col, shard, f"`{id_col}` {kind}, shard long, number int") for shard, table, load in those]
+    if not parts:
         return texts.select(id_col, F.lit("").alias("w")).where(F.lit(False))
-    found = parts.join(shards, ["shard", "number"]).select(id_col, "w")
-    long = F.length("w") > DEPTH
+    found = reduce(DataFrame.unionAll, parts).join(shards, ["shard", "number"])
+    if "head" not in shards.columns:  # whole keywords were looked for
+        return found.select(id_col, "w")
+    found, long = found.select(id_col, "w"), F.length("w") > DEPTH
     checked = found.where(long).join(texts.select(id_col, text_col), id_col).where(F.contains(text_col, F.col("w"))).select(id_col, "w")
     return found.where(~long).unionAll(checked)
 
 
+def counted(texts: DataFrame, words: DataFrame, text_col: str = "text", table_chars: int = keyword_tables.TABLE_CHARS) -> DataFrame:
+    """(w, n): in how many texts each keyword is, without those that are in none; tasks count, so pairs of texts and keywords are never rows."""
+    shards, those = _looked_for(words, 0, table_chars)
+    sizes = {r["shard"]: r["c"] for r in shards.groupBy("shard").agg(F.count("*").alias("c")).collect()}  # a number for each table
+    parts = [_pairs(texts, text_col, table, load, sizes[shard], None, shard, "shard long, number int, n long") for shard, table, load in those]
+    if not parts:
+        return texts.select(F.lit("").alias("w"), F.lit(0).cast("long").alias("n")).where(F.lit(False))
+    return reduce(DataFrame.unionAll, parts).groupBy("shard", "number").agg(F.sum("n").alias("n")).join(shards, ["shard", "number"]).select("w", "n")
+
+
 def routed(questions: DataFrame, routes, id_col: str = "q_id", text_col: str = "question") -> DataFrame:
     """(id, route): the router of ``answers.route_col`` with all keywords looked for at once; for route tables of any size."""
     spark = questions.sparkSession

@@ -149,8 +149,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 def _keywords(spark: SparkSession, d: str) -> DataFrame:
     """In how many documents each token of the users' turns is."""
     words = _asked(spark, d).select(F.explode(tokens_col(F.col("question"))).alias("w"))
-    texts = parquet(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    return automaton.contained(texts, words).groupBy("w").agg(F.count("*").alias("n"))
+    return automaton.counted(parquet(spark, d, "documents").select(F.lower(F.coalesce("text", F.lit(""))).alias("text")), words)
 
 
 def _clicks(spark: SparkSession, d: str) -> DataFrame:

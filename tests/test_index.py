@@ -124,3 +124,40 @@ def test_ten_thousand_tokens(spark):
         score = {i: sum(w in t for w in tokens(question)) for i, t in rows.items()}
         want |= {(q, k + 1): (s, i) for k, (i, s) in enumerate(sorted([x for x in score.items() if x[1]], key=lambda x: (-x[1], x[0]))[:3])}
     assert {(r.q_id, r.rk): (r.score, r.ord) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("table_chars", [1 << 24, 12])
+def test_tables_equal_in(spark, table_chars):
+    """Keywords by length, in one table and in many; long ones and those of several code points; more of them read the texts no more often."""
+    texts = [(i, t) for i, _, t in corpus(60)] + [(7000, "x" * 300_000 + "needle" + "y" * 5000), (7001, ("q" * 70 + "z") * 200)]
+    words = sorted({w for _, t in texts if t for w in t.split(" ")[:3]} | {"needle", "ab", "b", "bc", "cab", "q" * 64, "q" * 65, "nothere", "é", "\0", "b a", "x" * 200 + "n"})
+    given = spark.createDataFrame([(w,) for w in words] + [("ab",), (None,), ("",)], "w string")
+    df = spark.createDataFrame(texts, "ord long, text string")
+    want = sorted((i, w) for i, t in texts for w in words if w and w in (t or ""))
+    out = automaton.contained(df, given, shard_chars=15, table_chars=table_chars)
+    assert sorted((r.ord, r.w) for r in out.collect()) == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 or table_chars < 15
+    counts = {r.w: r.n for r in automaton.counted(df, given, table_chars=table_chars).collect()}
+    assert counts == {w: n for w in words if (n := sum(x == w for _, x in want))}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"table_chars": 300, "chunk": 40}])
+def test_scores_by_block(spark, sizes, monkeypatch):
+    """Blocks of texts against chunks of questions; repeats, ties, weights beyond a byte, nulls."""
+    from tarn.functions.text import tokens_col
+    from tarn.operators import keyword_tables
+
+    if sizes:
+        monkeypatch.setattr(keyword_tables, "BLOCK_TEXTS", 7)
+        monkeypatch.setattr(keyword_tables, "BATCH_CHARS", 300)
+        monkeypatch.setattr(keyword_tables, "DENSE", 16)
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcd") for _ in range(r.randint(2, 5))) for _ in range(200)] + ["q" * 70]
+    texts = [(5 * i % 61, " ".join(r.choice(vocab) for _ in range(r.randint(0, 12)))) for i in range(61)] + [(99, None)]
+    asked = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(0, 9)))) for i in range(50)] + [(77, "ab " * 300 + "cd"), (78, None), (79, "zz")]
+    toks = spark.createDataFrame(asked, "q_id long, question string").select("q_id", F.explode(tokens_col(F.col("question"))).alias("w")).groupBy("q_id", "w").agg(F.count("*").alias("n"))
+    got = {}
+    for x in keyword_tables.scored(toks, spark.createDataFrame(texts, "ord long, text string"), 3, **sizes).collect():
+        got.setdefault(x.q_id, []).append((-x.score, x.ord))
+    want = {q: sorted((-s, i) for i, t in texts if (s := sum(w in (t or "") for w in tokens(a or ""))))[:3] for q, a in asked}
+    assert {q: sorted(v)[:3] for q, v in got.items()} == {q: v for q, v in want.items() if v}

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import first_existing, hits, safe_text, tokens, tokens_col
-from tarn.operators.automaton import contained
+from tarn.operators.keyword_tables import scored
 from tarn.sources.catalog import ORD
 
 
@@ -39,11 +39,9 @@ def search(found: DataFrame, query: str, limit: int = 3) -> DataFrame:
 def search_many(questions: DataFrame, found: DataFrame, limit: int = 3) -> DataFrame:
     """Top hits for each question (q_id, question), as an extension.
 
-    The questions' tokens are looked for by one automaton (``automaton.contained``), so chunks are scanned
-    once for some 20000 tokens; only (question, chunk) pairs with a hit are made. Repeats of a token count.
+    Chunks are read once for all tokens, and scores are added up block by block (``keyword_tables.scored``). Repeats of a token count.
     """
     toks = questions.select("q_id", F.explode(tokens_col(F.col("question"))).alias("w")).groupBy("q_id", "w").agg(F.count("*").alias("n"))
-    met = contained(found.select("ord", combined().alias("text")), toks.select("w"))
-    pairs = met.join(toks, "w").groupBy("q_id", "ord").agg(F.sum("n").cast("int").alias("score"))
+    best = scored(toks, found.select("ord", combined().alias("text")), limit)
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), F.asc("ord")))
-    return pairs.withColumn("rk", rank).where(F.col("rk") <= limit).join(found, "ord").select("q_id", "rk", "score", *found.columns)
+    return best.withColumn("rk", rank).where(F.col("rk") <= limit).join(found, "ord").select("q_id", "rk", "score", *found.columns)

@@ -11,14 +11,26 @@ The two joins are on (keys, level, bucket), sort-merge, so adaptive execution sp
 
 Intervals are closed, or without their end if ``half_open``; then empty ones overlap nothing.  Ends are whole
 numbers, dates or timestamps (compared in microseconds).  Intervals with a null or an end before the start, and rows with a null key, pair with nothing.
-Repeated rows pair each. The result has both sides' columns with a prefix each, so equal names do not clash.
+Repeated rows pair each.
+
+``summed`` gives how many right rows overlap each left one and the sum of a column of theirs without making a pair: those that begin until
+the left one's end less those that end before its start, both read from running sums over time.  These run within slices of
+time, whose number grows with the rows, and begin with what earlier slices hold.
+
+The result of ``overlapping`` has both sides' columns with a prefix each, so equal names do not clash.
 """
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.times import ticks
 
+SLICES, SLICE_ROWS = 1024, 100_000  # at most, and about so many different times in a slice
+
 
 def _level(length: Column) -> Column:
     """The smallest l with 2^l >= length: the bits of length - 1."""
@@ -64,3 +76,37 @@ def overlapping(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], r
     pairs = met(_at(a, F.col("level")), _sent(b, levels[0], False), "left").unionAll(met(_at(b, F.col("level")), _sent(a, levels[1], True), "right"))
     cols = [F.col(f"{s}.`{c}`").alias(f"{p}{c}") for s, df, p in (("l", left, prefixes[0]), ("r", right, prefixes[1])) for c in df.columns]
     return pairs.select(*cols)
+
+
+def summed(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], value: str, keys: list[str] | None = None, half_open: bool = False, slice_rows: int = SLICE_ROWS, prefix: str = "left_") -> DataFrame:
+    """Left rows that overlap a right row of equal keys, with n, the number of these, and total, the sum of their ``value`` (whole numbers; null adds nothing)."""
+    keys = keys or []
+    names = [f"k{i}" for i in range(len(keys))]
+    a, b = _side(left, keys, *left_ends, half_open), _side(right, keys, *right_ends, half_open)
+    v, zero, one = F.coalesce(F.col(f"row.`{value}`").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"), F.lit(1).cast("long")
+    none, sums = F.lit(0).cast("long"), ["begun", "begun_total", "over", "over_total"]
+    steps = [
+        b.select(*names, F.col("s").alias("t"), one.alias("begun"), v.alias("begun_total"), none.alias("over"), zero.alias("over_total"), F.lit(False).alias("asked")),
+        b.select(*names, F.col("e") + 1, none, zero, one, v, F.lit(False)),
+        *[a.select(*names, x, none, zero, none, zero, F.lit(True)) for x in ("s", "e")],
+    ]
+    # at one time all steps count, so a row a time is enough
+    times = reduce(DataFrame.unionAll, steps).groupBy(*names, "t").agg(*[F.sum(c).cast("decimal(38,0)" if "total" in c else "long").alias(c) for c in sums], F.max("asked").alias("asked"))
+    got = times.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("t", [i / SLICES for i in range(1, SLICES)], 10 * SLICES).alias("q")).first()
+    edges = np.array(sorted(set((got["q"] or [])[:: max(1, SLICES * slice_rows // max(got["n"], 1))])) if got["n"] > slice_rows else [], dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def slice_of(t: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, t.to_numpy(), side="right").astype(np.int32))
+
+    times = times.withColumn("slice", slice_of("t") if len(edges) else F.lit(0))
+    running = lambda w: [F.sum(c).over(w).alias(c) for c in sums]
+    whole = times.groupBy(*names, "slice").agg(*[F.sum(c).alias(c) for c in sums])
+    before = whole.select(*names, "slice", *running(Window.partitionBy(*names).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))  # at most SLICES rows a key
+    before = before.select(*names, "slice", *[F.coalesce(c, F.lit(0)).alias(f"before_{c}") for c in sums])
+    here = times.select(*names, "slice", "t", "asked", *running(Window.partitionBy(*names, "slice").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    known = here.where("asked").join(before, [*names, "slice"]).select(*names, "t", *[(F.col(c) + F.col(f"before_{c}")).alias(c) for c in sums])
+    until = known.select(*names, F.col("t").alias("e"), "begun", "begun_total")
+    ended = known.select(*names, F.col("t").alias("s"), "over", "over_total")
+    out = a.join(until, [*names, "e"]).join(ended, [*names, "s"]).withColumn("n", F.col("begun") - F.col("over")).where("n > 0")
+    return out.select(*[F.col(f"row.`{x}`").alias(f"{prefix}{x}") for x in left.columns], "n", (F.col("begun_total") - F.col("over_total")).cast("long").alias("total"))

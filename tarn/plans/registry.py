@@ -178,8 +178,8 @@ def _during(spark: SparkSession, d: str) -> DataFrame:
     """For each error, how many other events it lasts into; an event lasts ``value`` times a minute."""
     seconds = F.when(F.col("value") >= 0, F.floor(F.col("value") * 60)).otherwise(0)
     events = parquet(spark, d, "events").select("event_id", "event_type", "ts", F.timestamp_add("SECOND", seconds.cast("int"), "ts").alias("until"))
-    out = intervals.overlapping(events.where("event_type = 'error'").drop("event_type"), events.where("event_type <> 'error'").drop("event_type"), ("ts", "until"), ("ts", "until"))
-    return out.groupBy("left_event_id").agg(F.count("*").alias("n"), F.sum("right_event_id").alias("sum_events"))
+    out = intervals.summed(events.where("event_type = 'error'").drop("event_type"), events.where("event_type <> 'error'").drop("event_type"), ("ts", "until"), ("ts", "until"), "event_id")
+    return out.groupBy("left_event_id").agg(F.sum("n").alias("n"), F.sum("total").alias("sum_events"))
 
 
 def _sketched(spark: SparkSession, d: str) -> DataFrame:

@@ -51,8 +51,11 @@ def first_urls(assets: DataFrame, ord_col: str = ORD) -> DataFrame:
 
 def first_texts(assets: DataFrame, n: int = 3, cut: int = 500, ord_col: str = ORD) -> DataFrame:
     """dept, summary: the first n texts that aren't null, joined by a space and cut."""
-    rk = F.row_number().over(Window.partitionBy("dept").orderBy(ord_col))
-    top = assets.where(F.col("text").isNotNull()).select("dept", "text", ord_col).withColumn("rn", rk).where(F.col("rn") <= n)
+    rk = F.row_number().over(Window.partitionBy("dept").orderBy("o"))
+    rows = assets.where(F.col("text").isNotNull()).select("dept", "text", F.col(ord_col).alias("o"))
+    # places are ranked without their texts, so no task sorts or holds these; n rows a group find them again
+    first = rows.select("dept", "o").withColumn("rn", rk).where(F.col("rn") <= n).select(F.col("dept").alias("d"), F.col("o").alias("at")).distinct()
+    top = rows.join(F.broadcast(first), F.col("dept").eqNullSafe(F.col("d")) & F.col("o").eqNullSafe(F.col("at"))).select("dept", "text", "o").withColumn("rn", rk).where(F.col("rn") <= n)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("rn", "text"))), lambda x: x["text"])
     return top.groupBy("dept").agg(F.substring(F.array_join(parts, " "), 1, cut).alias("summary"))
 
@@ -60,7 +63,7 @@ def first_texts(assets: DataFrame, n: int = 3, cut: int = 500, ord_col: str = OR
 def group_overview(label_rows: DataFrame, assets: DataFrame, placeholder: str | Column = NO_SUMMARY, ord_col: str = ORD) -> DataFrame:
     """A row for each label, also without assets. Facts shrink to a row a group before the join."""
     known = label_rows.select("dept")
-    small = assets.join(known, "dept", "left_semi")  # Spark broadcasts labels if they are as few as usual
+    small = assets.join(F.broadcast(known), "dept", "left_semi")  # labels are a row a group of the overview; assets must not be dealt out by group
     out = label_rows
     out = out.join(first_texts(small, ord_col=ord_col), "dept", "left") if "text" in assets.columns else out.withColumn("summary", F.lit(None).cast("string"))
     out = out.join(first_urls(small, ord_col), "dept", "left") if "source_url" in assets.columns else out.withColumn("source_url", F.lit(None).cast("string"))

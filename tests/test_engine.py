@@ -68,6 +68,18 @@ def test_overview(spark):
     assert all(r.summary != NO_SUMMARY for r in listing.departments(spark, df.limit(0)).collect())
 
 
+def test_overview_moves_no_texts(spark):
+    """No text is sorted or shuffled before its group's first rows are known; equal places and null groups stay."""
+    df = spark.createDataFrame([(i // 2, ("aic", "ax", None)[i % 3], None if i == 4 else f"t{i}") for i in range(30)], "_ord long, dept string, text string")
+    out = listing.first_texts(df, 2)
+    got = {r.dept: r.summary for r in out.collect()}
+    assert got == {"aic": "t0 t3", "ax": "t1 t7", None: "t2 t5"}
+    plan = listing.departments(spark, df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("BroadcastHashJoin [dept", 1)[-1] and "LeftSemi, BuildRight" in plan
+    for line in out._jdf.queryExecution().executedPlan().toString().splitlines():
+        assert not ("WindowGroupLimit" in line and "Partial" in line and "text" in line)
+
+
 def test_chat(spark):
     h = chat.seed(spark, 7)
     reply = spark.createDataFrame([("yes", [("t", "m", "u")])], "answer string, sources array<struct<title:string,meta:string,url:string>>")

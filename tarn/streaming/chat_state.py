@@ -34,21 +34,20 @@ def turns(messages: DataFrame, idle: str = "1 hour", delay: str = "10 minutes")
         if state.hasTimedOut:
             state.remove()
             return
-        new = pd.concat(list(parts))
-        new["first"] = new["role"] != "user"
-        new = new.sort_values(["at", "first", "content"], kind="stable")
+        new = [x for p in parts for x in zip(p["at"].tolist(), p["role"].tolist(), p["content"].tolist(), strict=True)]
+        # lists: a conversation has few messages, for which a frame's own sorting takes longer than all else
+        new.sort(key=lambda x: (x[0], x[1] != "user", x[2] is None, x[2] or ""))
         after, last = state.get if state.exists else (0, 0.0)
         out = []
-        for at in new["at"]:
+        for at, *_ in new:
             now = at.timestamp()
             if after and now - last >= seconds:
                 after = 0
             out.append(after)
             after, last = after + 1, max(last, now)
-        new["turn"] = out
         state.update((after, last))
         state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield new[["conv_id", "turn", "role", "content"]]
+        yield pd.DataFrame({"conv_id": pd.Series([key[0]] * len(new), dtype="object" if key[0] is None else "int64"), "turn": out, "role": [x[1] for x in new], "content": [x[2] for x in new]})
 
     timed = messages.withColumn("at", F.coalesce("at", F.lit(0).cast("timestamp"))).withWatermark("at", delay)
     return timed.groupBy("conv_id").applyInPandasWithState(numbered, TURNS, "turn long, last double", "append", GroupStateTimeout.EventTimeTimeout)

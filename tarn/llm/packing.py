@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.bpe import ARRAY_PATTERN, Codec, byte_characters
-from tarn.llm.shared import give_back, saved, text_or_empty
+from tarn.llm.shared import give_back, in_parts, saved, text_or_empty
 
 WINDOW, END = 2048, 1
 FREQUENT, SWEEPS = 12, 12
+#: Bytes of texts or ids worked on at once, whatever a batch holds.
+PART = 1 << 21
 #: Sequence numbers of whole windows begin here, a range for each partition.
 WHOLE = 1 << 36
 
@@ -92,18 +94,19 @@ def tokenised(docs: DataFrame, path: str, id_col: str) -> DataFrame:
         pid = TaskContext.get().partitionId()
         seen, whole = np.zeros(WINDOW, dtype=np.int64), 0
         for b in batches:
-            ids, n, rests, ks, ws = [], [], [], [], []
-            for x in encoded(b.column(1).to_pylist(), path):
-                x = np.append(x, np.uint32(END)).astype("<u4")
-                r = len(x) % WINDOW
-                ids.append(x.astype(stored).tobytes())
-                n.append(len(x))
-                rests.append(r)
-                ks.append(int(seen[r]))
-                ws.append(whole)
-                seen[r] += 1
-                whole += len(x) // WINDOW
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(rests, pa.int32()), pa.array([pid] * len(n), pa.int64()), pa.array(ks, pa.int64()), pa.array(ws, pa.int64())], names=["id", "ids", "n", "rest", "pid", "k", "w"])
+            for first, some in in_parts(b.column(1), PART):
+                ids, n, rests, ks, ws = [], [], [], [], []
+                for x in encoded([t.decode() for t in some], path):
+                    x = np.append(x, np.uint32(END)).astype("<u4")
+                    r = len(x) % WINDOW
+                    ids.append(x.astype(stored).tobytes())
+                    n.append(len(x))
+                    rests.append(r)
+                    ks.append(int(seen[r]))
+                    ws.append(whole)
+                    seen[r] += 1
+                    whole += len(x) // WINDOW
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(rests, pa.int32()), pa.array([pid] * len(n), pa.int64()), pa.array(ks, pa.int64()), pa.array(ws, pa.int64())], names=["id", "ids", "n", "rest", "pid", "k", "w"])
         json_codec(path).forget()
         give_back()
 
@@ -224,21 +227,23 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
         for b in batches:
-            row, out, parts = [], [], []
-            ids, n, rest, pid, k, w, first = (b.column(c).to_pylist() for c in ("ids", "n", "rest", "pid", "k", "w", "first"))
-            for i in range(b.num_rows):
-                whole = n[i] // WINDOW
-                pieces = [(j * WINDOW, WINDOW, WHOLE * (pid[i] + 1) + w[i] + j, 0) for j in range(whole)]
-                if rest[i]:
-                    pieces += [(whole * WINDOW + at, size, s, o) for at, size, s, o in p.places(rest[i], first[i] + k[i])]
-                own = np.frombuffer(ids[i], dtype=stored).astype("<u4").tobytes()
-                for at, size, s, o in pieces:
-                    part = own[4 * at : 4 * (at + size)]
-                    row.append(i)
-                    out.append((at, size, zlib.crc32(part), n[i], s, o))
-                    parts.append(part)
-            cols = [pa.array([x[c] for x in out], pa.int64()) for c in range(6)]
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), *cols, *[pa.array(parts, pa.binary())][: int(with_ids)]], names=names)
+            for begin, ids in in_parts(b.column("ids"), PART):
+                row, out, parts = [], [], []
+                n, rest, pid, k, w, first = (b.column(c).slice(begin, len(ids)).to_pylist() for c in ("n", "rest", "pid", "k", "w", "first"))
+                for i in range(len(ids)):
+                    whole = n[i] // WINDOW
+                    pieces = [(j * WINDOW, WINDOW, WHOLE * (pid[i] + 1) + w[i] + j, 0) for j in range(whole)]
+                    if rest[i]:
+                        pieces += [(whole * WINDOW + at, size, s, o) for at, size, s, o in p.places(rest[i], first[i] + k[i])]
+                    own = np.frombuffer(ids[i], dtype=stored).astype("<u4").tobytes()
+                    for at, size, s, o in pieces:
+                        part = own[4 * at : 4 * (at + size)]
+                        row.append(begin + i)
+                        out.append((at, size, zlib.crc32(part), n[i], s, o))
+                        if with_ids:
+                            parts.append(part)
+                cols = [pa.array([x[c] for x in out], pa.int64()) for c in range(6)]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), *cols, *[pa.array(parts, pa.binary())][: int(with_ids)]], names=names)
         give_back()
 
     placed = rows.join(starts, ["pid", "rest"], "left")

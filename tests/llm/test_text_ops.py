@@ -133,6 +133,21 @@ def test_html_copies(spark):
     assert len(got) == 30 and set(got.values()) == {"Title\nAll of the text."}
 
 
+def test_packing_works_in_parts(spark, monkeypatch):
+    """However large a batch is, few texts are encoded and cut at once; places are the same."""
+    docs = spark.createDataFrame([(i, None if i % 9 == 5 else f"word{i} " * (i * 7 % 400)) for i in range(120)], "doc_id long, text string").coalesce(1)
+    path, encoded = P.path("byte_bpe_50k.json"), packing.encoded
+    want = sorted(packing.packed(docs, path, with_ids=True).collect())
+
+    def few(texts, path):
+        assert sum(map(len, texts[:-1])) <= 4000
+        return encoded(texts, path)
+
+    monkeypatch.setattr(packing, "encoded", few)
+    monkeypatch.setattr(packing, "PART", 4000, raising=False)
+    assert sorted(packing.packed(docs, path, with_ids=True).collect()) == want
+
+
 def test_packing_added_tokens(spark):
     """Strings of added tokens have their ids, as in the tokenizer's own default."""
     from tokenizers import Tokenizer

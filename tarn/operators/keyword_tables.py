@@ -12,6 +12,7 @@ rows of ones, rare ones place by place. Only the best texts of a question leave
 questions and texts are never rows.  The work is the product of questions and texts by nature; the memory of a group is bounded.
 """
 
+import contextlib
 import pickle
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 BLOCK_TEXTS, BLOCK_PAIRS = 1 << 15, 1 << 23  # of a block
 PART = 1 << 20  # pairs in a row
+BATCH_BYTES = 1 << 22  # of texts that go to a worker at once
 CHUNK = 1_000_000  # tokens of a chunk of questions
 DENSE = 1 << 26  # bytes of the rows of frequent tokens
 
@@ -188,10 +190,23 @@ def tables(shards: DataFrame) -> Iterator[tuple[int, object]]:
         yield row["shard"], shards.sparkSession.sparkContext.broadcast(bytes(row["data"]))
 
 
+@contextlib.contextmanager
+def _batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Meanwhile, rows go to Python workers in batches of about ``size`` bytes: whole ones lie in a worker several times."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _written(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    with _batches(spark, BATCH_BYTES):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -235,7 +250,7 @@ def _blocks(texts: DataFrame, those: list, id_col: str, kind: str) -> DataFrame:
                     words.append((n * n_shards + s).astype(np.int32))
                     at.append((t + held).astype(np.int32))
                     pairs += len(t)
-                ids.append(b.column(0).slice(first, len(some)))
+                ids.append(b.column(0).take(pa.array(np.arange(first, first + len(some)))))  # a slice would keep all texts of the batch
                 held += len(some)
         if held:
             yield from ended()

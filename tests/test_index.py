@@ -161,3 +161,21 @@ def test_scores_by_block(spark, sizes, monkeypatch):
         got.setdefault(x.q_id, []).append((-x.score, x.ord))
     want = {q: sorted((-s, i) for i, t in texts if (s := sum(w in (t or "") for w in tokens(a or ""))))[:3] for q, a in asked}
     assert {q: sorted(v)[:3] for q, v in got.items()} == {q: v for q, v in want.items() if v}
+
+
+def test_texts_of_a_block_are_not_kept(spark, monkeypatch):
+    """A block of many texts holds their numbers and words, not the batches they came in."""
+    from tarn.operators import keyword_tables
+
+    slices = keyword_tables.slices
+
+    def few(column, chars):
+        with open("/proc/self/status") as f:
+            held = next(int(line.split()[1]) for line in f if line.startswith("RssAnon"))
+        assert held < 150_000, f"{held} kB in a worker"
+        return slices(column, chars)
+
+    monkeypatch.setattr(keyword_tables, "slices", few)
+    texts = spark.range(12_000).select(F.col("id").alias("ord"), F.concat(F.lit("needle"), F.col("id"), F.repeat(F.lit(" abc"), 4000)).alias("text")).coalesce(1)
+    toks = spark.createDataFrame([(1, "needle2999", 1), (2, "nothere", 1)], "q_id long, w string, n long")
+    assert [tuple(r) for r in keyword_tables.scored(toks, texts, 3).collect()] == [(1, 2999, 1)]

@@ -2,7 +2,8 @@
 
 ``postings`` turns searched texts into posting lists: one row for each trigram and block of texts, with the texts' numbers and
 the places of the trigram in them, all as differences.  ``build`` writes them as Parquet in order of trigram,
-dealt out by range, so that a condition on trigrams is pushed down to the few row groups that hold these.
+dealt out by range, so that a condition on trigrams is pushed down to the few row groups that hold these.  A task makes the
+lists of about one block, and the ranges have about equal bytes, so what a task reads does not grow with the texts.
 ``indexed_hits`` reads only the lists that a query's tokens name, intersects them block by block, and gives the
 same scores as ``search.all_hits``.
 
@@ -15,6 +16,7 @@ has many bounded lists and no long one.  Texts are taken as ``search.chunks`` gi
 list but that of the blank between title and text; numbers must not be null and are unique, as the file order is.
 """
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,7 @@ BLOCK, BLOCK_CHARS = 4096, 1 << 22
 BITS = 21  # of a code point, counted from 1; 0 is "nothing"
 POSTINGS = "gram long, block long, part int, ords array<long>, counts array<int>, places array<int>"
 ROW_GROUP = 1 << 20  # bytes, so that a row group holds few trigrams
+SAMPLE, RANGE = 1 << 20, 64  # bytes of lists for each row of the sample that sets the ranges, and rows of it in a range
 
 
 def points(text: str) -> np.ndarray:
@@ -100,15 +103,36 @@ def postings(found: DataFrame, block: int = BLOCK, block_chars: int = BLOCK_CHAR
         if held[0]:
             yield _lists(now, part, *held)
 
-    texts = found.select(F.floor(F.col("ord") / block).alias("block"), "ord", combined().alias("text"))
-    return texts.repartition("block").sortWithinPartitions("block", "ord").mapInArrow(run, POSTINGS)
+    of = F.floor(F.col("ord") / block)
+    n = max(1, found.select(of.alias("block")).distinct().count())
+    texts = found.select(of.alias("block"), "ord", combined().alias("text"))
+    return texts.repartitionById(n, F.pmod("block", F.lit(n)).cast("int")).sortWithinPartitions("block", "ord").mapInArrow(run, POSTINGS)
+
+
+def _edges(lists: DataFrame, sample: int = SAMPLE, size: int = RANGE) -> list[tuple[int, int]]:
+    """(trigram, block) where ranges of about ``sample`` * ``size`` bytes begin, from a sample of rows by their bytes; every row is in a range."""
+    share = (4 * F.size("places") + 12 * F.size("ords") + 32) / F.lit(sample)
+    times = F.array_repeat(F.lit(0), F.floor(share + F.rand(0)).cast("int"))
+    some = lists.select("gram", "block", F.explode(times)).select("gram", "block").toPandas()
+    return sorted(set(sorted(zip(some["gram"].tolist(), some["block"].tolist(), strict=True))[size::size]))
+
+
+def _in_ranges(lists: DataFrame, edges: list[tuple[int, int]]) -> DataFrame:
+    """Lists dealt out by range."""
+    edges = lists.sparkSession.sparkContext.broadcast(edges)
+
+    @F.pandas_udf("int")
+    def number(gram: pd.Series, block: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(edges.value, x) for x in zip(gram.tolist(), block.tolist(), strict=True)], dtype=np.int32)
+
+    return lists.repartitionById(len(edges.value) + 1, number("gram", "block"))
 
 
 def build(found: DataFrame, path: str, **sizes: int) -> None:
     """Writes the index of chunks to ``path``, in order of trigram; a frequent trigram's blocks spread over files."""
     lists = postings(found, **sizes).persist(StorageLevel.DISK_ONLY)  # the ranges come from a sample, which would make all lists twice
     try:
-        lists.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block", "part").write.mode("errorifexists").option("parquet.block.size", ROW_GROUP).parquet(path)
+        _in_ranges(lists, _edges(lists)).sortWithinPartitions("gram", "block", "part").write.mode("errorifexists").option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         lists.unpersist()
 

@@ -179,3 +179,18 @@ def test_texts_of_a_block_are_not_kept(spark, monkeypatch):
     texts = spark.range(12_000).select(F.col("id").alias("ord"), F.concat(F.lit("needle"), F.col("id"), F.repeat(F.lit(" abc"), 4000)).alias("text")).coalesce(1)
     toks = spark.createDataFrame([(1, "needle2999", 1), (2, "nothere", 1)], "q_id long, w string, n long")
     assert [tuple(r) for r in keyword_tables.scored(toks, texts, 3).collect()] == [(1, 2999, 1)]
+
+
+def test_ranges_have_about_equal_bytes(spark):
+    """A frequent trigram's long lists do not make a range larger; a task makes the lists of one block."""
+    texts = [(i, "", "e e e " * 60 + "".join(chr(0x4E00 + (i * 50 + j) % 9000) for j in range(50))) for i in range(600)]
+    lists = gram_index.postings(chunks(spark.createDataFrame(texts, "_ord long, title string, text string")), block=50)
+    assert lists.rdd.getNumPartitions() == 12
+    assert sorted(r.n for r in lists.groupBy(F.spark_partition_id()).agg(F.countDistinct("block").alias("n")).collect()) == [1] * 12
+    edges = gram_index._edges(lists, 512, 64)
+    size = F.sum(4 * F.size("places") + 12 * F.size("ords") + 32)
+    dealt = gram_index._in_ranges(lists, edges)
+    by = dealt.groupBy(F.spark_partition_id().alias("p")).agg(size.alias("s"), F.min(F.struct("gram", "block")).alias("low"), F.max(F.struct("gram", "block")).alias("high")).orderBy("p").collect()
+    longest = lists.select(F.max(4 * F.size("places") + 12 * F.size("ords") + 32)).first()[0]
+    assert len(edges) + 1 >= len(by) > 5 and max(r.s for r in by) <= 2 * 512 * 64 + longest
+    assert all(a.high < b.low for a, b in zip(by, by[1:], strict=False)) and dealt.count() == lists.count()

@@ -8,6 +8,8 @@ all rows is carried in many tasks:
    ``slices``, gives what each slice begins with.
 2. Within each (key, slice), in order of time, the last right row is carried along, beginning with that.
 
+Slices are dealt out to tasks of about ROWS rows, however many rows there are, so a task's sorts take bounded memory.
+
 Left rows then meet their answer in a join on (key, time), whose large partitions adaptive execution splits, so many left rows
 at one instant do not sit in one window either.
 
@@ -24,6 +26,7 @@ from tarn.functions.times import MICROS, is_time, ticks
 
 SLICES = 64
 ACCURACY = 1000  # of the quantiles that cut slices
+ROWS = 1 << 18  # that a task carries along, about
 
 
 def _slice(t: Column, edges: list) -> Column:
@@ -57,6 +60,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     tagged = lasts.select(*names, "t", F.lit(1 if strict else 0).alias("side"), F.struct("t", "row").alias("last")).unionAll(times.select(*names, "t", F.lit(0 if strict else 1), F.struct(F.lit(None).cast(lasts.schema["t"].dataType).alias("t"), none.alias("row"))))
     is_right = F.col("side") == (1 if strict else 0)
     tagged = tagged.withColumn("slice", _slice(F.col("t"), edges)).withColumn("last", F.when(is_right, F.col("last")))
+    tagged = tagged.repartition((left.count() + right.count()) // ROWS + 1, *names, "slice")
     ends = tagged.groupBy(*names, "slice").agg(F.max_by("last", F.when(is_right, F.col("t"))).alias("last"))
     over_slices = Window.partitionBy(*names).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("carried", F.last("last", ignorenulls=True).over(over_slices)).select(*names, "slice", "carried")

@@ -122,3 +122,15 @@ def test_summed_equals_pairs(spark, keys, half_open, slice_rows):
     got = out.groupBy(*own).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 5
     assert "shiftright" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_slices_are_dealt_out_by_rows(spark, monkeypatch):
+    """More rows make more tasks, whatever the number of shuffle partitions; slices are not sorted before they are dealt out."""
+    monkeypatch.setattr(asof, "ROWS", 40, raising=False)
+    left, right = sides()
+    a = spark.createDataFrame(left, "id int, k string, t long, side string")
+    b = spark.createDataFrame(right, "id int, k string, t long, tie int")
+    out = asof.as_of(a, b, ["k"], "t", "t", tie="tie")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f", {(len(left) + len(right)) // 40 + 1}), REPARTITION_BY_NUM" in plan
+    assert sorted(((r.id, r.right_t, r.right_tie) for r in out.collect()), key=str) == plain(left, right, False, None)

@@ -6,10 +6,11 @@ and compared code point by code point, so a hash never decides.  A table has at
 read once for each table: one reading for some two million keywords, and as many steps as the longest keyword has code points,
 DEPTH at the most.  Of longer keywords the first DEPTH code points are looked for, and the texts that have these are tested for the whole.
 
-``scored`` ranks texts for many questions.  A task turns its texts into blocks of posting lists; a block of texts and
-a chunk of questions then meet in a group, which adds up the lists of each question's tokens: frequent tokens as
-rows of ones, rare ones place by place. Only the best texts of a question leave a group, so pairs of
-questions and texts are never rows.  The work is the product of questions and texts by nature; the memory of a group is bounded.
+``scored`` ranks texts for many questions.  A task turns its texts into blocks of posting lists, bits for frequent words and places
+for others, cut into rows of about PART bytes.  Another task then holds a chunk of questions and lets the blocks of a range go by one after the
+other, in batches; for each block it adds up the lists of each question's tokens: those asked most as rows of ones, others place by place.
+Only texts that may still be among the best of a question leave a task, so pairs of questions and texts are never rows.  The work is the
+product of questions and texts by nature; a task holds a chunk and a block, whatever the sizes, and blocks are copied for each chunk, questions for each range only.
 """
 
 import contextlib
@@ -20,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.sources.catalog import scratch_dir
@@ -33,10 +34,14 @@ FILTER = 16  # places of a filter for each keyword
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 BLOCK_TEXTS, BLOCK_PAIRS = 1 << 15, 1 << 23  # of a block
-PART = 1 << 20  # pairs in a row
+PART = 1 << 18  # bytes of lists in a row
+OFTEN = 16  # a word in more than one of so many texts has bits instead of places
+ROW_GROUP = 1 << 24  # bytes of a row group, since a reader holds one
 BATCH_BYTES = 1 << 22  # of texts that go to a worker at once
-CHUNK = 1_000_000  # tokens of a chunk of questions
-DENSE = 1 << 26  # bytes of the rows of frequent tokens
+CHUNK = 1 << 23  # tokens of a chunk of questions
+RANGE = 8  # blocks of a range, unless there would be too few tasks
+SOME = 1 << 12  # questions whose best texts leave together
+DENSE = 1 << 25  # bytes of the rows of the tokens asked most
 
 
 def points(text: str) -> np.ndarray:
@@ -73,7 +78,7 @@ class Tables:
             by.setdefault(len(w), []).append(w)
         self.lengths = {}
         for size, those in by.items():
-            codes = np.stack([points(w) for w in those])
+            codes = points("".join(those)).reshape(-1, size)
             for base in BASES:
                 h = self.hashes(codes, np.uint64(base))
                 at = np.argsort(h)
@@ -206,38 +211,69 @@ def _written(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     path = scratch_dir(spark)
     with _batches(spark, BATCH_BYTES):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _blocks(texts: DataFrame, those: list, id_col: str, kind: str) -> DataFrame:
-    """Posting lists of blocks of texts: in part -1 the ids in their order, in the others pairs (word, text) in order of word."""
+def _lists(keys: np.ndarray, n_texts: int) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+    """(words, sizes, lists) of rows, from sorted numbers with a word in the upper and a text in the lower 32 bits; without sizes, lists are bits."""
+    words, texts = keys.view(np.int32)[1::2], keys.view(np.uint16)[::4]
+    starts = np.concatenate([np.zeros(min(1, len(keys)), dtype=np.int64), np.flatnonzero(words[1:] != words[:-1]) + 1])
+    sizes = np.diff(np.append(starts, len(keys)))
+    often = sizes > n_texts // OFTEN
+    none, wide = np.zeros(0, dtype=np.int32), max(1, PART // ((n_texts + 7) // 8))
+    those = np.flatnonzero(often)
+    for i in range(0, len(those), wide):
+        bits = np.zeros((len(those[i : i + wide]), n_texts), dtype=bool)
+        for row, k in zip(bits, those[i : i + wide].tolist(), strict=True):
+            row[texts[starts[k] : starts[k] + sizes[k]]] = True
+        yield words[starts[those[i : i + wide]]], none, np.packbits(bits, axis=1).tobytes()
+    places, words, sizes = texts[np.repeat(~often, sizes)], words[starts[~often]], sizes[~often].astype(np.int32)
+    ends, bytes_ = np.cumsum(sizes, dtype=np.int64), np.cumsum(2 * sizes.astype(np.int64) + 8)
+    first = 0
+    while first < len(words):
+        last = max(first + 1, int(np.searchsorted(bytes_, (bytes_[first - 1] if first else 0) + PART, side="right")))
+        yield words[first:last], sizes[first:last], places[ends[first - 1] if first else 0 : ends[last - 1]].tobytes()
+        first = last
+
+
+def _row(block: int, part: int, ids: pa.Array, words: np.ndarray, sizes: np.ndarray, data: bytes) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    packed = [pa.array([x], pa.binary()) for x in (words.astype(np.int32).tobytes(), sizes.astype(np.int32).tobytes(), data)]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), lists, *packed], names=["block", "part", "ids", "words", "sizes", "data"])
+
+
+def _rows(kind: str) -> str:
+    return f"block long, part int, ids array<{kind}>, words binary, sizes binary, data binary"
+
+
+def _blocks(texts: DataFrame, those: list, kind: str) -> DataFrame:
+    """Posting lists of blocks of texts: in part -1 the ids in their order, in the others lists of words."""
     n_shards = len(those)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         loaded = [(s, pickle.loads(b.value).ready()) for s, b in those]
-        block, ids, words, at, pairs = TaskContext.get().partitionId() << 32, [], [], [], 0
-
-        def row(part: int, own: pa.Array, w: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
-            lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), lists, pa.array([w.astype(np.int32).tobytes()], pa.binary()), pa.array([t.astype(np.uint16).tobytes()], pa.binary())], names=["block", "part", "ids", "words", "texts"])
+        block, ids, found, pairs = TaskContext.get().partitionId() << 32, [], [], 0
 
         def ended() -> Iterator[pa.RecordBatch]:
-            nonlocal block, ids, words, at, pairs
+            nonlocal block, ids, found, pairs
             own = pa.concat_arrays(ids)
             order = pc.sort_indices(own).to_numpy()
             place = np.empty(len(own), dtype=np.int64)
             place[order] = np.arange(len(own))
-            w, t = np.concatenate(words), place[np.concatenate(at)]
-            by = np.argsort(w, kind="stable")
-            w, t = w[by], t[by]
-            none, one = np.zeros(0, dtype=np.int32), own.take(pa.array(order))
-            yield row(-1, one, none, none)
-            for part, i in enumerate(range(0, len(w), PART)):
-                yield row(part, one.slice(0, 0), w[i : i + PART], t[i : i + PART])
-            block, ids, words, at, pairs = block + 1, [], [], [], 0
+            keys, done = np.empty(pairs, dtype=np.int64), 0
+            for w, t in found:
+                keys[done : done + len(w)] = w.astype(np.int64) << 32 | place[t]
+                done += len(w)
+            found = []
+            keys.sort()
+            one = own.take(pa.array(order))
+            yield _row(block, -1, one, np.zeros(0), np.zeros(0), b"")
+            for part, lists in enumerate(_lists(keys, len(own))):
+                yield _row(block, part, one.slice(0, 0), *lists)
+            block, ids, pairs = block + 1, [], 0
 
         held = 0
         for b in batches:
@@ -247,90 +283,196 @@ def _blocks(texts: DataFrame, those: list, id_col: str, kind: str) -> DataFrame:
                     held = 0
                 for s, tables_ in loaded:
                     t, n = tables_.found(some)
-                    words.append((n * n_shards + s).astype(np.int32))
-                    at.append((t + held).astype(np.int32))
+                    found.append(((n * n_shards + s).astype(np.int32), (t + held).astype(np.uint16)))
                     pairs += len(t)
                 ids.append(b.column(0).take(pa.array(np.arange(first, first + len(some)))))  # a slice would keep all texts of the batch
                 held += len(some)
         if held:
             yield from ended()
 
-    return texts.mapInArrow(run, f"block long, part int, ids array<{kind}>, words binary, texts binary")
+    return texts.mapInArrow(run, _rows(kind))
+
 
+def _packs(asked: DataFrame, most: int, kind: str) -> DataFrame:
+    """Questions (q_id, words, ns) in rows of about ``most`` tokens: ids, words, their number for each question, ns."""
 
-def _top(score: np.ndarray, limit: int) -> list[int]:
-    """Places of the largest numbers above 0, equal ones in order."""
-    out: list[int] = []
-    while len(out) < limit and (best := score.max()) > 0:
-        at = np.flatnonzero(score == best)[: limit - len(out)]
-        out += at.tolist()
-        score[score == best] = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pack = TaskContext.get().partitionId() << 32
+        for b in batches:
+            q_ids, words, ns = b.column(0), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+            sizes = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, first = np.cumsum(sizes), 0
+            while first < len(q_ids):
+                low = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, low + most, side="right")))
+                yield _row(pack, -1, q_ids.slice(first, last - first), words[low : ends[last - 1]], sizes[first:last], ns[low : ends[last - 1]].tobytes())
+                pack, first = pack + 1, last
+
+    return asked.mapInArrow(run, _rows(kind))
+
+
+class Block:
+    """The posting lists of a block of texts."""
+
+    def __init__(self, ids: pa.Array):
+        self.ids, self.parts, self.lists = ids, [], []
+
+    def add(self, words: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> None:
+        size, part = (len(self.ids) + 7) // 8, np.full(len(words), len(self.parts), dtype=np.int32)
+        ends = np.cumsum(2 * sizes.astype(np.int64) if len(sizes) else np.full(len(words), size, dtype=np.int64))
+        self.parts.append((data, not len(sizes)))
+        self.lists.append((words, part, np.concatenate([ends[:0] if not len(ends) else np.zeros(1, dtype=np.int64), ends[:-1]]), ends))
+
+    def ready(self) -> "Block":
+        none = [(np.zeros(0, dtype=np.int32),) * 4] if not self.lists else []
+        words, *where = (np.concatenate(x) for x in zip(*self.lists, *none, strict=True))
+        by = np.argsort(words)
+        self.words, (self.part, self.low, self.high) = words[by], (x[by] for x in where)
+        return self
+
+    def list(self, k: int) -> tuple[np.ndarray, bool]:
+        """A list of the word at place k: ones for each text, or places."""
+        data, bits = self.parts[self.part[k]]
+        own = data[self.low[k] : self.high[k]]
+        return (np.unpackbits(own, count=len(self.ids)), True) if bits else (own.view(np.uint16), False)
+
+
+class Asked:
+    """A chunk of questions, with the scores of the best texts of each so far."""
+
+    def __init__(self, packs: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]], limit: int):
+        self.ids = pa.concat_arrays([x[0] for x in packs])
+        words, sizes = np.concatenate([x[1] for x in packs]), np.concatenate([x[2] for x in packs])
+        self.ns = np.concatenate([x[3] if (x[3] > 255).any() else x[3].astype(np.uint8) for x in packs])
+        packs.clear()
+        self.starts = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes, dtype=np.int64)])
+        self.wide = np.add.reduceat(self.ns, self.starts[:-1], dtype=np.int64) > 255
+        self.used = np.unique(words)
+        self.uses = np.zeros(len(self.used), dtype=np.int64)
+        for i in range(0, len(words), 1 << 20):
+            words[i : i + (1 << 20)] = np.searchsorted(self.used, words[i : i + (1 << 20)])
+            self.uses += np.bincount(words[i : i + (1 << 20)], minlength=len(self.used))
+        self.own = words  # places in used
+        self.best = np.zeros((len(sizes), limit), dtype=np.int64)
+
+
+def _top(score: np.ndarray, limit: int, least: int) -> list[tuple[int, int]]:
+    """(place, number) of the largest numbers of at least ``least``, equal ones in order; what it has found is 0 then."""
+    out: list[tuple[int, int]] = []
+    while len(out) < limit and (best := int(score.max())) >= least:
+        at = np.flatnonzero(score == best)
+        out += [(i, best) for i in at[: limit - len(out)].tolist()]
+        score[at] = 0
     return out
 
 
-def best_of_block(words: np.ndarray, texts: np.ndarray, n_texts: int, asked: list[tuple[np.ndarray, np.ndarray]], limit: int) -> Iterator[tuple[int, int, int]]:
-    """(question, text, score) of the best texts of a block for each question (words, weights); pairs come in order of word."""
-    used = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[w for w, _ in asked]]))
-    low, high = np.searchsorted(words, used, side="left"), np.searchsorted(words, used, side="right")
-    sizes = high - low
-    often = np.argsort(-sizes, kind="stable")[: max(1, DENSE // max(n_texts, 1))]
-    often = often[sizes[often] > n_texts // 64]
-    rows = {}
+def best_of_block(block: Block, asked: Asked, limit: int, dense: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(questions, texts, scores): the best texts of a block for each question, but for those below the best so far."""
+    n_texts = len(block.ids)
+    if not len(block.words):
+        return
+    at = np.minimum(np.searchsorted(block.words, asked.used), len(block.words) - 1)
+    there = np.flatnonzero(block.words[at] == asked.used)
+    often = there[np.argsort(-asked.uses[there], kind="stable")[: max(1, dense // n_texts)]]
+    lists, rows = np.full(len(asked.used), -1, dtype=np.int32), []  # a list: its row, or len(rows) and above for its place in the block; -1 is none
     for k in often.tolist():
-        rows[k] = np.zeros(n_texts, dtype=np.uint8)
-        rows[k][texts[low[k] : high[k]]] = 1
-    lists = {}
-    for q, (own, weights) in enumerate(asked):
-        wide = int(weights.sum()) > 255
-        score = np.zeros(n_texts, dtype=np.int64 if wide else np.uint8)
-        some = False
-        for k, n in zip(np.searchsorted(used, own).tolist(), weights.tolist(), strict=True):
-            if not sizes[k]:
+        own, ones = block.list(at[k])
+        if not ones:
+            row = np.zeros(n_texts, dtype=np.uint8)
+            row[own] = 1
+        rows.append(own if ones else row)
+    lists[there] = len(rows) + at[there]
+    lists[often] = np.arange(len(rows))
+    n_rows, narrow, wide = len(rows), np.empty(n_texts, dtype=np.uint8), np.empty(n_texts, dtype=np.int64)
+    for first in range(0, len(asked.starts) - 1, SOME):
+        bounds = asked.starts[first : first + SOME + 1]
+        own = lists[asked.own[bounds[0] : bounds[-1]]]
+        kept = np.flatnonzero(own >= 0)
+        ends = np.searchsorted(kept, bounds - bounds[0]).tolist()
+        own, ns = own[kept].tolist(), asked.ns[bounds[0] : bounds[-1]][kept].tolist()
+        floors, broad, got = asked.best[first : first + SOME].min(axis=1).tolist(), asked.wide[first : first + SOME].tolist(), []
+        for q, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if sum(ns[low:high]) < max(1, floors[q]):
                 continue
-            some = True
-            if (row := rows.get(k)) is not None:
-                if n == 1:
-                    np.add(score, row, out=score)
+            score = wide if broad[q] else narrow
+            score.fill(0)
+            for k, n in zip(own[low:high], ns[low:high], strict=True):
+                if k < n_rows:
+                    np.add(score, rows[k] if n == 1 else rows[k] * score.dtype.type(n), out=score)
                 else:
-                    score += row.astype(score.dtype) * score.dtype.type(n)
-            else:
-                if (at := lists.get(k)) is None:
-                    at = lists[k] = texts[low[k] : high[k]]
-                score[at] += score.dtype.type(n)
-        if some:
-            values = score.copy()
-            for i in _top(score, limit):
-                yield q, i, int(values[i])
+                    texts, ones = block.list(k - n_rows)
+                    if ones:
+                        np.add(score, texts * score.dtype.type(n), out=score)
+                    else:
+                        score[texts] += score.dtype.type(n)
+            if found := _top(score, limit, max(1, floors[q])):
+                got += [(q, i, s) for i, s in found]
+                asked.best[first + q] = sorted(asked.best[first + q].tolist() + [s for _, s in found])[-limit:]
+        if got:
+            q, i, s = np.array(got, dtype=np.int64).T
+            yield q + first, i, s
+
+
+def _ranges(n_blocks: int, n_chunks: int, cores: int) -> int:
+    """Of blocks; few, since questions are copied for each, but enough for the cores."""
+    return min(n_blocks, max(-(-n_blocks // RANGE), -(-3 * cores // n_chunks)))
 
 
 def scored(tokens: DataFrame, texts: DataFrame, limit: int, id_col: str = "ord", text_col: str = "text", table_chars: int = TABLE_CHARS, chunk: int = CHUNK) -> DataFrame:
-    """(q_id, id, score): for tokens (q_id, w, n), the best texts of each question in each block; all of its best ones are among them."""
+    """(q_id, id, score): for tokens (q_id, w, n), texts among which are all of the best ones of each question."""
+    spark = tokens.sparkSession
     shards = numbered(tokens.select("w"), table_chars)
     those = list(tables(shards))
     kind, q_kind = texts.schema[id_col].dataType.simpleString(), tokens.schema["q_id"].dataType.simpleString()
+    out = f"q_id {q_kind}, `{id_col}` {kind}, score int"
     if not those:
         return tokens.select("q_id", F.lit(None).cast(kind).alias(id_col), F.lit(0).alias("score")).where(F.lit(False))
-    blocks = _written(_blocks(texts.where(F.col(id_col).isNotNull()).select(id_col, text_col), those, id_col, kind))
-    n_chunks = tokens.count() // chunk + 1
-    word = (F.col("number") * len(those) + F.col("shard")).cast("long")
-    asked = tokens.join(shards, "w").groupBy("q_id").agg(F.collect_list(F.struct(word.alias("word"), F.col("n").cast("long").alias("n"))).alias("own"))
-    asked = _written(asked.select("q_id", F.col("own.word").alias("words"), F.col("own.n").alias("ns"), F.pmod(F.xxhash64("q_id"), F.lit(n_chunks)).alias("chunk")))
-    sent = asked.crossJoin(F.broadcast(blocks.where("part = -1").select(F.col("block").alias("to")))).withColumnRenamed("to", "block")  # a number for each block
-    copied = blocks.withColumn("chunk", F.explode(F.expr(f"sequence(0L, {n_chunks - 1}L)")))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("part")
-        ids = left.column("ids").chunk(0)[0].values if left.num_rows else None
-        names = ["q_id", id_col, "score"]
-        if ids is None or not right.num_rows:
-            return pa.table([pa.nulls(0, right.schema.field("q_id").type), pa.nulls(0, left.schema.field("ids").type.value_type), pa.array([], pa.int32())], names=names)
-        w = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int32) for x in left.column("words")])
-        t = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in left.column("texts")])
-        own, ns = right.column("words").combine_chunks(), right.column("ns").combine_chunks()
-        ends = np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))[:-1]
-        questions = list(zip(np.split(own.flatten().to_numpy(), ends), np.split(ns.flatten().to_numpy(), ends), strict=True))
-        got = list(best_of_block(w, t, len(ids), questions, limit))
-        q, i, s = (np.array([x[k] for x in got], dtype=np.int64) for k in range(3))
-        return pa.table([right.column("q_id").combine_chunks().take(pa.array(q)), ids.take(pa.array(i)), pa.array(s, pa.int32())], names=names)
-
-    return copied.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(run, f"q_id {q_kind}, `{id_col}` {kind}, score int")
+    blocks = _written(_blocks(texts.where(F.col(id_col).isNotNull()).select(id_col, text_col), those, kind))
+    word = (F.col("number") * len(those) + F.col("shard")).cast("int")
+    asked = tokens.join(shards, "w").groupBy("q_id").agg(F.collect_list(F.struct(word.alias("word"), F.col("n").cast("int").alias("n"))).alias("own"))
+    packs = _written(_packs(asked.select("q_id", F.col("own.word").alias("words"), F.col("own.n").alias("ns")), min(chunk, PART), q_kind))
+    numbers = [r[0] for r in blocks.where("part = -1").select("block").orderBy("block").collect()]  # of blocks and packs, nothing of what is in them
+    sizes = packs.select("block", (F.length("words") / 4).cast("long")).orderBy("block").collect()
+    before = np.cumsum([0, *[r[1] for r in sizes]])[:-1] // chunk
+    of = np.unique(before, return_inverse=True)[1].tolist()
+    n_chunks = max(of, default=0) + 1
+    n_ranges = _ranges(len(numbers), n_chunks, spark.sparkContext.defaultParallelism)
+    if not n_ranges:
+        return spark.createDataFrame([], out)
+
+    def dealt(rows: DataFrame, to: list[tuple[int, int]], q_ids: Column, ids: Column, asks: bool) -> DataFrame:
+        where = F.broadcast(spark.createDataFrame(to, "block long, task int"))
+        return rows.join(where, "block").select("task", F.lit(asks).alias("asks"), "block", "part", q_ids.alias("q_ids"), ids.alias("ids"), "words", "sizes", "data")
+
+    asking = dealt(packs, [(r[0], c * n_ranges + k) for r, c in zip(sizes, of, strict=True) for k in range(n_ranges)], F.col("ids"), F.lit(None).cast(f"array<{kind}>"), True)
+    searched = dealt(blocks, [(b, c * n_ranges + i * n_ranges // len(numbers)) for i, b in enumerate(numbers) for c in range(n_chunks)], F.lit(None).cast(f"array<{q_kind}>"), F.col("ids"), False)
+    # each task has a partition: first its questions, then its blocks
+    together = asking.unionAll(searched).repartitionById(n_chunks * n_ranges, "task").sortWithinPartitions("task", F.desc("asks"), "block", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs, questions, block, now = [], None, None, (None, None)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            for q, i, s in best_of_block(block.ready(), questions, limit, DENSE):
+                yield pa.RecordBatch.from_arrays([questions.ids.take(pa.array(q)), block.ids.take(pa.array(i)), pa.array(s, pa.int32())], names=["q_id", id_col, "score"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {name: b.column(name)[i] for name in b.schema.names}
+                words, sizes, data = (np.frombuffer(row[name].as_buffer(), dtype=dtype) for name, dtype in (("words", np.int32), ("sizes", np.int32), ("data", np.uint8)))
+                if block and (row["asks"].as_py() or (row["task"].as_py(), row["block"].as_py()) != now):
+                    yield from ended()
+                    block = None
+                if row["asks"].as_py():
+                    packs.append((row["q_ids"].values, words, sizes, data.view(np.int32)))
+                elif block:
+                    block.add(words, sizes, data)
+                else:
+                    questions, packs = Asked(packs, limit) if packs else questions, []
+                    block, now = Block(row["ids"].values), (row["task"].as_py(), row["block"].as_py())
+        if block:
+            yield from ended()
+
+    return _written(together.mapInArrow(run, out))

@@ -181,6 +181,49 @@ def test_texts_of_a_block_are_not_kept(spark, monkeypatch):
     assert [tuple(r) for r in keyword_tables.scored(toks, texts, 3).collect()] == [(1, 2999, 1)]
 
 
+def test_block_and_questions_are_small_where_they_meet(spark, monkeypatch):
+    """Lists of frequent words are bits and a question is a few bytes; neither is held as rows or sent as one."""
+    from tarn.operators import keyword_tables
+
+    best = keyword_tables.best_of_block
+
+    def bounded(*args):
+        with open("/proc/self/status") as f:
+            held = next(int(line.split()[1]) for line in f if line.startswith("RssAnon"))
+        assert held < 160_000, f"{held} kB in a worker"
+        return best(*args)
+
+    monkeypatch.setattr(keyword_tables, "best_of_block", bounded)
+    words = [f"w{i:03d}" for i in range(300)]
+    texts = spark.range(24_000).select(F.col("id").alias("ord"), F.concat(F.lit(" ".join(words)), F.lit(" x"), F.col("id")).alias("text")).coalesce(1)
+    toks = spark.range(30_000).select(F.col("id").alias("q_id"), F.explode(F.array(*[F.format_string("w%03d", (F.col("id") + 7 * k) % 300) for k in range(30)], F.format_string("x%d", F.col("id") % 24_000))).alias("w"), F.lit(1).cast("long").alias("n"))
+    got = keyword_tables.scored(toks, texts, 1).groupBy("q_id").agg(F.max("score").alias("score"), F.max_by("ord", "score").alias("ord"))
+    assert got.where((F.col("score") == 31) & (F.col("ord") >= F.col("q_id") % 24_000)).count() == 30_000
+
+
+def test_lists_of_a_block():
+    """Rows of lists are cut by bytes, and give back each word's texts, frequent or not."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tarn.operators import keyword_tables
+
+    r = np.random.default_rng(1)
+    for n_texts in (1, 9, 3000):
+        want = {w: np.unique(r.integers(0, n_texts, size=int(r.integers(1, n_texts + 1)) if w % 3 else 1)) for w in range(0, 900, 2)}
+        keys = np.sort(np.concatenate([np.int64(w) << 32 | t for w, t in want.items()]))
+        rows = list(keyword_tables._lists(keys, n_texts))
+        assert max(len(data) for _, _, data in rows) <= keyword_tables.PART + n_texts // 8
+        block = keyword_tables.Block(pa.array(range(n_texts)))
+        for words, sizes, data in rows:
+            block.add(words, sizes, np.frombuffer(data, dtype=np.uint8))
+        assert block.ready().words.tolist() == list(want)
+        for k, texts in enumerate(want.values()):
+            own, ones = block.list(k)
+            assert (np.flatnonzero(own) if ones else own).tolist() == texts.tolist()
+    assert list(keyword_tables._lists(np.zeros(0, dtype=np.int64), 5)) == []
+
+
 def test_ranges_have_about_equal_bytes(spark):
     """A frequent trigram's long lists do not make a range larger; a task makes the lists of one block."""
     texts = [(i, "", "e e e " * 60 + "".join(chr(0x4E00 + (i * 50 + j) % 9000) for j in range(50))) for i in range(600)]

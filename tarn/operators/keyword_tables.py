@@ -7,10 +7,11 @@ read once for each table: one reading for some two million keywords, and as many
 DEPTH at the most.  Of longer keywords the first DEPTH code points are looked for, and the texts that have these are tested for the whole.
 
 ``scored`` ranks texts for many questions.  A task turns its texts into blocks of posting lists, bits for frequent words and places
-for others, cut into rows of about PART bytes.  Another task then holds a chunk of questions and lets the blocks of a range go by one after the
-other, in batches; for each block it adds up the lists of each question's tokens: those asked most as rows of ones, others place by place.
-Only texts that may still be among the best of a question leave a task, so pairs of questions and texts are never rows.  The work is the
-product of questions and texts by nature; a task holds a chunk and a block, whatever the sizes, and blocks are copied for each chunk, questions for each range only.
+for others, cut into rows of about PART bytes.  Another task then holds a chunk of questions and lets the blocks of a range go by in batches, and
+searches TOGETHER texts at once.  Frequent words alone give a text no more than their number, so where a question's best score so far is larger,
+only texts in so many lists of its other words are scored (MaxScore, exact).  Only texts that may still be among the best leave a task, so
+pairs of questions and texts are never rows.  The work is the product of questions and texts by nature; a task holds a chunk
+and some blocks, whatever the sizes, and blocks are copied for each chunk, questions for each range only.
 """
 
 import contextlib
@@ -40,8 +41,10 @@ ROW_GROUP = 1 << 24  # bytes of a row group, since a reader holds one
 BATCH_BYTES = 1 << 22  # of texts that go to a worker at once
 CHUNK = 1 << 23  # tokens of a chunk of questions
 RANGE = 8  # blocks of a range, unless there would be too few tasks
-SOME = 1 << 12  # questions whose best texts leave together
+SOME, LISTED = 1 << 12, 1 << 19  # questions whose best texts leave together, and places of their lists
+ROW = 64  # a word in more than one of so many texts may have a row of bits
 DENSE = 1 << 25  # bytes of the rows of the tokens asked most
+TOGETHER, PLACES = 1 << 16, 1 << 24  # texts, and places in lists, of the blocks that are searched together
 
 
 def points(text: str) -> np.ndarray:
@@ -317,27 +320,25 @@ class Block:
     """The posting lists of a block of texts."""
 
     def __init__(self, ids: pa.Array):
-        self.ids, self.parts, self.lists = ids, [], []
+        self.ids, self.often, self.few, self.texts, self.held = ids, [], [], len(ids), 0
 
     def add(self, words: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> None:
-        size, part = (len(self.ids) + 7) // 8, np.full(len(words), len(self.parts), dtype=np.int32)
-        ends = np.cumsum(2 * sizes.astype(np.int64) if len(sizes) else np.full(len(words), size, dtype=np.int64))
-        self.parts.append((data, not len(sizes)))
-        self.lists.append((words, part, np.concatenate([ends[:0] if not len(ends) else np.zeros(1, dtype=np.int64), ends[:-1]]), ends))
+        if len(sizes):
+            self.few.append((words, sizes, data.view(np.uint16)))
+            self.held += len(data) // 2
+        else:
+            self.often.append((words, data.reshape(len(words), -1)))
 
     def ready(self) -> "Block":
-        none = [(np.zeros(0, dtype=np.int32),) * 4] if not self.lists else []
-        words, *where = (np.concatenate(x) for x in zip(*self.lists, *none, strict=True))
-        by = np.argsort(words)
-        self.words, (self.part, self.low, self.high) = words[by], (x[by] for x in where)
+        """Words in order: those with bits, those with places and the ends of their places."""
+        none = np.zeros(0, dtype=np.int32)
+        self.bit_words = np.concatenate([none, *[x[0] for x in self.often]])
+        self.bits = np.concatenate([np.zeros((0, (len(self.ids) + 7) // 8), dtype=np.uint8), *[x[1] for x in self.often]])
+        self.words, sizes, self.places = (np.concatenate([z, *[x[i] for x in self.few]]) for i, z in enumerate((none, none, none.astype(np.uint16))))
+        self.ends = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(sizes, dtype=np.int64)])
+        self.often = self.few = None
         return self
 
-    def list(self, k: int) -> tuple[np.ndarray, bool]:
-        """A list of the word at place k: ones for each text, or places."""
-        data, bits = self.parts[self.part[k]]
-        own = data[self.low[k] : self.high[k]]
-        return (np.unpackbits(own, count=len(self.ids)), True) if bits else (own.view(np.uint16), False)
-
 
 class Asked:
     """A chunk of questions, with the scores of the best texts of each so far."""
@@ -358,66 +359,166 @@ class Asked:
         self.best = np.zeros((len(sizes), limit), dtype=np.int64)
 
 
-def _top(score: np.ndarray, limit: int, least: int) -> list[tuple[int, int]]:
-    """(place, number) of the largest numbers of at least ``least``, equal ones in order; what it has found is 0 then."""
-    out: list[tuple[int, int]] = []
-    while len(out) < limit and (best := int(score.max())) >= least:
-        at = np.flatnonzero(score == best)
-        out += [(i, best) for i in at[: limit - len(out)].tolist()]
-        score[at] = 0
-    return out
-
-
-def best_of_block(block: Block, asked: Asked, limit: int, dense: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(questions, texts, scores): the best texts of a block for each question, but for those below the best so far."""
-    n_texts = len(block.ids)
-    if not len(block.words):
-        return
-    at = np.minimum(np.searchsorted(block.words, asked.used), len(block.words) - 1)
-    there = np.flatnonzero(block.words[at] == asked.used)
-    often = there[np.argsort(-asked.uses[there], kind="stable")[: max(1, dense // n_texts)]]
-    lists, rows = np.full(len(asked.used), -1, dtype=np.int32), []  # a list: its row, or len(rows) and above for its place in the block; -1 is none
-    for k in often.tolist():
-        own, ones = block.list(at[k])
-        if not ones:
-            row = np.zeros(n_texts, dtype=np.uint8)
-            row[own] = 1
-        rows.append(own if ones else row)
-    lists[there] = len(rows) + at[there]
-    lists[often] = np.arange(len(rows))
-    n_rows, narrow, wide = len(rows), np.empty(n_texts, dtype=np.uint8), np.empty(n_texts, dtype=np.int64)
-    for first in range(0, len(asked.starts) - 1, SOME):
-        bounds = asked.starts[first : first + SOME + 1]
-        own = lists[asked.own[bounds[0] : bounds[-1]]]
-        kept = np.flatnonzero(own >= 0)
-        ends = np.searchsorted(kept, bounds - bounds[0]).tolist()
-        own, ns = own[kept].tolist(), asked.ns[bounds[0] : bounds[-1]][kept].tolist()
-        floors, broad, got = asked.best[first : first + SOME].min(axis=1).tolist(), asked.wide[first : first + SOME].tolist(), []
-        for q, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-            if sum(ns[low:high]) < max(1, floors[q]):
+def _at(words: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The place in ``words`` of each of ``used``, or -1."""
+    if not len(words):
+        return np.full(len(used), -1, dtype=np.int64)
+    at = np.minimum(np.searchsorted(words, used), len(words) - 1)
+    return np.where(words[at] == used, at, -1)
+
+
+class Scores:
+    """Scores of questions in some blocks: rows of bits of frequent words, those asked most first, and lists of places of the others."""
+
+    def __init__(self, blocks: list[Block], asked: Asked, dense: int):
+        pads = [-len(b.ids) % 8 for b in blocks]
+        self.ids = pa.concat_arrays([x for b, pad in zip(blocks, pads, strict=True) for x in (b.ids, pa.nulls(pad, b.ids.type))])
+        self.offsets = np.cumsum([0, *[len(b.ids) + pad for b, pad in zip(blocks, pads, strict=True)]])
+        self.n = int(self.offsets[-1])
+        self.order = np.empty(self.n, dtype=np.int32)
+        self.order[pc.sort_indices(self.ids).to_numpy()] = np.arange(self.n)
+        self.low, self.size = (np.zeros((len(asked.used), len(blocks)), dtype=np.int32) for _ in range(2))
+        bits, places, end = [], [], 0
+        for j, b in enumerate(blocks):
+            few = _at(b.words, asked.used)
+            here = np.flatnonzero(few >= 0)
+            few = few[here]
+            self.low[here, j], self.size[here, j] = b.ends[few] + end, np.diff(b.ends)[few]
+            end += len(b.places)
+            places.append(b.places)
+            bits.append(_at(b.bit_words, asked.used))
+            self.size[bits[-1] >= 0, j] = len(b.ids) // OFTEN + 1  # or more
+        often = np.flatnonzero(self.size.sum(axis=1) > self.n // ROW)
+        by_row = often[np.argsort(-asked.uses[often], kind="stable")][: max(1, 8 * dense // self.n)]
+        self.row = np.full(len(asked.used), -1, dtype=np.int32)
+        self.row[by_row] = np.arange(len(by_row))
+        self.rows = np.zeros((len(by_row), self.n // 8), dtype=np.uint8)
+        for j, b in enumerate(blocks):
+            at, own = bits[j][by_row], self.rows[:, self.offsets[j] // 8 : self.offsets[j + 1] // 8]
+            own[at >= 0] = b.bits[at[at >= 0]]
+            k, base = by_row[at < 0], end - sum(len(x) for x in places[j:])
+            for r, low, size in zip(self.row[k].tolist(), (self.low[k, j] - base).tolist(), self.size[k, j].tolist(), strict=True):
+                if size:
+                    ones = np.zeros(8 * own.shape[1], dtype=bool)
+                    ones[b.places[low : low + size]] = True
+                    own[r] = np.packbits(ones)
+            bits[j][by_row] = -1
+        self.size[by_row] = 0
+        for j, b in enumerate(blocks):  # words with bits beyond the rows
+            for k in np.flatnonzero(bits[j] >= 0).tolist():
+                places.append(np.flatnonzero(np.unpackbits(b.bits[bits[j][k]])).astype(np.uint16))
+                self.low[k, j], self.size[k, j] = end, len(places[-1])
+                end += len(places[-1])
+        for b in blocks:
+            b.places = b.bits = None
+        self.places = np.concatenate(places)
+        self.sizes = self.size.sum(axis=1, dtype=np.int64)
+
+    def spread(self, own: np.ndarray) -> np.ndarray:
+        """The places of the lists of words, one after the other."""
+        size, low = self.size[own].ravel(), self.low[own].ravel()
+        some = np.flatnonzero(size)
+        size, low = size[some], low[some] - np.concatenate([[0], np.cumsum(size[some])])[:-1]
+        return self.places[np.arange(int(size.sum())) + np.repeat(low, size)] + np.repeat(self.offsets[some % self.size.shape[1]].astype(np.uint16), size)
+
+    def top(self, score: np.ndarray, limit: int, least: int) -> list[tuple[int, int]]:
+        """(text, score) of the largest ones of at least ``least``, equal ones in order of the ids; what it has found is 0 then."""
+        out: list[tuple[int, int]] = []
+        while len(out) < limit and (best := int(score.max())) >= least:
+            at = np.flatnonzero(score == best)
+            score[at] = 0
+            out += [(i, best) for i in at[np.argsort(self.order[at])][: limit - len(out)].tolist()]
+        return out
+
+    def all(self, rows: np.ndarray, listed: np.ndarray, limit: int, least: int) -> list[tuple[int, int]]:
+        """The best texts, from the scores of all."""
+        score = np.bincount(listed, minlength=self.n).astype(np.uint8)
+        for k in rows.tolist():
+            np.add(score, np.unpackbits(self.rows[k]), out=score)
+        return self.top(score, limit, least)
+
+    def wide(self, own: np.ndarray, ns: np.ndarray, limit: int, least: int) -> list[tuple[int, int]]:
+        """The same for a question with more tokens than a byte counts."""
+        score = np.zeros(self.n, dtype=np.int64)
+        for k, n in zip(own.tolist(), ns.tolist(), strict=True):
+            if self.row[k] >= 0:
+                score += np.unpackbits(self.rows[self.row[k]]) * np.int64(n)
+            else:
+                score[self.spread(np.array([k]))] += n
+        return self.top(score, limit, least)
+
+    def of_rows(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """In how many of the rows texts are."""
+        return ((self.rows[rows[:, None], at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).sum(axis=0, dtype=np.int64)
+
+    def best(self, rows: np.ndarray, listed: np.ndarray, limit: int, least: int) -> list[tuple[int, int]]:
+        """The best texts with ``least`` at least.  Rows alone give a text no more than their number, so a text that can
+        be among the best is in as many lists as ``least`` is above that number; only such texts are scored."""
+        listed = np.sort(listed)
+        if least <= 1 and len(listed):  # no score is known yet: those in most lists have one that is to be reached
+            first = np.flatnonzero(np.concatenate([[True], listed[1:] != listed[:-1]]))
+            times = np.diff(first, append=len(listed))
+            some = np.argsort(-times, kind="stable")[: 4 * limit]
+            if len(some) >= limit:
+                reached = times[some] + self.of_rows(rows, listed[first[some]])
+                least = max(1, int(np.sort(reached)[-limit]))
+        need = least - len(rows)
+        if need < 1:
+            return self.all(rows, listed, limit, least)
+        if len(listed) < need:
+            return []
+        at = listed[: len(listed) - need + 1]
+        at = at[at == listed[need - 1 :]]
+        if not len(at):
+            return []
+        at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+        if len(at) > self.n // 8:
+            return self.all(rows, listed, limit, least)
+        score = np.searchsorted(listed, at, side="right") - np.searchsorted(listed, at, side="left") + self.of_rows(rows, at)
+        if len(some := np.flatnonzero(score >= least)) > limit:
+            some = some[np.lexsort((self.order[at[some]], -score[some]))[:limit]]
+        return list(zip(at[some].tolist(), score[some].tolist(), strict=True))
+
+
+def best_of_block(scores: Scores, asked: Asked, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(questions, texts, scores): the best texts of some blocks for each question, but for those below the best so far."""
+    first, n_questions = 0, len(asked.starts) - 1
+    while first < n_questions:
+        last = min(first + SOME, n_questions)
+        low, bounds = asked.starts[first], asked.starts[first : last + 1] - asked.starts[first]
+        own, ns = asked.own[low : low + bounds[-1]], asked.ns[low : low + bounds[-1]].astype(np.int64)
+        ns = np.where(np.repeat(asked.wide[first:last], np.diff(bounds)), 0, ns)  # those are scored on their own
+        places = np.concatenate([[0], np.cumsum(scores.sizes[own] * ns)])[bounds]
+        if places[-1] > LISTED:
+            last = first + max(1, int(np.searchsorted(places, LISTED, side="right")) - 1)
+            bounds = bounds[: last - first + 1]
+            own, ns, places = own[: bounds[-1]], ns[: bounds[-1]], places[: last - first + 1]
+        listed, rows = scores.spread(np.repeat(own, ns)), np.repeat(scores.row[own], ns)
+        ends = np.concatenate([[0], np.cumsum(np.where(scores.row[own] >= 0, ns, 0))])[bounds].tolist()
+        most = np.concatenate([[0], np.cumsum(np.where(scores.sizes[own] > 0, ns, 0))])[bounds]
+        rows, most, places = rows[rows >= 0], np.diff(most).tolist(), places.tolist()
+        floors, got = asked.best[first:last].min(axis=1).tolist(), []
+        for q, floor in enumerate(floors):
+            least, of = max(1, floor), slice(ends[q], ends[q + 1])
+            if asked.wide[first + q]:
+                these = slice(*asked.starts[first + q : first + q + 2].tolist())
+                found = scores.wide(asked.own[these], asked.ns[these], limit, least)
+            elif most[q] + ends[q + 1] - ends[q] < least:
                 continue
-            score = wide if broad[q] else narrow
-            score.fill(0)
-            for k, n in zip(own[low:high], ns[low:high], strict=True):
-                if k < n_rows:
-                    np.add(score, rows[k] if n == 1 else rows[k] * score.dtype.type(n), out=score)
-                else:
-                    texts, ones = block.list(k - n_rows)
-                    if ones:
-                        np.add(score, texts * score.dtype.type(n), out=score)
-                    else:
-                        score[texts] += score.dtype.type(n)
-            if found := _top(score, limit, max(1, floors[q])):
+            else:
+                found = scores.best(rows[of], listed[places[q] : places[q + 1]], limit, least)
+            if found:
                 got += [(q, i, s) for i, s in found]
                 asked.best[first + q] = sorted(asked.best[first + q].tolist() + [s for _, s in found])[-limit:]
         if got:
             q, i, s = np.array(got, dtype=np.int64).T
             yield q + first, i, s
+        first = last
 
 
 def _ranges(n_blocks: int, n_chunks: int, cores: int) -> int:
     """Of blocks; few, since questions are copied for each, but enough for the cores."""
-    return min(n_blocks, max(-(-n_blocks // RANGE), -(-3 * cores // n_chunks)))
+    return min(n_blocks, max(-(-n_blocks // RANGE), -(-cores // n_chunks)))
 
 
 def scored(tokens: DataFrame, texts: DataFrame, limit: int, id_col: str = "ord", text_col: str = "text", table_chars: int = TABLE_CHARS, chunk: int = CHUNK) -> DataFrame:
@@ -452,27 +553,30 @@ def scored(tokens: DataFrame, texts: DataFrame, limit: int, id_col: str = "ord",
     together = asking.unionAll(searched).repartitionById(n_chunks * n_ranges, "task").sortWithinPartitions("task", F.desc("asks"), "block", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs, questions, block, now = [], None, None, (None, None)
+        packs, questions, blocks, now = [], None, [], (None, None)
 
         def ended() -> Iterator[pa.RecordBatch]:
-            for q, i, s in best_of_block(block.ready(), questions, limit, DENSE):
-                yield pa.RecordBatch.from_arrays([questions.ids.take(pa.array(q)), block.ids.take(pa.array(i)), pa.array(s, pa.int32())], names=["q_id", id_col, "score"])
+            scores = Scores([b.ready() for b in blocks], questions, DENSE)
+            blocks.clear()
+            for q, i, s in best_of_block(scores, questions, limit):
+                yield pa.RecordBatch.from_arrays([questions.ids.take(pa.array(q)), scores.ids.take(pa.array(i)), pa.array(s, pa.int32())], names=["q_id", id_col, "score"])
 
         for b in batches:
             for i in range(b.num_rows):
                 row = {name: b.column(name)[i] for name in b.schema.names}
                 words, sizes, data = (np.frombuffer(row[name].as_buffer(), dtype=dtype) for name, dtype in (("words", np.int32), ("sizes", np.int32), ("data", np.uint8)))
-                if block and (row["asks"].as_py() or (row["task"].as_py(), row["block"].as_py()) != now):
+                new = row["asks"].as_py() or (row["task"].as_py(), row["block"].as_py()) != now
+                if blocks and new and (row["asks"].as_py() or row["task"].as_py() != now[0] or sum(x.texts for x in blocks) + len(row["ids"].values) > TOGETHER - 8 * len(blocks) - 8 or sum(x.held for x in blocks) > PLACES):
                     yield from ended()
-                    block = None
                 if row["asks"].as_py():
                     packs.append((row["q_ids"].values, words, sizes, data.view(np.int32)))
-                elif block:
-                    block.add(words, sizes, data)
-                else:
+                elif new:
                     questions, packs = Asked(packs, limit) if packs else questions, []
-                    block, now = Block(row["ids"].values), (row["task"].as_py(), row["block"].as_py())
-        if block:
+                    blocks.append(Block(row["ids"].values))
+                    now = (row["task"].as_py(), row["block"].as_py())
+                else:
+                    blocks[-1].add(words, sizes, data)
+        if blocks:
             yield from ended()
 
     return _written(together.mapInArrow(run, out))

@@ -217,13 +217,58 @@ def test_lists_of_a_block():
         block = keyword_tables.Block(pa.array(range(n_texts)))
         for words, sizes, data in rows:
             block.add(words, sizes, np.frombuffer(data, dtype=np.uint8))
-        assert block.ready().words.tolist() == list(want)
-        for k, texts in enumerate(want.values()):
-            own, ones = block.list(k)
-            assert (np.flatnonzero(own) if ones else own).tolist() == texts.tolist()
+        block.ready()
+        got = {w: np.flatnonzero(np.unpackbits(row)).tolist() for w, row in zip(block.bit_words.tolist(), block.bits, strict=True)}
+        got |= {w: block.places[low:high].tolist() for w, low, high in zip(block.words.tolist(), block.ends[:-1], block.ends[1:], strict=True)}
+        assert got == {w: texts.tolist() for w, texts in want.items()}
     assert list(keyword_tables._lists(np.zeros(0, dtype=np.int64), 5)) == []
 
 
+@pytest.mark.parametrize(("dense", "row"), [(1 << 25, 64), (1 << 25, 4), (40, 64)])
+def test_only_texts_that_can_be_best_are_scored(dense, row, monkeypatch):
+    """Blocks searched together or one by one, with few rows of bits or many: the best texts, equal ones in order of their ids."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tarn.operators import keyword_tables
+
+    monkeypatch.setattr(keyword_tables, "ROW", row)
+    monkeypatch.setattr(keyword_tables, "LISTED", 3000)
+    r, whole = np.random.default_rng(2), []
+    scored = keyword_tables.Scores.all
+    monkeypatch.setattr(keyword_tables.Scores, "all", lambda *args: whole.append(1) or scored(*args))
+    shares = np.concatenate([np.full(10, 0.5), np.full(20, 0.1), np.full(1500, 0.01)])
+    rich = r.choice([0.2, 1, 1.9], size=1501)
+    there = r.random((1501, len(shares))) < np.outer(rich, shares)
+    there[500:1000] = there[1000:1500] = there[:500]
+    ids = r.permutation(5000)[:1501]
+    asked = [np.flatnonzero(r.random(len(shares)) < 20 * shares / shares.sum()) for _ in range(200)]
+    asked += [np.flatnonzero(there[t] & (r.random(len(shares)) < 0.8)) for t in r.integers(0, 1501, 160)]
+    asked = [np.array([7]) if not len(x) else x for x in asked]
+    ns = [r.choice([1, 1, 1, 2, 100], size=len(x), p=[0.5, 0.2, 0.2, 0.08, 0.02]) for x in asked]
+    cuts = [0, 3, 700, 1300, 1501]
+    for together in (1, 2, 4):
+        packs = [(pa.array(range(len(asked))), np.concatenate(asked).astype(np.int32), np.array([len(x) for x in asked], dtype=np.int32), np.concatenate(ns).astype(np.int32))]
+        questions, got = keyword_tables.Asked(packs, 3), {}
+        for first in range(0, 4, together):
+            blocks = []
+            for low, high in list(zip(cuts, cuts[1:], strict=False))[first : first + together]:
+                by = np.argsort(ids[low:high])
+                block = keyword_tables.Block(pa.array(ids[low:high][by]))
+                keys = np.sort(np.concatenate([np.int64(w) << 32 | np.flatnonzero(x) for w, x in enumerate(there[low:high][by].T)]))
+                for words, sizes, data in keyword_tables._lists(keys, high - low):
+                    block.add(words, sizes, np.frombuffer(data, dtype=np.uint8))
+                blocks.append(block.ready())
+            scores = keyword_tables.Scores(blocks, questions, dense)
+            for q, i, s in keyword_tables.best_of_block(scores, questions, 3):
+                for k, d, n in zip(q.tolist(), scores.ids.take(pa.array(i)).to_pylist(), s.tolist(), strict=True):
+                    got.setdefault(k, []).append((-n, d))
+        for k, (x, n) in enumerate(zip(asked, ns, strict=True)):
+            total = there[:, x] @ n
+            assert sorted(got.get(k, []))[:3] == sorted((-int(s), int(d)) for s, d in zip(total, ids, strict=True) if s)[:3], k
+    assert 0 < len(whole) < 0.75 * 7 * len(asked)
+
+
 def test_ranges_have_about_equal_bytes(spark):
     """A frequent trigram's long lists do not make a range larger; a task makes the lists of one block."""
     texts = [(i, "", "e e e " * 60 + "".join(chr(0x4E00 + (i * 50 + j) % 9000) for j in range(50))) for i in range(600)]
